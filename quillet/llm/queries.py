@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm import exact_dedup, fertility, mixing, token_files
+from quillet.llm import exact_dedup, fertility, license_scan, mixing, substring_dedup, token_files
 from quillet.llm.common import scratch, tokenizer_path
 
 
@@ -23,6 +23,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("rid", "spans")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,7 +41,7 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.measure(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op6_mixing, op9_fertility)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op4_license_scan, op5_substring_dedup, op6_mixing, op9_fertility)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""

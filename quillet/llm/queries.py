@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm import exact_dedup, fertility, license_scan, mixing, substring_dedup, token_files
+from quillet.llm import exact_dedup, fertility, license_scan, mixing, near_dedup, substring_dedup, token_files
 from quillet.llm.common import scratch, tokenizer_path
 
 
@@ -36,12 +36,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return fertility.measure(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op4_license_scan, op5_substring_dedup, op6_mixing, op9_fertility)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op4_license_scan, op5_substring_dedup, op6_mixing, op7_near_dedup, op9_fertility)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""

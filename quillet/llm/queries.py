@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm import exact_dedup, fertility, license_scan, mixing, near_dedup, substring_dedup, token_files
+from quillet.llm import exact_dedup, fertility, license_scan, line_dedup, mixing, near_dedup, packing, substring_dedup, token_files
 from quillet.llm.common import scratch, tokenizer_path
 
 
@@ -45,7 +45,17 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.measure(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op4_license_scan, op5_substring_dedup, op6_mixing, op7_near_dedup, op9_fertility)}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op4_license_scan, op5_substring_dedup, op6_mixing, op7_near_dedup, op8_line_dedup, op9_fertility, op10_packing)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""

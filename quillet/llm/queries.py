@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm import exact_dedup, fertility, license_scan, line_dedup, mixing, near_dedup, packing, substring_dedup, token_files
+from quillet.llm import exact_dedup, fertility, html_extract, license_scan, line_dedup, mixing, near_dedup, packing, substring_dedup, token_files
 from quillet.llm.common import scratch, tokenizer_path
 
 
@@ -23,6 +23,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("rid", "spans")
 
@@ -55,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op4_license_scan, op5_substring_dedup, op6_mixing, op7_near_dedup, op8_line_dedup, op9_fertility, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_html_extract, op4_license_scan, op5_substring_dedup, op6_mixing, op7_near_dedup, op8_line_dedup, op9_fertility, op10_packing)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""

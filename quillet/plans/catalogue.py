@@ -1,6 +1,500 @@
-"""The named queries of the engine and their DuckDB equivalents."""
+"""The named queries of the engine and their DuckDB equivalents.
+
+Each query reads the tables under sf_dir, whole, and gives one DataFrame. Thresholds and reference times are arguments of
+the operators; the values here suit the tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillet.functions import quality, text, ttl
+from quillet.operators import context, dedup, graph, keyword, lifecycle, mailbox, maintenance, similarity, store
+from quillet.plans import sql
+from quillet.schema import memories_from_documents, messages_from_events
+from quillet.sources import snapshots
+from quillet.streaming.ingest import ingest
+
+NOW_TEXT, MAIL_NOW_TEXT = "timestamp'2025-01-15 00:00:00'", "timestamp'2024-01-20 00:00:00'"
+EDGE = 0.4
+PHRASE = "licensed under the apache license version 2.0 released public mit"
+PATTERNS = {"version": r"version (\d+\.?\d*)", "ratio": r"(\d+\.\d+)", "number": r"\b(\d{2,4})\b"}
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(f):
+    """Register f under its name, and the SQL of that name if there is one."""
+    QUERIES[f.__name__] = f
+    if f.__name__ in sql.SQL:
+        ORACLE_SQL[f.__name__] = sql.SQL[f.__name__]
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), "embedding", "label", F.col("label").cast("string").alias("tags"))
+
+
+def memories(spark, d) -> DataFrame:
+    return memories_from_documents(table(spark, d, "documents"))
+
+
+def corpus(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), "text")
+
+
+def messages(spark, d) -> DataFrame:
+    return messages_from_events(table(spark, d, "events"))
+
+
+def query_vector(spark, d) -> list[float]:
+    """The vector of row 0: one row."""
+    return vectors(spark, d).where("id = 0").select("embedding").first()[0]
+
+
+def short_time(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+# -- vectors ------------------------------------------------------------------
+
+
+@query
+def vector_topk(spark, d):
+    return similarity.topk(vectors(spark, d), query_vector(spark, d), 5, 0.3)
+
+
+@query
+def vector_topk_filtered(spark, d):
+    return similarity.topk(vectors(spark, d), query_vector(spark, d), 10, 0.1, F.col("label") == 3)
+
+
+@query
+def vector_threshold(spark, d):
+    return similarity.pairs(vectors(spark, d), 0.3).select("a", "b", F.round("sim", 4).alias("similarity"))
+
+
+@query
+def knn_batch(spark, d):
+    v = vectors(spark, d)
+    found = similarity.knn(v.where("id % 20 = 0"), v, 5)
+    return found.select("query_id", "id", "rank", F.round("sim", 4).alias("similarity"))
+
+
+@query
+def rerank_two_stage(spark, d):
+    return similarity.rerank(vectors(spark, d), query_vector(spark, d), 3, 10, 0.2)
+
+
+@query
+def search_all(spark, d):
+    v, q = vectors(spark, d), query_vector(spark, d)
+    active = similarity.topk(v.where("id % 2 = 0"), q, 5, 0.2).withColumn("state", F.lit("active"))
+    archived = similarity.topk(v.where("id % 2 = 1"), q, 5, 0.2).withColumn("state", F.lit("archived"))
+    return active.unionByName(archived)
+
+
+# -- gate and tokens ----------------------------------------------------------
+
+
+@query
+def quality_gate(spark, d):
+    layer = quality.reject_layer("text")
+    return memories(spark, d).select("id", layer.alias("layer"), layer.isNull().alias("accepted"))
+
+
+@query
+def quality_gate_counts(spark, d):
+    return memories(spark, d).groupBy(F.coalesce(quality.reject_layer("text"), F.lit("accepted")).alias("layer")).agg(F.count("*").alias("n"))
+
+
+@query
+def tokenize_counts(spark, d):
+    t = text.tokens("text")
+    return corpus(spark, d).select("id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
+
+
+@query
+def doc_freq(spark, d):
+    t = corpus(spark, d).select("id", F.explode(F.array_distinct(text.tokens("text"))).alias("token"))
+    return t.groupBy("token").agg(F.count("*").alias("df"))
+
+
+@query
+def term_freq(spark, d):
+    t = corpus(spark, d).select("id", F.explode(text.tokens("text")).alias("token"))
+    return t.groupBy("id", "token").agg(F.count("*").alias("tf"))
+
+
+# -- keyword and hybrid search ------------------------------------------------
+
+
+def phrase(spark) -> DataFrame:
+    return spark.createDataFrame([(0, PHRASE)], "qid bigint, query string")
+
+
+@query
+def bm25_topk(spark, d):
+    return keyword.search(corpus(spark, d), phrase(spark), 10).select("id", "score", "rank")
+
+
+@query
+def bm25_batch(spark, d):
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return keyword.search(corpus(spark, d), q, 3).select("qid", "id", "score", "rank")
+
+
+@query
+def hybrid_rrf(spark, d):
+    v = vectors(spark, d).join(corpus(spark, d).select("id"), "id", "left_semi")
+    return keyword.hybrid(v, corpus(spark, d), query_vector(spark, d), PHRASE, 5)
+
+
+# -- graph --------------------------------------------------------------------
+
+
+def similarity_graph(spark, d) -> DataFrame:
+    return graph.edges(vectors(spark, d), EDGE)
+
+
+@query
+def sim_edges(spark, d):
+    return similarity_graph(spark, d)
+
+
+@query
+def degree(spark, d):
+    return graph.degrees(similarity_graph(spark, d))
+
+
+@query
+def hubs(spark, d):
+    return graph.hubs(similarity_graph(spark, d))
+
+
+@query
+def graph_stats(spark, d):
+    return graph.stats(vectors(spark, d), similarity_graph(spark, d))
+
+
+@query
+def components(spark, d):
+    return graph.clusters(similarity_graph(spark, d), vectors(spark, d).select("id", "ord"))
+
+
+@query
+def cluster_summary(spark, d):
+    g, v = graph.held(similarity_graph(spark, d), "edges"), vectors(spark, d)
+    s = graph.summaries(v, g, graph.clusters(g, v.select("id", "ord")))
+    tags = F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return s.select("cluster", "size", F.array_join(F.transform("top_hubs", lambda x: x.cast("string")), ",").alias("top_hubs"), tags.alias("tags"))
+
+
+@query
+def node_table(spark, d):
+    g, v = graph.held(similarity_graph(spark, d), "edges"), vectors(spark, d)
+    n = v.select("id", "ord", "tags").join(graph.degrees(g), "id", "left").join(graph.clusters(g, v.select("id", "ord")), "id", "left")
+    return n.select("id", "tags", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("cluster", F.lit("")).alias("cluster"))
+
+
+@query
+def neighbors_1hop(spark, d):
+    return graph.neighbours(similarity_graph(spark, d), vectors(spark, d).where("id % 20 = 0").select("id"), 1)
+
+
+@query
+def neighbors_2hop(spark, d):
+    g = graph.held(similarity_graph(spark, d), "edges")
+    return graph.neighbours(g, vectors(spark, d).where("id % 20 = 0").select("id"), 2)
+
+
+@query
+def guided_search(spark, d):
+    g, v, c = graph.held(similarity_graph(spark, d), "edges"), vectors(spark, d), corpus(spark, d)
+    base = keyword.hybrid(v.join(c.select("id"), "id", "left_semi"), c, query_vector(spark, d), PHRASE, 10)
+    from pyspark.sql import Window
+
+    order = Window.orderBy(F.desc("score"), F.col("vector_rank").asc_nulls_last(), "bm25_rank", "id")
+    base = base.select("id", "score", (F.row_number().over(order) - 1).alias("rank"))
+    return graph.guided(base, c, g, graph.clusters(g, v.select("id", "ord")), PHRASE, 5)
+
+
+# -- dedup --------------------------------------------------------------------
+
+
+@query
+def keyword_jaccard(spark, d):
+    k = corpus(spark, d).select("id", text.keywords("text").alias("k"))
+    nxt = k.select((F.col("id") - 1).alias("id"), F.col("k").alias("k2"))
+    return k.join(nxt, "id").select("id", F.size("k").alias("n_keywords"), F.round(text.overlap("k", "k2"), 4).alias("shared"))
+
+
+@query
+def dedup_tiers_static(spark, d):
+    rows = corpus(spark, d).join(vectors(spark, d).select("id", "embedding"), "id")
+    return dedup.static_tiers(rows.where("id % 20 = 0"), rows, recall=0.1, least=0.02, skip=0.35, merge=0.25)
+
+
+@query
+def write_batch(spark, d):
+    from quillet.functions.vectors import embed
+
+    c = corpus(spark, d)
+    return dedup.write_batch(c.join(embed(c, dims=512), "id"))
+
+
+@query
+def duplicate_sweep(spark, d):
+    from quillet.functions.vectors import embed
+
+    c = corpus(spark, d)
+    return maintenance.duplicate_sweep(c.join(embed(c, dims=512), "id"))
+
+
+# -- lifecycle ----------------------------------------------------------------
+
+
+@query
+def ttl_assign(spark, d):
+    return memories(spark, d).select("id", ttl.ttl_of("tags").alias("ttl"), short_time("expire_at").alias("expire_at"))
+
+
+@query
+def ttl_histogram(spark, d):
+    return store.ttl_counts(memories(spark, d))
+
+
+@query
+def archive_preview(spark, d):
+    p = lifecycle.preview(memories(spark, d), F.expr(NOW_TEXT))
+    return p.select("would_archive", "kept", F.array_join("examples", "|").alias("examples"))
+
+
+@query
+def archive_split(spark, d):
+    return lifecycle.split(memories(spark, d), F.expr(NOW_TEXT)).select("id", "state", short_time("archived_at").alias("archived_at"))
+
+
+@query
+def restore_ids(spark, d):
+    ids = memories(spark, d).where("ord % 3 = 0").select("id")
+    return lifecycle.restore(lifecycle.split(memories(spark, d), F.expr(NOW_TEXT)), ids).select("id", "state", short_time("archived_at").alias("archived_at"))
+
+
+@query
+def backfill_ttl(spark, d):
+    b = store.backfill_ttl(memories(spark, d))
+    return b.select("id", "ttl_days", short_time("expire_at").alias("expire_at"))
+
+
+@query
+def backfill_meta(spark, d):
+    m = memories(spark, d).select("id", F.when(F.col("ord") % 4 != 0, F.col("source")).alias("source"), F.when(F.col("ord") % 6 != 0, F.col("created_at")).alias("created_at"), F.when(F.col("ord") % 9 != 0, F.lit(1)).alias("merged_count"))
+    return store.backfill_metadata(m, F.expr(NOW_TEXT)).select("id", "source", short_time("created_at").alias("created_at"), "merged_count")
+
+
+# -- store --------------------------------------------------------------------
+
+
+@query
+def stats(spark, d):
+    return store.overview(memories(spark, d)).select("total_memories", "missing_ttl", "missing_expire", short_time("oldest").alias("oldest"), short_time("newest").alias("newest"))
+
+
+@query
+def tag_dist(spark, d):
+    return store.tag_counts(memories(spark, d))
+
+
+@query
+def source_dist(spark, d):
+    return store.source_counts(memories(spark, d))
+
+
+@query
+def list_page(spark, d):
+    return store.page(memories(spark, d), 25, 50)[1].select("id", "ord", "source")
+
+
+@query
+def update_merge(spark, d):
+    m = memories(spark, d).select("id", "ord", F.create_map(F.lit("a"), F.col("source"), F.lit("b"), F.lit("old")).alias("extra"))
+    patch = m.where("ord % 3 = 0").select("id", F.create_map(F.lit("b"), F.lit("new"), F.lit("c"), F.lit("1")).alias("set"), F.array(F.lit("a")).alias("drop"))
+    u = store.update(m, patch)
+    return u.select("id", F.col("extra")["a"].alias("a"), F.col("extra")["b"].alias("b"), F.col("extra")["c"].alias("c"))
+
+
+@query
+def delete_ids(spark, d):
+    m = memories(spark, d)
+    return store.delete(m, m.where("ord % 7 = 0").select("id"))[1].groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query
+def chat_cleanup(spark, d):
+    return store.without_chat(memories(spark, d)).agg(F.count("*").alias("n"))
+
+
+@query
+def export_json(spark, d):
+    items = snapshots.export_items(memories(spark, d))
+    return snapshots.restored(items, "-restored").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+# -- maintenance --------------------------------------------------------------
+
+
+@query
+def numeric_facts(spark, d):
+    f = maintenance.numeric_facts(corpus(spark, d), PATTERNS)
+    return f.groupBy("id", "attr").agg(F.count("*").alias("n"), F.max("value").alias("largest"), F.min("raw").alias("first_raw"))
+
+
+@query
+def numeric_conflicts(spark, d):
+    m = memories(spark, d).select(F.col("ord").alias("id"), "ord", "text", F.col("source").alias("entity"), F.col("created_at").alias("ts"))
+    c = maintenance.conflicts(m, PATTERNS)
+    return c.select("entity", "attr", "values", "keep", F.size("drop").alias("n_drop"))
+
+
+@query
+def stale_count(spark, d):
+    return maintenance.stale_count(memories(spark, d), F.expr(NOW_TEXT), 200)
+
+
+@query
+def conflict_count(spark, d):
+    entity = "array(named_struct('text', source, 'label', 'organization'), named_struct('text', concat('p', cast(ord % 10 as string)), 'label', 'person'))"
+    return maintenance.conflict_count(memories(spark, d).select("text", F.expr(entity).alias("entities")))
+
+
+@query
+def audit_pairs(spark, d):
+    return maintenance.audit(vectors(spark, d), 0.35, 0.4, 0.45)
+
+
+@query
+def review_pairs(spark, d):
+    m = corpus(spark, d).select("id", "text", (F.col("id") % 10 == 0).alias("needs_review"), (F.col("id") + 1).alias("review_similar_to"))
+    return maintenance.review_pairs(m)
+
+
+@query
+def latency_summary(spark, d):
+    return maintenance.summary(table(spark, d, "events"), "value").select("n", F.round("avg", 4).alias("avg"), F.round("p50", 4).alias("p50"), F.round("max", 4).alias("max"))
+
+
+# -- conversations ------------------------------------------------------------
+
+
+def turns(spark, d) -> DataFrame:
+    return table(spark, d, "conversations")
+
+
+@query
+def turn_pairs(spark, d):
+    return context.turn_pairs(turns(spark, d))
+
+
+@query
+def turn_memories(spark, d):
+    return context.turn_memories(turns(spark, d)).select("conv_id", "turn", "text", F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def trivial_turns(spark, d):
+    return turns(spark, d).select("role", F.coalesce(context.trivial(context.without_blocks("text")), F.lit(False)).alias("trivial")).groupBy("role", "trivial").agg(F.count("*").alias("n"))
+
+
+@query
+def strip_context(spark, d):
+    wrapped = F.concat(F.lit("<memory-context>\nold\n</memory-context> "), F.coalesce("text", F.lit("")), F.lit(" <session-context>x</session-context>"))
+    return turns(spark, d).select("conv_id", "turn", "role", context.without_blocks(wrapped).alias("cleaned"))
+
+
+@query
+def session_tail(spark, d):
+    return context.session_tail(turns(spark, d))
+
+
+@query
+def context_block(spark, d):
+    from pyspark.sql import Window
+
+    near = similarity.rerank(vectors(spark, d), query_vector(spark, d), 5, 10, 0.2)
+    near = near.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")) - 1)
+    m = memories(spark, d).select(F.col("ord").alias("id"), "text", "tags", "created_at")
+    return context.context_block(near.join(m, "id"))
+
+
+# -- mailbox ------------------------------------------------------------------
+
+
+@query
+def mailbox_list(spark, d):
+    return mailbox.listed(messages(spark, d), F.expr(MAIL_NOW_TEXT), status="unread").select("id", "box", short_time("ts").alias("ts"))
+
+
+@query
+def mailbox_next_unread(spark, d):
+    return mailbox.next_unread(messages(spark, d), F.expr(MAIL_NOW_TEXT)).select("box", "id", short_time("ts").alias("ts"))
+
+
+@query
+def mailbox_ack(spark, d):
+    m = messages(spark, d)
+    first = mailbox.next_unread(m, F.expr(MAIL_NOW_TEXT)).select("id")
+    return mailbox.marked(m, first, "acked").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def mailbox_cleanup(spark, d):
+    return mailbox.cleanup_counts(messages(spark, d), F.expr(MAIL_NOW_TEXT))
+
+
+@query
+def mailbox_stats(spark, d):
+    return mailbox.stats(messages(spark, d))
+
+
+# -- streaming ----------------------------------------------------------------
+
+
+@query
+def stream_ingest(spark, d):
+    schema = table(spark, d, "events").schema
+    folder = graph.held(spark.range(1), "stream-home").inputFiles()[0].rsplit("/", 1)[0]
+    out = f"{folder}-messages"
+    kind = "id bigint, box bigint, ts timestamp, status string, ttl_hours int"
+    stream = messages_from_events(spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet"))
+    ingest(stream, lambda b: b.write.mode("append").parquet(out), f"{folder}-checkpoint", every=None).awaitTermination()
+    return spark.read.schema(kind).parquet(out).groupBy("status").agg(F.count("*").alias("n"), F.sum("ttl_hours").alias("hours"))
+
+
+# -- generic operators on the other tables ------------------------------------
+
+
+@query
+def orders_latest(spark, d):
+    """Of each customer the latest order: argmax per group."""
+    o = table(spark, d, "orders")
+    best = F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_orderdate", -F.col("o_orderkey")))
+    return o.groupBy("o_custkey").agg(best.alias("b")).select("o_custkey", "b.o_orderkey", "b.o_totalprice")
+
+
+@query
+def customers_without_orders(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query
+def pricing_rollup(spark, d):
+    rows = table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus")
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("l_discount"), 4).alias("discount"))

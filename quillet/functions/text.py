@@ -50,7 +50,7 @@ def overlap(a: Column | str, b: Column | str) -> Column:
 def parse_tags(raw: Column | str) -> Column:
     """Tags from a JSON array, or else from a comma list: trimmed, empty ones dropped. Null and empty give none."""
     raw = col(raw)
-    listed = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), F.trim), lambda x: x != "")
+    listed = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.from_json(raw, "array<string>", {"mode": "PERMISSIVE"}), listed)
 
 

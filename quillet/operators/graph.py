@@ -108,7 +108,8 @@ def neighbours(graph: DataFrame, starts: DataFrame, hops: int = 1, cap: int = NE
         found = found.select("start", "id", "weight", F.row_number().over(at).cast("long").alias("pos"), F.lit(hop).alias("hop"))
         seen = seen.unionByName(found)
     w = Window.partitionBy("start").orderBy(F.desc("weight"), "hop", "pos")
-    return seen.where("hop > 0").withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < cap).select("start", "id", F.round("weight", 9).alias("weight"), "rank")
+    ranked = seen.where("hop > 0").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)
+    return ranked.select("start", "id", F.round("weight", 9).alias("weight"), (F.col("rn") - 1).alias("rank"))
 
 
 def guided(base: DataFrame, corpus: DataFrame, graph: DataFrame, members: DataFrame, text: str, top_k: int = 5, use_cluster: bool = True, expand: bool = True, hops: int = 1) -> DataFrame:

@@ -46,7 +46,7 @@ def search(corpus: DataFrame, queries: DataFrame, top_k: int = 10, k1: float = K
     """qid, id, ord, score (4 decimals), rank from 0; ranked on the rounded score, ties in the corpus's order."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "ord")
     found = scores(corpus, queries, k1, b).withColumn("score", F.round("score", 4)).where("score > 0")
-    return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < top_k)
+    return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top_k).withColumn("rank", F.col("rn") - 1).drop("rn")
 
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int = 60, key: Column | str = "id") -> DataFrame:

@@ -82,8 +82,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, threshold: float = 0.
 
     found = of_pairs(blocks(queries, block), blocks(corpus, block), None, best)
     w = Window.partitionBy("a").orderBy(F.desc(F.round("sim", DECIMALS)), "b")
-    ranked = found.withColumn("rank", F.row_number().over(w) - 1).where((F.col("rank") < k) & (F.col("sim") >= threshold))
-    return ranked.select(F.col("a").alias("query_id"), F.col("b").alias("id"), "rank", "sim")
+    ranked = found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).where(F.col("sim") >= threshold)
+    return ranked.select(F.col("a").alias("query_id"), F.col("b").alias("id"), (F.col("rn") - 1).alias("rank"), "sim")
 
 
 def pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import tempfile
 import uuid
@@ -157,55 +158,67 @@ class Tokens:
 
     The file must split texts by the byte-level pattern. Texts of characters whose class no version of Unicode has
     changed are split here and each new piece is encoded by the library once; other texts go to the library whole.
-    memory: how many pieces are remembered at most.
+    memory: how many pieces are remembered at most; beyond it the first quarter stays, as frequent pieces come early.
     """
 
     LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏА-я一-龥ぁ-ゖァ-ヺ"
     NUMBER = "0-9²³¹¼-¾"
     PLAIN = re.compile(rf"[\t-\r\x20-\x7e¡-ɏ‐-‧‰-⁞₠-€{LETTER}]*").fullmatch
+    #: The byte-level alphabet: bytes without a printable character of their own stand for characters from 256 on.
+    BYTES = dict(zip((b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)), range(256, 512), strict=False))
     SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+").findall
 
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.forget()
+        self.index, self.held = {}, []
+        self.flat, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def forget(self) -> None:
-        self.index, self.ids, self.sizes = {}, [], []
-        self.flat, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Keep the pieces learnt first."""
+        n = self.memory // 4
+        self.index = dict(itertools.islice(self.index.items(), n))
+        self.size, self.at = self.size[:n], self.at[:n]
+        self.flat = self.flat[: int(self.size.sum())]
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces in one call and remember them."""
-        for a in range(0, len(pieces), 20_000):
-            part = pieces[a : a + 20_000]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            of = np.asarray(e.word_ids, np.int64)
-            self.ids.append(np.asarray(e.ids, np.uint32))
-            self.sizes.append(np.bincount(of, minlength=len(part)))
-            n = len(self.index)
-            self.index.update(zip(part, range(n, n + len(part)), strict=True))
-        self.flat = np.concatenate([self.flat, *self.ids])
-        self.size = np.concatenate([self.size, *self.sizes])
-        self.at = np.cumsum(self.size) - self.size
-        self.ids, self.sizes = [], []
+        """Encode new pieces and remember them."""
+        tokenize, plain = self.tokenizer.model.tokenize, self.BYTES
+        coded = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(plain))] for p in pieces]
+        n = len(self.index)
+        self.index.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        self.held.append((np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(size.sum())), size))
+
+    def settle(self) -> None:
+        """Put what was learnt behind what is known."""
+        if self.held:
+            self.flat = np.concatenate([self.flat, *(x for x, _ in self.held)])
+            self.size = np.concatenate([self.size, *(x for _, x in self.held)])
+            self.at, self.held = np.cumsum(self.size) - self.size, []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """An array of uint32 ids for each text."""
         pieces = [self.SPLIT(t) if self.PLAIN(t) and not any(s in t for s in self.special) else None for t in texts]
-        new = {p for x in pieces if x for p in x if p not in self.index}
-        if len(self.index) + len(new) > self.memory:
+        flat = list(itertools.chain.from_iterable(x for x in pieces if x))
+        if len(self.index) + len(flat) > self.memory and len(self.index) > self.memory // 2:
             self.forget()
-            new = {p for x in pieces if x for p in x}
-        if new:
-            self.learn(sorted(new))
-        out, get = [], self.index.__getitem__
+        place = np.fromiter(map(self.index.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            missing = [flat[i] for i in unknown.tolist()]
+            self.learn(list(dict.fromkeys(missing)))
+            self.settle()
+            place[unknown] = np.fromiter(map(self.index.__getitem__, missing), np.int64, len(missing))
+        out, at = [], 0
         for t, x in zip(texts, pieces, strict=True):
             if x is None:
                 out.append(np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
                 continue
-            i = np.fromiter(map(get, x), np.int64, len(x))
+            i = place[at : at + len(x)]
+            at += len(x)
             out.append(gather(self.flat, self.at[i], self.size[i]))
         return out
 

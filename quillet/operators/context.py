@@ -10,9 +10,9 @@ from quillet.functions.text import col, stripped
 # Acknowledgements, and the marks of a recalled block.
 TRIVIAL = r"^(?:嗯|好|ok|继续|go\s*on|next|yes|no|对|行|可以|明白|了解|收到)$|^[!！?？。.]{1,3}$"
 BLOCKS = ("memory-context", "session-context")
-HEADER = "<memory-context>\n[local-memory-stack] Contextual recall:\n"
+HEADER = "<memory-context>\n[memory] Contextual recall:\n"
 FOOTER = "\n</memory-context>"
-FACTS_HEADER = "[local-memory-stack preserved facts]\n"
+FACTS_HEADER = "[memory preserved facts]\n"
 FACTS_QUERY = "key facts decisions commitments preferences"
 
 
@@ -54,8 +54,8 @@ def session_tail(turns: DataFrame, last: int = 5, chars: int = 200) -> DataFrame
 
 def mirrored(writes: DataFrame) -> DataFrame:
     """text, source, tags of adds and replacements (action, target, content, session_id) of another memory."""
-    tags = F.array_compact(F.array(F.concat(F.lit("target:"), F.col("target")), F.lit("source:hermes-builtin-memory"), F.when(F.coalesce("session_id", F.lit("")) != "", F.concat(F.lit("session:"), F.col("session_id")))))
-    return writes.where("action in ('add', 'replace')").select(F.col("content").alias("text"), F.lit("hermes-builtin-memory").alias("source"), tags.alias("tags"))
+    tags = F.array_compact(F.array(F.concat(F.lit("target:"), F.col("target")), F.lit("source:builtin-memory"), F.when(F.coalesce("session_id", F.lit("")) != "", F.concat(F.lit("session:"), F.col("session_id")))))
+    return writes.where("action in ('add', 'replace')").select(F.col("content").alias("text"), F.lit("builtin-memory").alias("source"), tags.alias("tags"))
 
 
 def line(text: str = "text", tags: str = "tags", created: str = "created_at") -> Column:

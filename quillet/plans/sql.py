@@ -155,7 +155,7 @@ SQL = {
     "strip_context": f"SELECT conv_id, turn, role, {cleaned('text')} AS cleaned FROM conversations",
     "session_tail": "WITH b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM conversations WHERE text IS NOT NULL) SELECT conv_id, string_agg(substring(text, 1, 200), ' ' ORDER BY back DESC) AS snippet FROM b WHERE back <= 5 GROUP BY 1 HAVING trim(snippet) <> ''",
     "context_block": f"""WITH {QUERY}, {MEMORIES}, n AS (SELECT id, round(sim, 4) AS sim4 FROM s WHERE sim >= 0.2 ORDER BY round(sim, 6) DESC, id LIMIT 5)
-        SELECT CASE WHEN count(*) > 0 THEN '<memory-context>' || chr(10) || '[local-memory-stack] Contextual recall:' || chr(10) || string_agg('- ' || CASE WHEN len(tags) > 0 THEN '[' || array_to_string(tags, ', ') || '] ' ELSE '' END || text || '  (' || strftime(created_at, '%Y-%m-%d') || ')', chr(10) ORDER BY sim4 DESC, n.id) || chr(10) || '</memory-context>' ELSE '' END AS block
+        SELECT CASE WHEN count(*) > 0 THEN '<memory-context>' || chr(10) || '[memory] Contextual recall:' || chr(10) || string_agg('- ' || CASE WHEN len(tags) > 0 THEN '[' || array_to_string(tags, ', ') || '] ' ELSE '' END || text || '  (' || strftime(created_at, '%Y-%m-%d') || ')', chr(10) ORDER BY sim4 DESC, n.id) || chr(10) || '</memory-context>' ELSE '' END AS block
         FROM n JOIN memories m ON m.ord = n.id""",
     "mailbox_list": f"WITH {MESSAGES} SELECT id, box, strftime(ts, {FMT}) AS ts FROM messages WHERE ts IS NOT NULL AND status = 'unread' AND live",
     "mailbox_next_unread": f"WITH {MESSAGES} SELECT box, id, strftime(ts, {FMT}) AS ts FROM messages WHERE status = 'unread' AND live QUALIFY row_number() OVER (PARTITION BY box ORDER BY messages.ts, id) = 1",

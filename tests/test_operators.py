@@ -220,7 +220,7 @@ def test_context(spark):
     tails = {r.conv_id: r.snippet for r in context.session_tail(turns, last=2).collect()}
     assert tails == {1: "sure bye", 2: "hello"}
     rec = spark.createDataFrame([(0, 7, "fact", ["a", "b"], dt.datetime(2024, 1, 2, 12), 0.5), (1, 8, "more", [], None, 0.4)], "rank int, id bigint, text string, tags array<string>, created_at timestamp, similarity double")
-    assert context.context_block(rec).first().block == "<memory-context>\n[local-memory-stack] Contextual recall:\n- [a, b] fact  (2024-01-02)\n- more\n</memory-context>"
+    assert context.context_block(rec).first().block == "<memory-context>\n[memory] Contextual recall:\n- [a, b] fact  (2024-01-02)\n- more\n</memory-context>"
     assert context.context_block(rec.where("false")).first().block == ""
     assert json.loads(context.tool_result(rec).first().result)["count"] == 2
     assert context.facts_block(rec).first().block.endswith("- fact\n- more")

@@ -1,6 +1,6 @@
 """Packing documents into sequences by lexical retrieval.
 
-The documents are dealt at random, by a hash, into shards of about `shard_bytes` of text, so every shard holds a sample
+The documents are dealt at random, by a hash, into shards of about `shard_bytes` (6 MB) of text, so every shard holds a sample
 of all sources and is as large as any other; there are as many shards as the corpus needs. Each shard has its own BM25
 inverted index. A seed document opens a window; its unused neighbours by BM25 fill it: those that fit whole in order
 of score, then the best of the others, cut where the window ends. The rest of a cut document opens the next window
@@ -29,25 +29,33 @@ class Index:
         data, offsets = row_bytes(texts)
         starts, ends, rows = word_starts(data, offsets)
         self.n, self.query_terms = len(rows) - 1, query_terms
-        terms, at = np.unique(word_hashes(data, starts, ends), return_inverse=True)
         sizes = np.diff(rows)
-        doc = np.repeat(np.arange(self.n), sizes)
-        pair, tf = np.unique(doc * max(1, len(terms)) + at, return_counts=True)
-        self.doc, self.term = pair // max(1, len(terms)), pair % max(1, len(terms))
-        df = np.bincount(self.term, minlength=len(terms))
+        # a word is the highest bits of its hash; document and word, or word and place, fit one number, so plain sorts do
+        bits = max(1, len(starts).bit_length())
+        width = 63 - bits
+        word = word_hashes(data, starts, ends) >> np.uint64(64 - width)
+        pair = np.sort(np.repeat(np.arange(self.n), sizes) << width | word.astype(np.int64))
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        pair, tf = pair[first], np.diff(np.append(first, len(pair)))
+        doc = (pair >> width).astype(np.int32)
+        by_term = np.sort((pair & (1 << width) - 1) << bits | np.arange(len(pair)))
+        new = np.flatnonzero(np.diff(by_term >> bits, prepend=-1))
+        by_term &= (1 << bits) - 1
+        self.of_term = np.append(new, len(by_term))
+        df = np.diff(self.of_term)
+        self.term = np.empty(len(pair), np.int32)
+        self.term[by_term] = np.repeat(np.arange(len(df), dtype=np.int32), df)
         idf = np.log((self.n - df + 0.5) / (df + 0.5) + 1)
-        norm = k1 * (1 - b + b * sizes[self.doc] / max(1.0, sizes.mean() if self.n else 1.0))
-        self.weight = idf[self.term] * tf * (k1 + 1) / (tf + norm)
-        self.rare = df[self.term] > 1  # a word of one document alone finds nothing
-        self.of_doc = np.searchsorted(self.doc, np.arange(self.n + 1))
-        by_term = np.argsort(self.term, kind="stable")
-        self.posting_doc, self.posting_weight = self.doc[by_term], self.weight[by_term]
-        self.of_term = np.searchsorted(self.term[by_term], np.arange(len(terms) + 1))
+        norm = (k1 * (1 - b + b * sizes / max(1.0, sizes.mean() if self.n else 1.0)))[doc]
+        self.weight = (idf[self.term] * tf * (k1 + 1) / (tf + norm)).astype(np.float32)
+        self.rare = df > 1  # a word of one document alone finds nothing
+        self.of_doc = np.searchsorted(doc, np.arange(self.n + 1))
+        self.posting_doc, self.posting_weight = doc[by_term], self.weight[by_term]
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share any of the seed's heaviest words, best score first, ties by place."""
         mine = np.arange(self.of_doc[seed], self.of_doc[seed + 1])
-        mine = mine[self.rare[mine]]
+        mine = mine[self.rare[self.term[mine]]]
         if len(mine) > self.query_terms:
             mine = mine[np.argpartition(-self.weight[mine], self.query_terms)[: self.query_terms]]
         spans = [(self.of_term[t], self.of_term[t + 1]) for t in self.term[mine]]
@@ -102,7 +110,7 @@ def fill(sizes: np.ndarray, index: Index, length: int) -> list[tuple[int, int, i
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, length: int = 2048, shard_bytes: int = 16 << 20, query_terms: int = 24) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, length: int = 2048, shard_bytes: int = 6 << 20, query_terms: int = 24) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     A document's tokens are the ids of its whole text and end_id; null and empty texts have end_id alone. Each token

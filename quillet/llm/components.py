@@ -21,7 +21,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u")
         small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
@@ -34,7 +34,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return stars.unionByName(stars.select(F.col("comp").alias("id"), "comp").distinct())
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, rounds: int = 2) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, rounds: int = 2, rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """id, comp of every id that has a link; members: rows (key, id, n), n the size of the id's set, staged.
 
     Two members of a bucket are linked if verify says so: it takes pairs (a, b) and returns those that are. What is
@@ -42,6 +42,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: fl
     another in each round, with its members outside the leader's component; then components are formed. Large groups
     collapse so in work that is linear in their size. At last all pairs of a bucket that still lie in different components
     and weren't compared are, so no link is lost: there is no cap. Sizes that differ by more than ratio can't link.
+    rest: gives these last pairs (a, b) from rows (key, id, n, comp), if the caller can tell which are worth a test.
     """
     near = lambda x, y: F.least(x, y) >= F.lit(ratio) * F.greatest(x, y)
     tested, links, comps = None, None, None
@@ -58,6 +59,8 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: fl
         if turn < rounds:
             pairs = now.join(open_.hint("merge"), "key").where((F.col("comp") != F.col("lead.comp")) & near(F.col("n"), F.col("lead.n")))
             pairs = pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
+        elif rest is not None:
+            pairs = rest(now.join(open_.select("key").hint("merge"), "key", "left_semi").select("key", "id", "n", "comp"))
         else:
             left = stage(now.join(open_.select("key").hint("merge"), "key", "left_semi"), "open")
             right = left.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))

@@ -6,7 +6,9 @@ arrived first. A process ends as soon as its next arrival is later than all regi
 about n + m ln m steps. Two texts agree in a register with the probability Jaccard similarity of their weights.
 
 Texts with the same words in the same order are one node from the start. Bands of registers give candidates,
-candidates are verified on their whole shingle sets, and components of verified links are the classes.
+candidates are verified on their whole shingle sets, and components of verified links are the classes. Where a bucket
+holds members that its leaders left apart, blocks of bounded size compare whole signatures, and the pairs whose estimate
+is within six standard errors of the threshold are verified.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, k: int, bands: int, band_rows: int) -> DataFrame:
-    """rid, doc_id, digest (of the word sequence), n (distinct shingles), bands (keys; none without words)."""
+    """rid, doc_id, digest (of the word sequence), n (distinct shingles), bands (keys; none without words), sig (16 bits a register)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -106,10 +108,39 @@ def signatures(rows: DataFrame, k: int, bands: int, band_rows: int) -> DataFrame
                 keys = band_keys(sig, bands, band_rows).view(np.int64)
                 digest = [hashlib.blake2b(_space.sub(b" ", t.encode("utf-8", "surrogatepass")).strip(b" "), digest_size=16).digest() for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_pydict(
-                    {"rid": batch.column("rid"), "doc_id": batch.column("doc_id"), "digest": pa.array(digest, pa.binary()), "n": n.astype(np.int64), "bands": pa.array([x if c else x[:0] for x, c in zip(keys, n, strict=True)], pa.list_(pa.int64()))}
+                    {"rid": batch.column("rid"), "doc_id": batch.column("doc_id"), "digest": pa.array(digest, pa.binary()), "n": n.astype(np.int64), "bands": pa.array([x if c else x[:0] for x, c in zip(keys, n, strict=True)], pa.list_(pa.int64())), "sig": pa.array([x.tobytes() for x in mix(sig).astype("<u2")], pa.binary())}
                 )
 
-    return rows.mapInArrow(sign, "rid bigint, doc_id bigint, digest binary, n bigint, bands array<bigint>")
+    return rows.mapInArrow(sign, "rid bigint, doc_id bigint, digest binary, n bigint, bands array<bigint>, sig binary")
+
+
+def close_pairs(rows: DataFrame, signed: DataFrame, threshold: float, ratio: float, block: int = 1024) -> DataFrame:
+    """a, b: pairs of a bucket's members (key, id, n, comp) in different components whose signatures agree in threshold of the registers.
+
+    A bucket's members are dealt into blocks of about `block` rows by a hash, and each pair of blocks is one group, so a
+    group stays small whatever the bucket holds; only the pairs that pass leave it.
+    """
+    rows = rows.join(signed.select(F.col("rid").alias("id"), "sig"), "id")
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = rows.join(blocks.hint("merge"), "key").withColumn("mine", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.select("key", "id", "n", "comp", "sig", "mine", other.alias("other")).withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, n, comp = (table[c].to_numpy() for c in ("id", "n", "comp"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(len(ids), -1)
+        mine, low, high = table["mine"].to_numpy(), table["low"][0].as_py(), table["high"][0].as_py()
+        x, y = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
+        same = np.zeros((len(x), len(y)), np.uint16)
+        for r in range(sig.shape[1]):
+            same += sig[x, r][:, None] == sig[y, r][None, :]
+        i, j = np.nonzero(same >= threshold * sig.shape[1])
+        a, b = x[i], y[j]
+        ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) >= ratio * np.maximum(n[a], n[b])) & ((ids[a] < ids[b]) | (low != high))
+        a, b = ids[a[ok]], ids[b[ok]]
+        return pa.Table.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(compare, "a bigint, b bigint")
 
 
 def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -152,7 +183,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = stage(keys.join(shared.hint("merge"), "key"), "members")
     sets = stage(shingle_sets(rows.join(members.select(F.col("id").alias("rid")).distinct(), "rid", "left_semi"), k), "shingles")
-    comps = link(members, lambda pairs: similar(pairs, sets, threshold), threshold)
+    margin = 6 * (threshold * (1 - threshold) / (bands * band_rows)) ** 0.5
+    comps = link(members, lambda pairs: similar(pairs, sets, threshold), threshold, rest=lambda rows: close_pairs(rows, signed, threshold - margin, threshold))
     node = signed.select("rid", "doc_id", "digest").join(reps.hint("merge"), "digest")
     node = node.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("rid", "doc_id", F.coalesce("comp", "rep").alias("comp"))
     node = stage(node, "nodes")

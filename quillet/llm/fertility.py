@@ -8,6 +8,7 @@ tokens again and again lies outside.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -74,7 +75,7 @@ def script_of(text: str) -> str:
 class Pieces:
     """How many pieces and byte pieces a word has under a sentencepiece model; each new word is encoded once."""
 
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 400_000):
         from sentencepiece import SentencePieceProcessor
 
         self.model, self.memory = SentencePieceProcessor(model_file=path), memory
@@ -83,18 +84,21 @@ class Pieces:
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The place of each word, and the table of (pieces, byte pieces) by place."""
-        new = sorted({w for w in words if w not in self.index})
-        if new and len(self.index) + len(new) > self.memory:
-            self.index, self.counts = {}, np.zeros((0, 2), np.int64)
-            new = sorted(set(words))
-        if new:
-            n = len(self.index)
+        if len(self.index) + len(words) > self.memory and len(self.index) > self.memory // 2:
+            n = self.memory // 4  # frequent words come early
+            self.index, self.counts = dict(itertools.islice(self.index.items(), n)), self.counts[:n]
+        place = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            missing = [words[i] for i in unknown.tolist()]
+            new, n = list(dict.fromkeys(missing)), len(self.index)
             self.index.update(zip(new, range(n, n + len(new)), strict=True))
             got = self.model.encode(new, num_threads=1)
             sizes = np.fromiter(map(len, got), np.int64, len(got))
-            is_byte = self.byte[np.fromiter((i for x in got for i in x), np.int64, int(sizes.sum()))]
+            is_byte = self.byte[np.fromiter(itertools.chain.from_iterable(got), np.int64, int(sizes.sum()))]
             self.counts = np.concatenate([self.counts, np.stack([sizes, np.bincount(np.repeat(np.arange(len(got)), sizes), is_byte, len(got)).astype(np.int64)], 1)])
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)), self.counts
+            place[unknown] = np.fromiter(map(self.index.__getitem__, missing), np.int64, len(missing))
+        return place, self.counts
 
 
 _pieces: dict[str, Pieces] = {}

@@ -432,6 +432,39 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
 
 
+def full_set(line, width=8):
+    return frozenset([line[i : i + width] for i in range(len(line) - width + 1)] or [line])
+
+
+def test_lines_have_shingles_at_every_character(spark):
+    """Lines that differ inside a word are different lines."""
+    lines = ["Invoice number 202400000001", "Invoice number 202499999999", "Responsibilities", "Responsible", "Internationalisation", "Internationally", "😀" * 3 + "abcdefgh" * 60, "short", "12345678"]
+    df = common.stage(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id bigint, text string"), "inside")
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(df).collect()} == dict.fromkeys(range(len(lines)), 0)
+    got = line_dedup.exploded(common.keyed(df, doc_id="doc_id", text="text")).select("doc_id", F.size(line_dedup.shingle_set(F.col("line"), 8)).alias("n"))
+    assert {r.doc_id: r.n for r in got.collect()} == {i: len(full_set(clean(t))) for i, t in enumerate(lines)}
+
+
+def test_lines_by_brute_force(spark):
+    """Lines of all lengths with changed words and characters, against all pairs of full sets."""
+    r = random.Random(12)
+    vocab = ["".join(r.choices("abcdefghij", k=r.randint(3, 9))) for _ in range(300)]
+    lines = [" ".join(r.choice(vocab) for _ in range(r.randint(1, 30))) for _ in range(120)]
+    for i in range(120):
+        at = r.randrange(len(lines[i]))
+        lines.append(r.choice([lines[i] + "x", lines[i][:at] + "é" + lines[i][at + 1 :], lines[i].upper()]))
+    r.shuffle(lines)
+    df = common.stage(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string"), "brute")
+    sets = [full_set(clean(x)) for x in lines]
+    linked = [(i, j) for i in range(len(lines)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    first = {}
+    for i, c in enumerate(union(len(lines), linked)):
+        first.setdefault(c, i)
+    got = {r.doc_id for r in line_dedup.dedup_lines(df).where("n_dropped = 0").collect()}
+    assert got == set(first.values())
+    assert len(linked) > 50
+
+
 # -- quality rules ------------------------------------------------------------
 
 

@@ -465,6 +465,21 @@ def test_lines_by_brute_force(spark):
     assert len(linked) > 50
 
 
+def test_small_sets_share_a_key(spark):
+    """Every pair of small sets at the threshold or above shares a key, whatever the hashes are."""
+    r = random.Random(3)
+    shapes = [(a, b, c) for a in range(1, 31) for b in range(a, 38) for c in range(1, a + 1) if min(a, b) <= 24 and 0.8 <= c / (a + b - c) < 0.84]
+    rows = []
+    for k in range(1500):
+        a, b, c = shapes[k % len(shapes)]
+        h = [r.randrange(-(2**63), 2**63) for _ in range(a + b - c)]
+        rows.append((sorted(h[:a]), sorted(h[a - c :])))
+    df = spark.createDataFrame(rows, "x array<bigint>, y array<bigint>")
+    x, y = (line_dedup.line_keys(F.col(c), 0.8, 12, 4) for c in "xy")
+    assert df.where(~F.arrays_overlap(x, y)).count() == 0
+    assert df.where(F.size(F.array_intersect("x", "y")) == 0).count() == 0
+
+
 # -- quality rules ------------------------------------------------------------
 
 

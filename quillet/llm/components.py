@@ -70,8 +70,8 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: fl
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            break
+        if pairs.isEmpty():  # a later turn has other leaders, and the last one all that is left
+            continue
         found = stage(verify(pairs).select("a", "b"), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)

@@ -389,6 +389,14 @@ def test_links_within_a_large_group_are_whole(spark):
     assert {r.id: r.comp for r in got.collect()} == {i: 0 for i in range(n)}
 
 
+def test_links_are_found_when_leaders_have_no_new_pairs(spark):
+    """Of three members one is of another size; whichever leads, the other two come together."""
+    for odd in range(3):
+        members = common.stage(spark.createDataFrame([(1, i, 100 if i == odd else 10) for i in range(3)], "key bigint, id bigint, n bigint"), "members")
+        got = components.link(members, lambda p: p, 0.8, rounds=1)
+        assert {r.id for r in got.collect()} == {0, 1, 2} - {odd}
+
+
 # -- line dedup ---------------------------------------------------------------
 
 

@@ -1,9 +1,10 @@
-"""MinHash near-dedup with ProbMinHash signatures of weighted word shingles.
+"""MinHash near-dedup with ProbMinHash signatures of the sets of word shingles.
 
 ProbMinHash. Every shingle of a text is a Poisson process whose rate is its weight; its arrivals come at times that a
 hash of the shingle alone decides and fall into one of m registers each, and a register keeps the shingle that
 arrived first. A process ends as soon as its next arrival is later than all registers' first ones, so a text costs
-about n + m ln m steps. Two texts agree in a register with the probability Jaccard similarity of their weights.
+about n + m ln m steps. Two texts agree in a register with the probability Jaccard similarity of their weights. All
+shingles of a text weigh 1, so this is the plain Jaccard similarity of their sets, by which links are decided.
 
 Texts with the same words in the same order are one node from the start. Bands of registers give candidates,
 candidates are verified on their whole shingle sets, and components of verified links are the classes. Where a bucket
@@ -81,11 +82,6 @@ def prob_minhash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_row
     return sig.reshape(n_rows, m)
 
 
-def weights(counts: np.ndarray) -> np.ndarray:
-    """A shingle that a text has c times weighs 1 + ln c."""
-    return 1.0 + np.log(counts)
-
-
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each band of a signature; the band's number is in it."""
     out = mix(np.arange(bands, dtype=np.uint64) + np.uint64(_GOLD))[None, :].repeat(len(sig), 0)
@@ -102,8 +98,8 @@ def signatures(rows: DataFrame, k: int, bands: int, band_rows: int) -> DataFrame
             for a in range(0, whole.num_rows, 1024):
                 batch = whole.slice(a, 1024)
                 texts = batch.column("text")
-                row, h, counts = shingles(texts, k)
-                sig = prob_minhash(row, h, weights(counts), batch.num_rows, bands * band_rows)
+                row, h, _ = shingles(texts, k)
+                sig = prob_minhash(row, h, np.ones(len(h)), batch.num_rows, bands * band_rows)
                 n = np.bincount(row, minlength=batch.num_rows)
                 keys = band_keys(sig, bands, band_rows).view(np.int64)
                 digest = [hashlib.blake2b(_space.sub(b" ", t.encode("utf-8", "surrogatepass")).strip(b" "), digest_size=16).digest() for t in texts.to_pylist()]

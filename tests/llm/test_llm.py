@@ -389,6 +389,16 @@ def test_links_within_a_large_group_are_whole(spark):
     assert {r.id: r.comp for r in got.collect()} == {i: 0 for i in range(n)}
 
 
+def test_signatures_of_repeated_passages_estimate_plain_jaccard(spark):
+    """A passage that one text has 100 times and the other once: the sets, and so the registers, are all but the same."""
+    passage, rest = (" ".join(f"{c}{i}" for i in range(100)) for c in "pr")
+    texts = [f"{' '.join([passage] * 100)} {rest}", f"{passage} {passage} {rest}"]
+    df = common.stage(spark.createDataFrame(list(enumerate(texts)), "rid bigint, text string").withColumn("doc_id", F.col("rid")), "repeats")
+    got = {r.rid: np.frombuffer(r.sig, "<u2") for r in near_dedup.signatures(df, 5, 36, 7).collect()}
+    assert grams(texts[0]) == grams(texts[1])
+    assert (got[0] == got[1]).all()
+
+
 def test_links_are_found_when_leaders_have_no_new_pairs(spark):
     """Of three members one is of another size; whichever leads, the other two come together."""
     for odd in range(3):

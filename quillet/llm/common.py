@@ -18,10 +18,12 @@ words_of = re.compile(WORD).findall
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one, set here, only where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a local one in local mode (tests), an error on a cluster."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillet-"))
         found = sc.getCheckpointDir()
     return found
@@ -36,13 +38,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_staged(*staged: DataFrame) -> None:
+    """Delete tables that stage() gave, when nothing reads them any more."""
+    for df in staged:
+        delete(df.sparkSession, df.staged_at)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Delete the staged tables of this application; results that still read them must be written first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/quillet-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark).rstrip('/')}/quillet-{spark.sparkContext.applicationId}")
 
 
 def pin_scans(spark: SparkSession) -> None:
@@ -52,17 +66,29 @@ def pin_scans(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
 
 
-def keyed(df: DataFrame, **columns: str) -> DataFrame:
+def column_of(df: DataFrame, name: str) -> str | None:
+    """The column of df that Spark finds under name (whatever the case, unless spark.sql.caseSensitive), or None."""
+    same = (lambda x: x) if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+    found = [c for c in df.columns if same(c) == same(name)]
+    if len(found) > 1:
+        found = [c for c in found if c == name]
+    return found[0] if found else None
+
+
+def keyed(df: DataFrame, optional: tuple[str, ...] = (), **columns: str) -> DataFrame:
     """rid, a key for each row, and the named columns under the operator's own names; other columns go, so they can't clash.
 
-    A column that df hasn't is null. The key follows the scan order, so a recomputed partition gets the same keys;
-    feed tables or staged frames, whose row order is fixed.
+    A column that df hasn't is an error, or null if it is optional. The key follows the scan order, so a recomputed
+    partition gets the same keys; feed tables or staged frames, whose row order is fixed.
     """
-    kinds = dict(df.dtypes)
+    places = {k: next((i for i, x in enumerate(df.columns) if x == column_of(df, c)), None) for k, c in columns.items()}
+    if missing := [columns[k] for k, i in places.items() if i is None and k not in optional]:
+        raise ValueError(f"the table has no column {', '.join(missing)}; it has {', '.join(df.columns)}")
     pin_scans(df.sparkSession)
+    df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return df.select(
         F.monotonically_increasing_id().alias("rid"),
-        *((F.col(f"`{c}`") if c in kinds else F.lit(None).cast("string")).alias(k) for k, c in columns.items()),
+        *((F.lit(None).cast("string") if i is None else F.col(f"c{i}")).alias(k) for k, i in places.items()),
     )
 
 
@@ -99,8 +125,9 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-_BYTE = np.random.RandomState(20240917).randint(1, 2**63, (2, 256)).astype(np.uint64)
 _POWER = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: The lowest n bytes of a 64-bit number, n from 0 to 8.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,21 +139,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, from running sums of byte values times powers of an odd number."""
+def word_halves(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word's bytes, together a 128-bit one.
+
+    A word of up to 15 bytes is two numbers, its bytes and its length, and the hashes are a bijection of them: two such
+    words never agree in both. Longer words are first digested by 128-bit xxh3, which is no algebraic sum of the bytes.
+    """
+    import xxhash
+
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    length = int((ends - starts).max())
-    power = np.cumprod(np.full(length, _POWER[which], np.uint64), dtype=np.uint64)
-    out = np.empty(len(starts), np.uint64)
-    step = 1 << 16
-    for a in range(0, len(starts), step):  # in blocks, so that what lies between words costs no memory
-        s, e = starts[a : a + step], ends[a : a + step]
-        n = e - s
-        at = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
-        within = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        out[a : a + step] = np.add.reduceat(_BYTE[which][data[at]] * power[within], np.cumsum(n) - n)
-    return mix(out ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded.data, 0, (1,))  # the eight bytes from each place on
+    n = ends - starts
+    low = eight[starts] & _BYTES[np.minimum(n, 8)]
+    high = eight[starts + 8] & _BYTES[np.clip(n - 8, 0, 7)] | np.minimum(n, 15).astype(np.uint64) << np.uint64(56)
+    raw = padded.data
+    for i in np.flatnonzero(n > 15).tolist():
+        d = xxhash.xxh3_128_intdigest(raw[starts[i] : ends[i]])
+        low[i], high[i] = d & 0xFFFFFFFFFFFFFFFF, d >> 64
+    first = mix(low ^ mix(high + np.uint64(_POWER[0])))
+    return first, mix(high ^ mix(first + np.uint64(_POWER[1])))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes."""
+    return word_halves(data, starts, ends)[0]
 
 
 def window_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
@@ -237,7 +275,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def with_key(df: DataFrame) -> tuple[DataFrame, str]:
     """df with the row key of keyed() under a name that df hasn't, and that name."""
     pin_scans(df.sparkSession)
-    name = "rid"
-    while name in df.columns:
+    name, taken = "rid", {c.lower() for c in df.columns}
+    while name in taken:
         name = f"_{name}"
     return df.withColumn(name, F.monotonically_increasing_id()), name

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
+import json
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/quillet-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+_scopes = {"now": "main", "last": None}
+
+
+def scratch(spark: SparkSession, name: str, scope: str | None = None) -> str:
+    """A new path in the shared folder, in the scope that is open."""
+    return f"{shared_dir(spark).rstrip('/')}/quillet-{spark.sparkContext.applicationId}/{scope or _scopes['now']}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is staged within goes when the next scope opens: for steps whose result is written before the next one begins.
+
+    One chain of such steps at a time in an application.
+    """
+    if _scopes["last"]:
+        delete(spark, _scopes["last"])
+    before, _scopes["now"] = _scopes["now"], f"scope-{uuid.uuid4().hex[:12]}"
+    _scopes["last"] = scratch(spark, "x").rsplit("/", 1)[0]
+    try:
+        yield
+    finally:
+        _scopes["now"] = before
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -194,7 +216,7 @@ def window_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
 class Tokens:
     """Ids of texts under a tokenizers file, the same as encode(add_special_tokens=False) gives, but with a memory of pieces.
 
-    The file must split texts by the byte-level pattern. Texts of characters whose class no version of Unicode has
+    A file that splits texts in another way than the byte-level pattern, or changes them first, is left to the library. Texts of characters whose class no version of Unicode has
     changed are split here and each new piece is encoded by the library once; other texts go to the library whole.
     memory: how many pieces are remembered at most; beyond it the first quarter stays, as frequent pieces come early.
     """
@@ -210,6 +232,10 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
+        told = json.loads(self.tokenizer.to_str())
+        split, model = told["pre_tokenizer"] or {}, told["model"]
+        as_known = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.as_known = as_known and told["normalizer"] is None and told["truncation"] is None and told["padding"] is None and model["type"] == "BPE" and not model.get("dropout")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.index, self.held = {}, []
         self.flat, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -239,7 +265,7 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """An array of uint32 ids for each text."""
-        pieces = [self.SPLIT(t) if self.PLAIN(t) and not any(s in t for s in self.special) else None for t in texts]
+        pieces = [self.SPLIT(t) if self.as_known and self.PLAIN(t) and not any(s in t for s in self.special) else None for t in texts]
         flat = list(itertools.chain.from_iterable(x for x in pieces if x))
         if len(self.index) + len(flat) > self.memory and len(self.index) > self.memory // 2:
             self.forget()
@@ -275,7 +301,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def with_key(df: DataFrame) -> tuple[DataFrame, str]:
     """df with the row key of keyed() under a name that df hasn't, and that name."""
     pin_scans(df.sparkSession)
-    name, taken = "rid", {c.lower() for c in df.columns}
-    while name in taken:
+    name = "rid"
+    while any(c.lower().startswith(name) for c in df.columns):  # so names that begin with it are free, too
         name = f"_{name}"
     return df.withColumn(name, F.monotonically_increasing_id()), name

@@ -1,8 +1,10 @@
 """Exact dedup by a tree merge of sorted digest runs. DataFrame functions only.
 
-Each scan partition becomes a run: one row per digest, sorted, with the smallest identifier and the number of rows.
+Each scan partition becomes a run: one row per digest, with the smallest identifier and the number of rows.
 In each round, groups of `fan_in` neighbouring runs exchange their rows (by group and digest, so that a group's run is
-itself spread over tasks) and merge into one run; a digest keeps its smallest identifier, verified by a second,
+itself spread over tasks) and merge into one run: the aggregate is sort-based, so each task sorts what has come in and
+folds equal digests in one pass, and a run is sorted by digest within each task. (An exchange doesn't keep the order of what it
+moves, so Spark sorts anew where a hand-written merge would go on with heads of runs; the rounds and what moves are the same.) a digest keeps its smallest identifier, verified by a second,
 independent digest and the length, which must agree at every level. After log_fan_in(runs) rounds one run is left.
 A digest sends one row per run at most, so a hot text is pre-aggregated before every exchange.
 """
@@ -50,7 +52,7 @@ def sorted_run(rows: DataFrame, run: Column) -> DataFrame:
     verified = F.when(F.col("check") == F.col("check2"), F.col("check")).otherwise(
         F.raise_error(F.concat(F.lit("two texts have one SHA-256: "), F.col("text_sha256"))).cast("long")
     )
-    return merged.select("run", "text_sha256", "first", "n", verified.alias("check")).sortWithinPartitions("run", "text_sha256")
+    return merged.select("run", "text_sha256", "first", "n", verified.alias("check"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillet.llm.common import keyed, with_key, words_of
+from quillet.llm.common import column_of, keyed, words_of
 from quillet.llm.token_files import shared_tokens
 
 
@@ -59,6 +59,7 @@ SCRIPTS = {
 _script = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
 _letter = re.compile(r"[^\W\d_]")
 SYMBOLS = "#*$%&|<>"
+LANGUAGES = frozenset(BANDS) - {*SCRIPTS, "other", ""}
 RESULT = "rid bigint, doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, band string, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, kept boolean"
 
 
@@ -133,43 +134,51 @@ def entropy(ids: np.ndarray) -> float:
     return max(0.0, float(-(p * np.log2(p)).sum()))
 
 
+class Judge:
+    """The measures of texts and what the rules say of them: the columns of RESULT from n_words on."""
+
+    def __init__(self, tokenizer: str, pieces: str, bands: dict[str, Band] = BANDS, min_words: int = 50):
+        if pieces not in _pieces:
+            _pieces[pieces] = Pieces(pieces)
+        self.tokens, self.pieces, self.bands, self.min_words = shared_tokens(tokenizer), _pieces[pieces], bands, min_words
+
+    def __call__(self, texts: list[str], langs: list[str | None]) -> list[tuple]:
+        words = [words_of(t) for t in texts]
+        at, counts = self.pieces.of([w for x in words for w in x])
+        ends, bands, out = np.cumsum([len(x) for x in words]), self.bands, []
+        for t, x, ids, end, lang in zip(texts, words, self.tokens.encode(texts), ends, langs, strict=True):
+            mine = at[end - len(x) : end]
+            chars = sum(map(len, x))
+            n_pieces, n_bytes = (int(v) for v in counts[mine].sum(0))
+            repeat = repeated_words(np.unique(mine, return_inverse=True)[1].astype(np.int64))
+            failed = len(x) < self.min_words or 100 * repeat > 50 * len(x)
+            name = lang if lang in bands and (lang in LANGUAGES or lang not in BANDS) else script_of(t)
+            if name not in bands:
+                name = "other"
+            b, e = bands[name], entropy(ids)
+            rate, share = chars / max(1, len(ids)), n_bytes / max(1, n_pieces)
+            inside = b.least_chars <= rate <= b.most_chars and share <= b.most_bytes and (len(x) < b.min_words or e >= b.least_entropy)
+            out.append((len(x), chars, sum(map(t.count, SYMBOLS)), duplicate_lines(t), repeat, failed, name, len(ids), rate, share, e, not failed and inside))
+        return out
+
+
 def measure(docs: DataFrame, tokenizer: str, pieces: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bands: dict[str, Band] = BANDS, min_words: int = 50) -> DataFrame:
     """One row per row of docs: the columns of RESULT.
 
     Null text: no words, so base_failed. base_failed: fewer than min_words words, or more than half of the words in
     3-word windows found twice or more. kept: not base_failed, and every measure in the band of the text's language
-    (lang_col, if it is there and bands has it) or else of its script. Texts of any length are read whole; equal
-    rows are judged alike; other columns are not read.
+    (lang_col, if it is there and names one that bands has; the empty string and names of scripts are no languages) or
+    else of its script. Texts of any length are read whole; equal rows are judged alike; other columns are not read.
     """
-    rows = keyed(docs, doc_id=id_col, text=text_col, lang=lang_col)
+    rows = keyed(docs, ("lang",), doc_id=id_col, text=text_col, lang=lang_col)
     rows = rows.selectExpr("rid", "cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(lang as string) lang")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared_tokens(tokenizer)
-        if pieces not in _pieces:
-            _pieces[pieces] = Pieces(pieces)
+        of = Judge(tokenizer, pieces, bands, min_words)
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 batch = whole.slice(a, 256)
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                words = [words_of(t) for t in texts]
-                flat = [w for x in words for w in x]
-                at, counts = _pieces[pieces].of(flat)
-                ends = np.cumsum([len(x) for x in words])
-                out = []
-                for t, x, ids, end, lang in zip(texts, words, tokens.encode(texts), ends, batch.column("lang").to_pylist(), strict=True):
-                    mine = at[end - len(x) : end]
-                    chars = sum(map(len, x))
-                    n_pieces, n_bytes = (int(v) for v in counts[mine].sum(0))
-                    repeat = repeated_words(np.unique(mine, return_inverse=True)[1].astype(np.int64))
-                    failed = len(x) < min_words or 100 * repeat > 50 * len(x)
-                    name = lang if lang in bands else script_of(t)
-                    if name not in bands:
-                        name = "other"
-                    b, e = bands[name], entropy(ids)
-                    rate, share = chars / max(1, len(ids)), n_bytes / max(1, n_pieces)
-                    inside = b.least_chars <= rate <= b.most_chars and share <= b.most_bytes and (len(x) < b.min_words or e >= b.least_entropy)
-                    out.append((len(x), chars, sum(map(t.count, SYMBOLS)), duplicate_lines(t), repeat, failed, name, len(ids), rate, share, e, not failed and inside))
+                out = of([t or "" for t in batch.column("text").to_pylist()], batch.column("lang").to_pylist())
                 names = [f.split()[0] for f in RESULT.split(", ")][2:]
                 cols = dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
                 yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "doc_id": batch.column("doc_id")} | cols)
@@ -177,9 +186,21 @@ def measure(docs: DataFrame, tokenizer: str, pieces: str, id_col: str = "doc_id"
     return rows.mapInArrow(judge, RESULT)
 
 
-def kept_documents(docs: DataFrame, tokenizer: str, pieces: str, **how) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns; docs must be a table or staged."""
-    marked, key = with_key(docs)
-    kept = measure(docs, tokenizer, pieces, **how).where("kept").select("rid").withColumnRenamed("rid", key)
-    return marked.join(kept, key, "left_semi").drop(key)
+def kept_documents(docs: DataFrame, tokenizer: str, pieces: str, text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns, judged as measure does, in one pass without a shuffle."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, lang = (names[docs.columns.index(c)] if (c := column_of(docs, x)) else None for x in (text_col, lang_col))
+    if text is None:
+        raise ValueError(f"the table has no column {text_col}")
+    plain = docs.toDF(*names)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Judge(tokenizer, pieces, **how)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                batch = whole.slice(a, 256)
+                texts = [t or "" for t in batch.column(text).cast(pa.string()).to_pylist()]
+                langs = batch.column(lang).cast(pa.string()).to_pylist() if lang else [None] * len(texts)
+                yield batch.filter(pa.array([x[-1] for x in of(texts, langs)], pa.bool_()))
 
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

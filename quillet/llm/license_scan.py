@@ -20,16 +20,21 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 #: Notices by label, as words; well-known first sentences and names of public licenses.
 NOTICES = {
     "apache": ["licensed under the apache license version 2 0"],
+    "boost": ["distributed under the boost software license version 1 0"],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd 3 clause license", "released under the bsd 2 clause license"],
     "cc-by": ["creative commons attribution 4 0 international", "licensed under cc by 4 0"],
     "cc-by-nc": ["creative commons attribution noncommercial 4 0 international", "licensed under cc by nc 4 0"],
+    "cc0": ["creative commons zero v1 0 universal", "no rights reserved cc0 1 0 universal public domain dedication"],
     "cc-by-sa": ["creative commons attribution sharealike 4 0 international", "licensed under cc by sa 4 0"],
+    "epl": ["made available under the terms of the eclipse public license"],
     "gpl": ["licensed under the gnu general public license version", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"],
     "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
     "lgpl": ["licensed under the gnu lesser general public license version"],
     "agpl": ["licensed under the gnu affero general public license version"],
     "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software", "released under the mit license", "licensed under the mit license"],
     "mpl": ["subject to the terms of the mozilla public license v 2 0"],
+    "wtfpl": ["do what the fuck you want to public license"],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
 RESULT = "rid bigint, doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label:string,first_word:bigint,last_word:bigint,start:bigint,stop:bigint,errors:int>>"
@@ -68,6 +73,18 @@ class Searcher:
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
 
+    def matches(self, i: int, text: str, a: int, b: int) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of notice i between a and b: the best match, and then what is left of it and right of it."""
+        _, notice, allowed = self.notices[i]
+        out, todo = [], [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            if b - a < len(notice) - allowed or not (m := self.patterns[i].search(text, a, b)):
+                continue
+            out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+            todo += [(a, m.start()), (m.end(), b)]
+        return out
+
     def search(self, text: str) -> list[tuple[str, int, int, int, float]]:
         """(label, start, end, edits, score) of each match, in order; of overlapping matches of two labels the better one."""
         windows: dict[int, list[list[int]]] = {}
@@ -85,9 +102,7 @@ class Searcher:
         for i, spans in windows.items():
             label, notice, _ = self.notices[i]
             for a, b in spans:
-                for m in self.patterns[i].finditer(text, a, min(b, len(text))):
-                    edits = sum(m.fuzzy_counts)
-                    found.append((label, m.start(), m.end(), edits, 1 - edits / len(notice)))
+                found += [(label, start, end, edits, 1 - edits / len(notice)) for start, end, edits in self.matches(i, text, a, min(b, len(text)))]
         best: list[tuple] = []  # where notices of two labels match one place, the one with fewer edits, then the longer
         for x in sorted(found, key=lambda x: (x[3], x[1] - x[2], x[0])):
             if all(x[0] == y[0] or x[2] <= y[1] or y[2] <= x[1] for y in best):

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillet.llm.common import WORD, keyed, n_words, stage, with_key
+from quillet.llm.common import WORD, column_of, keyed, n_words, stage, with_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -109,11 +109,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     which nothing is taken go. docs must be a table or staged.
     """
     marked, key = with_key(docs)
-    took = mix(docs, id_col, text_col, source_col, **how).where("taken > 0").select(F.col("rid").alias("_mix_rid"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
-    full = F.floor(F.col("_mix_taken") / F.col("_mix_size"))
-    part = F.col("_mix_taken") % F.col("_mix_size")
-    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    joined = marked.join(took, F.col(key) == F.col("_mix_rid")).withColumn("_mix_cut", F.explode(copies))
-    piece = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(rf"(?s)(?:^[\x20\x09-\x0D]+)?{WORD}[\x20\x09-\x0D]*"), 0), F.lit(1), F.col("_mix_cut").cast("int")), "")
-    text = F.when(F.col("_mix_cut") > 0, piece).otherwise(F.col(f"`{text_col}`"))
-    return joined.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = column_of(docs, text_col)
+    took = mix(docs, id_col, text_col, source_col, **how).where("taken > 0").select(*[F.col(c).alias(f"{key}_{c}") for c in ("rid", "size", "taken")])
+    rid, size, taken, cut = (F.col(f"{key}_{c}") for c in ("rid", "size", "taken", "cut"))
+    part = taken % size
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.floor(taken / size).cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    joined = marked.join(took, F.col(key) == rid).withColumn(f"{key}_cut", F.explode(copies))
+    piece = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(rf"(?s)(?:^[\x20\x09-\x0D]+)?{WORD}[\x20\x09-\x0D]*"), 0), F.lit(1), cut.cast("int")), "")
+    return joined.withColumn(text, F.when(cut > 0, piece).otherwise(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("rid", "spans")
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("rid")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

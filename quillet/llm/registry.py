@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from quillet.llm import pipeline
 from quillet.llm import queries as q
 
-QUERIES = {**q.QUERIES, "pipeline": corpus_pipeline.run}
-ORACLE_SQL = {**q.ORACLE_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+QUERIES = {**q.QUERIES, "pipeline": pipeline.run}
+ORACLE_SQL = {**q.ORACLE_SQL, **({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})}

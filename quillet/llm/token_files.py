@@ -88,7 +88,7 @@ def write(
     level: int = 3,
     partitions: int | None = None,
 ) -> None:
-    """Encode every whole text and write the ids in ascending doc_id order (null first; ties by text) to path.
+    """Encode every whole text and write the ids in ascending doc_id order (null first; ties by a hash of the text, then the text) to path.
 
     A null or empty text is end_id alone. segment_ids: a segment ends after the document that reaches so many ids;
     a longer document is one segment. partitions: of the range sort by doc_id; set by the input's size if None.
@@ -96,7 +96,8 @@ def write(
     spark = docs.sparkSession
     rows = keyed(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = partitions or max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")  # rows of one id, or without one, are spread over ranges, too
+    rows = rows.repartitionByRange(n, F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie, "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -98,7 +99,8 @@ def test_token_files(spark, docs, rows, shuffle):
     path = common.scratch(spark, "ids")
     token_files.write(docs, path, TOKENIZER, end_id=2, block_ids=100, segment_ids=500, shuffle=shuffle)
     t = token_files.shared_tokens(TOKENIZER)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    signed = lambda t: int.from_bytes(xxhash.xxh64_digest(t.encode(), seed=42), "big", signed=True)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1] or "")))
     want, at = [], 0
     for d, text, *_ in order:
         ids = [*t.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
@@ -257,6 +259,47 @@ def test_license_scan(spark):
     assert got[6].n_words == 0
 
 
+def edits(a, b):
+    """Fewest edits that turn a into a stretch of b, by where the stretch ends."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        now = [row[0] + 1]
+        for j, y in enumerate(b):
+            now.append(min(row[j] + (x != y), row[j + 1] + 1, now[j] + 1))
+        row = now
+    return row
+
+
+def test_every_notice_is_found_by_brute_force():
+    """Texts with several notices, exact and not: each planted one is in a span of its label, and each span is within the bound."""
+    r, notices = random.Random(9), ["released under the mit license", "licensed under the apache license version 2 0"]
+    s = license_scan.Searcher({"mit": [notices[0]], "apache": [notices[1]]}, 0.08)
+    for _ in range(150):
+        text, planted = "", []
+        for _ in range(r.randint(1, 4)):
+            text += " ".join("".join(r.choices("abcdelr", k=r.randint(1, 7))) for _ in range(r.randint(0, 9))) + " "
+            which = r.randrange(2)
+            t = list(notices[which])
+            for _ in range(r.choice([0, 0, 1, 2])):
+                i = r.randrange(len(t))
+                t[i : i + 1] = r.choice([[], ["q"], [t[i], "q"]])
+            planted.append((("mit", "apache")[which], len(text), len(text) + len(t)))
+            text += "".join(t) + " "
+        got = s.search(text)
+        for label, a, b in planted:
+            assert any(x[0] == label and x[1] < b and a < x[2] for x in got), (text, label, a, b)
+        for label, a, b, n, _ in got:
+            notice = notices[label == "apache"]
+            assert n <= license_scan.errors_allowed(notice) and edits(notice, text[a:b])[-1] <= n
+
+
+def test_a_worse_copy_before_a_better_one_is_found(spark):
+    df = spark.createDataFrame([(1, "undr the mit license and released undr the mit license; " + "x " * 20 + "released under the mit license")], "doc_id bigint, text string")
+    spans = license_scan.scan(df).first().spans
+    assert [(x.label, x.errors) for x in spans] == [("mit", 1), ("mit", 0)]
+    assert license_scan.scan(df.where("false")).count() == 0
+
+
 def test_pieces_find_every_match_within_the_bound():
     s = license_scan.Searcher({"x": ["released under the mit license"]}, 0.08)
     r = random.Random(1)
@@ -269,11 +312,18 @@ def test_pieces_find_every_match_within_the_bound():
 
 
 def test_license_words(docs, rows):
+    """Words, base places and labels against brute force, for every row: nulls, empty and long texts, repeated rows."""
+
     def lower(t):
         return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
-    got = {str(r.doc_id): r.n_words for r in license_scan.scan(docs.where("doc_id is not null")).collect()}
-    assert got == {str(d): len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))) for d, t, *_ in rows if d is not None}
+    want = []
+    for d, t, *_ in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        hits = [(i, label) for p, label in license_scan.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        want.append((d, len(w), len(hits), min((i for i, _ in hits), default=None), max((i for i, _ in hits), default=None), ",".join(sorted({x for _, x in hits}))))
+    got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan.scan(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 # -- substring dedup ----------------------------------------------------------
@@ -308,6 +358,13 @@ def test_substring_levels_go_on_until_nothing_survives(spark):
     assert got == {1: (140, 200, [(0, 200)]), 2: (140, 200, [(0, 200)]), 3: (35, 50, [(0, 50)])}
 
 
+def test_windows_of_words_that_sums_confuse(spark):
+    morse = lambda a, b: "".join(a if i.bit_count() % 2 else b for i in range(1024))
+    texts = [" ".join([f"w{i}" for i in range(17)] + [x] + [f"w{i}" for i in range(17, 34)]) for x in (morse("a", "b"), morse("b", "a"))]
+    df = common.stage(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "morse")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(df).collect()] == [0, 0]
+
+
 def test_substring_dedup_empty(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
@@ -459,6 +516,28 @@ def test_leaders_and_open_buckets(spark):
     assert components.leaders(members, lambda p: p.where("false"), 0.8).count() == 0
 
 
+def test_names_of_columns(spark):
+    """Names as Spark matches them; a missing column is an error, and clashing names of other columns do no harm."""
+    df = spark.createDataFrame([(1, "a b", "mine"), (2, "a  b", "mine")], "Doc_ID bigint, TEXT string, RID string")
+    assert {r.group_size for r in exact_dedup.dedup(df).collect()} == {2}
+    kept = exact_dedup.kept_documents(common.stage(df, "names"))
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "a b", "mine")]
+    with pytest.raises(ValueError, match="txt"):
+        exact_dedup.dedup(df, text_col="txt")
+
+
+def test_words_of_all_lengths_have_their_own_hashes():
+    """Words that differ in one byte, in length, or by letters in Thue-Morse order, which sums modulo 2 ** 64 confuse."""
+    morse = lambda n, a, b: "".join(a if i.bit_count() % 2 else b for i in range(n))
+    words_ = ["a" * n for n in range(1, 40)] + ["a" * n + "b" for n in range(40)] + ["\0" * n for n in range(1, 20)] + [morse(1024, "a", "b"), morse(1024, "b", "a")]
+    words_ = list(dict.fromkeys(words_))
+    texts = pa.array([" ".join(words_)])
+    data, offsets = common.row_bytes(texts)
+    starts, ends, _ = common.word_starts(data, offsets)
+    for h in common.word_halves(data, starts, ends):
+        assert len(set(h.tolist())) == len(words_) == len(h)
+
+
 # -- line dedup ---------------------------------------------------------------
 
 
@@ -618,6 +697,13 @@ def test_fertility_bands(spark):
     assert got[1] == (True, "en")
     assert got[2] == (False, "en")
     assert got[4] == (False, "")
+    russian = " ".join(r.choice("вода земля небо окно улица письмо вечер утро город слово время".split()) + r.choice(["", "м", "ми"]) for _ in range(150))
+    named = spark.createDataFrame([(i, russian, x) for i, x in enumerate([None, "", "latin", "other"])], "doc_id bigint, text string, lang string")
+    assert {(x.kept, x.band) for x in fertility.measure(named, TOKENIZER, PIECES).collect()} == {(True, "cyrillic")}
+    both = df.withColumn("c0", F.lit("mine"))
+    kept = fertility.kept_documents(both, TOKENIZER, PIECES)
+    assert kept.columns == both.columns
+    assert sorted((x.doc_id, x.c0) for x in kept.collect()) == sorted((d, "mine") for d, (ok, _) in got.items() if ok)
     assert fertility.measure(df.where("false"), TOKENIZER, PIECES).count() == 0
 
 

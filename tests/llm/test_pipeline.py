@@ -38,3 +38,5 @@ def test_pipeline(spark, tmp_path):
     pieces = corpus_pipeline.STAGES[4][1](spark, mixed, str(tmp_path)).collect()
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((p.doc_id, p.start, p.length, bytes(p.ids)) for p in whole) == sorted((p.doc_id, p.start, p.length, bytes(p.ids)) for p in pieces)
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

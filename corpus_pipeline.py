@@ -1,51 +1,7 @@
-"""The corpus pipeline: quality rules, exact dedup, near-dedup, mixing, packing.
-
-Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame. run() writes each stage's result
-as Parquet in the shared folder and reads it again as the next stage's docs. All stages but the last return
-the columns of documents; the last returns the pieces of the packed sequences.
-"""
+"""The corpus pipeline's stages and queries; quillet/llm/pipeline.py has them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from quillet.llm import exact_dedup, fertility, mixing, near_dedup, packing
-from quillet.llm.common import stage, tokenizer_path
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fertility rules reject go."""
-    return fertility.kept_documents(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id stays."""
-    return exact_dedup.kept_documents(docs)
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest doc_id stays."""
-    return near_dedup.kept_documents(docs)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; one document of a source may be cut where its budget ends."""
-    return mixing.mixed_documents(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with their ids."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
-
-
-STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]
-
-#: None: the near-dedup, mixing and packing stages have no SQL form; tests hold run() against brute-force versions.
-ORACLE_SQL = None
-
+from quillet.llm.pipeline import ORACLE_SQL, STAGES, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

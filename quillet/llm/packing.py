@@ -1,8 +1,12 @@
 """Packing documents into sequences by lexical retrieval.
 
-The documents are dealt at random, by a hash, into shards of about `shard_bytes` (6 MB) of text, so every shard holds a sample
-of all sources and is as large as any other; there are as many shards as the corpus needs. Each shard has its own BM25
-inverted index. A seed document opens a window; its unused neighbours by BM25 fill it: those that fit whole in order
+The documents are dealt into shards of about `shard_bytes` (6 MB) of text, each with its own BM25 inverted index, by what
+words they have: a document's key is the words that win two races of all its words, in which a word's speed is the square
+of its length (long words are rare); documents are range-partitioned by key, and the sorted rows of a range are cut into
+shards. So documents with rare words in common, in the same language at least, lie in one shard at any size of the
+corpus. Rows with equal keys are spread by a hash, so a hot key is many shards.
+
+A seed document opens a window; its unused neighbours by BM25 over all its words fill it: those that fit whole in order
 of score, then the best of the others, cut where the window ends. The rest of a cut document opens the next window
 and is its seed. If a seed has no unused neighbour left, the next unused document follows it. So all windows of a shard are
 full but the last.
@@ -10,25 +14,46 @@ full but the last.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import keyed, row_bytes, word_hashes, word_starts
+from quillet.llm.common import keyed, mix, row_bytes, word_hashes, word_starts
 from quillet.llm.token_files import shared_tokens
 
 PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 _piece = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
 
+def lexical_keys(texts: pa.Array) -> np.ndarray:
+    """Two 64-bit keys for each text: the hashes of the words that come first in two races; 0 without words."""
+    data, offsets = row_bytes(texts)
+    starts, ends, rows = word_starts(data, offsets)
+    words, out = word_hashes(data, starts, ends), np.zeros((len(rows) - 1, 2), np.int64)
+    full = np.flatnonzero(np.diff(rows))
+    if not len(full):
+        return out
+    slow = 1.0 / np.minimum(ends - starts, 20).astype(np.float64) ** 2
+    for k in (0, 1):
+        time = (mix(words + np.uint64(k + 1)) >> np.uint64(11)).astype(np.float64) * slow
+        first = np.flatnonzero(time == np.repeat(np.minimum.reduceat(time, rows[full]), np.diff(rows)[full]))
+        row = np.searchsorted(rows, first, "right") - 1
+        row, at = np.unique(row, return_index=True)
+        out[row, k] = words[first[at]].view(np.int64)
+    return out
+
+
 class Index:
     """A BM25 inverted index over the words of a shard's texts."""
 
-    def __init__(self, texts: pa.Array, k1: float = 1.5, b: float = 0.75, query_terms: int = 24):
+    def __init__(self, texts: pa.Array, k1: float = 1.5, b: float = 0.75):
         data, offsets = row_bytes(texts)
         starts, ends, rows = word_starts(data, offsets)
-        self.n, self.query_terms = len(rows) - 1, query_terms
+        self.n = len(rows) - 1
         sizes = np.diff(rows)
         # a word is the highest bits of its hash; document and word, or word and place, fit one number, so plain sorts do
         bits = max(1, len(starts).bit_length())
@@ -37,37 +62,40 @@ class Index:
         pair = np.sort(np.repeat(np.arange(self.n), sizes) << width | word.astype(np.int64))
         first = np.flatnonzero(np.diff(pair, prepend=-1))
         pair, tf = pair[first], np.diff(np.append(first, len(pair)))
-        doc = (pair >> width).astype(np.int32)
+        doc = pair >> width
         by_term = np.sort((pair & (1 << width) - 1) << bits | np.arange(len(pair)))
         new = np.flatnonzero(np.diff(by_term >> bits, prepend=-1))
         by_term &= (1 << bits) - 1
-        self.of_term = np.append(new, len(by_term))
-        df = np.diff(self.of_term)
-        self.term = np.empty(len(pair), np.int32)
-        self.term[by_term] = np.repeat(np.arange(len(df), dtype=np.int32), df)
+        of_term = np.append(new, len(by_term))
+        df = np.diff(of_term)
+        term = np.empty(len(pair), np.int64)
+        term[by_term] = np.repeat(np.arange(len(df)), df)
         idf = np.log((self.n - df + 0.5) / (df + 0.5) + 1)
         norm = (k1 * (1 - b + b * sizes / max(1.0, sizes.mean() if self.n else 1.0)))[doc]
-        self.weight = (idf[self.term] * tf * (k1 + 1) / (tf + norm)).astype(np.float32)
-        self.rare = df > 1  # a word of one document alone finds nothing
-        self.of_doc = np.searchsorted(doc, np.arange(self.n + 1))
-        self.posting_doc, self.posting_weight = doc[by_term], self.weight[by_term]
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share any of the seed's heaviest words, best score first, ties by place."""
-        mine = np.arange(self.of_doc[seed], self.of_doc[seed + 1])
-        mine = mine[self.rare[self.term[mine]]]
-        if len(mine) > self.query_terms:
-            mine = mine[np.argpartition(-self.weight[mine], self.query_terms)[: self.query_terms]]
-        spans = [(self.of_term[t], self.of_term[t + 1]) for t in self.term[mine]]
+        weight = idf[term] * tf * (k1 + 1) / (tf + norm)
+        of_doc = np.searchsorted(doc, np.arange(self.n + 1))
+        # the spans of the postings of each document's words; a word of one document alone finds nothing
+        self.spans = []
+        for a, z in zip(of_doc[:-1].tolist(), of_doc[1:].tolist(), strict=True):
+            t = term[a:z]
+            t = t[df[t] > 1]
+            self.spans.append((of_term[t], of_term[t + 1]))
+        self.posting_doc, self.posting_weight = doc[by_term], weight[by_term]
+
+    def neighbours(self, seed: int, used: np.ndarray, first: int = 48) -> Iterator[int]:
+        """Unused documents that share a word with the seed, best score first, ties by place; the best ones are ready sooner."""
+        spans = list(zip(*(x.tolist() for x in self.spans[seed]), strict=True))
         if not spans:
-            return np.zeros(0, np.int64)
+            return
         docs = np.concatenate([self.posting_doc[a:b] for a, b in spans])
-        score = np.concatenate([self.posting_weight[a:b] for a, b in spans])
-        found, at = np.unique(docs, return_inverse=True)
-        total = np.bincount(at, score)
-        free = ~used[found]
-        found, total = found[free], total[free]
-        return found[np.lexsort((found, -total))]
+        total = np.bincount(docs, np.concatenate([self.posting_weight[a:b] for a, b in spans]), self.n)
+        total[used] = 0
+        found = np.flatnonzero(total)
+        score = total[found]
+        least = np.partition(score, len(score) - first)[len(score) - first] if len(score) > first else 0.0
+        for part in (score >= least, score < least):
+            mine = found[part]
+            yield from mine[np.argsort(-score[part], kind="stable")].tolist()
 
 
 def fill(sizes: np.ndarray, index: Index, length: int) -> list[tuple[int, int, int, int, int]]:
@@ -98,11 +126,11 @@ def fill(sizes: np.ndarray, index: Index, length: int) -> list[tuple[int, int, i
             cut = -1
             for doc in near:
                 if sizes[doc] <= length - filled:
-                    put(int(doc), 0)
+                    put(doc, 0)
                     if not filled:
                         break
                 elif cut < 0:
-                    cut = int(doc)
+                    cut = doc
             if not filled or cut < 0:
                 break
             put(cut, 0)
@@ -110,30 +138,61 @@ def fill(sizes: np.ndarray, index: Index, length: int) -> list[tuple[int, int, i
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, length: int = 2048, shard_bytes: int = 6 << 20, query_terms: int = 24) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, length: int = 2048, shard_bytes: int = 6 << 20, lexical: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     A document's tokens are the ids of its whole text and end_id; null and empty texts have end_id alone. Each token
     lies in exactly one piece; pieces of a sequence follow each other without gaps from offset 0; a sequence has
-    length tokens, and only the last one of each shard may have fewer. Equal rows are packed each. sequence_id: the shard
-    and the number in it. An empty table gives no rows; other columns are not read.
+    length tokens, and only the last one of each shard may have fewer. Equal rows are packed each. sequence_id: the range
+    and the number in it. An empty table gives no rows; other columns are not read. shard_bytes: a shard ends with the
+    document that reaches so many bytes. lexical: deal documents by their words, not at random.
     """
     rows = keyed(docs, doc_id=id_col, text=text_col).selectExpr("rid", "cast(doc_id as bigint) doc_id", "coalesce(cast(text as string), '') text")
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("rid", "doc_id"), F.lit(shards)))
-
-    def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("rid", "ascending")])
-        texts, ids = table["text"].combine_chunks(), table["doc_id"].to_pylist()
-        shard, tokens, end, coded = table["shard"][0].as_py(), shared_tokens(tokenizer), np.asarray([end_id], np.uint32), []
+    ranges = max(1, -(-total // (4 * shard_bytes)))
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("k0", pa.int64()), ("k1", pa.int64())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
+                keys = lexical_keys(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "text")), pa.array(keys[:, 0]), pa.array(keys[:, 1])], schema=schema)
+
+    if lexical:
+        rows = rows.mapInArrow(deal, "rid bigint, doc_id bigint, text string, k0 bigint, k1 bigint")
+    else:
+        rows = rows.withColumns({"k0": F.lit(0).cast("long"), "k1": F.lit(0).cast("long")})
+    keys = [F.col("k0"), F.col("k1"), F.xxhash64("rid", "doc_id")]
+    rows = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+
+    def one(ids: list, texts: pa.Array, sequence: int) -> pa.RecordBatch:
+        tokens, end, coded = shared_tokens(tokenizer), np.asarray([end_id], np.uint32), []
         for a in range(0, len(ids), 256):
             coded += [np.concatenate([x, end]) for x in tokens.encode(texts.slice(a, 256).to_pylist())]
         sizes = np.array([len(x) for x in coded])
-        pieces = fill(sizes, Index(texts, query_terms=query_terms), length)
+        pieces = fill(sizes, Index(texts), length)
         cols = list(zip(*pieces, strict=True))
         data = [coded[d][s : s + k].astype("<u4").tobytes() for d, s, k, _, _ in pieces]
-        arrays = [[ids[d] for d in cols[0]], cols[1], cols[2], [int(sizes[d]) for d in cols[0]], [(shard << 32) + q for q in cols[3]], cols[4], data]
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(arrays, _piece, strict=True)], schema=_piece)
-
-    return rows.groupBy("shard").applyInArrow(one, PIECE)
+        arrays = [[ids[d] for d in cols[0]], cols[1], cols[2], [int(sizes[d]) for d in cols[0]], [sequence + q for q in cols[3]], cols[4], data]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(arrays, _piece, strict=True)], schema=_piece)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        sequence, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for whole in batches:
+            a, lengths = 0, pc.binary_length(whole.column("text")).to_numpy()
+            while a < whole.num_rows:
+                left = np.cumsum(lengths[a:])
+                n = min(len(left), int(np.searchsorted(left, shard_bytes - size)) + 1)
+                ids += whole.column("doc_id").slice(a, n).to_pylist()
+                texts.append(whole.column("text").slice(a, n).cast(pa.large_string()))
+                size, a = size + int(left[n - 1]), a + n
+                if size >= shard_bytes:
+                    yield (out := one(ids, pa.concat_arrays(texts), sequence))
+                    sequence, ids, texts, size = out.column("sequence_id")[-1].as_py() + 1, [], [], 0
+        if ids:
+            yield one(ids, pa.concat_arrays(texts), sequence)
+
+    return rows.mapInArrow(run, PIECE)

@@ -727,8 +727,9 @@ def test_packing(docs, rows, length, shard):
             at += p.length
         assert at <= length
         short += at < length
-    shards = {s >> 32 for s in by_seq}
-    assert short <= len(shards)
+    size = sum(len((r[1] or "").encode()) for r in rows)
+    ranges = -(-size // (4 * shard))
+    assert short <= ranges + size // shard
     for p in got:
         by_doc[str(p.doc_id)].append(p)
     for d, n in collections.Counter(str(r[0]) for r in rows).items():
@@ -746,10 +747,29 @@ def test_packing_finds_related_documents():
     topics = [["".join(r.choices("abcdefgh", k=6)) for _ in range(30)] for _ in range(5)]
     texts = [" ".join(r.choice(topics[i % 5]) for _ in range(40)) for i in range(50)]
     index = packing.Index(pa.array(texts, pa.large_string()))
-    near = index.neighbours(0, np.eye(1, 50, 0, bool)[0])
-    assert {int(x) % 5 for x in near[:9]} == {0}
-    scores = brute_bm25(texts, 0)
-    assert set(near[:9].tolist()) == set(sorted((i for i in range(1, 50)), key=lambda i: -scores[i])[:9])
+    for first in (3, 48, 100):
+        near = list(index.neighbours(0, np.eye(1, 50, 0, bool)[0], first))
+        assert {x % 5 for x in near[:9]} == {0}
+        scores = brute_bm25(texts, 0)
+        assert near == sorted((i for i in range(1, 50) if scores[i]), key=lambda i: (-scores[i], i))
+
+
+def test_lexical_shards_hold_related_documents(spark):
+    """Of documents of 40 topics in random order, dealt into 20 shards, neighbours in a sequence share a topic far more often."""
+    r = random.Random(17)
+    topics = [["".join(r.choices("abcdefghijklm", k=r.randint(4, 12))) for _ in range(40)] for _ in range(40)]
+    which = [r.randrange(40) for _ in range(1200)]
+    rows = [(i, " ".join(r.choice(topics[t]) for _ in range(60))) for i, t in enumerate(which)] + [(2000, ""), (2001, None)]
+    df = common.stage(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), "topics")
+    share = {}
+    for lexical in (True, False):
+        by_seq = collections.defaultdict(list)
+        for p in packing.pack(df, TOKENIZER, length=512, shard_bytes=8000 * 4, lexical=lexical).collect():
+            if p.doc_id < 2000:
+                by_seq[p.sequence_id].append((p.offset, which[p.doc_id]))
+        pairs = [a[1] == b[1] for x in map(sorted, by_seq.values()) for a, b in zip(x, x[1:], strict=False)]
+        share[lexical] = sum(pairs) / len(pairs)
+    assert share[True] > 0.5 and share[True] > 1.25 * share[False], share
 
 
 def brute_bm25(texts, seed, k1=1.5, b=0.75):
@@ -757,8 +777,7 @@ def brute_bm25(texts, seed, k1=1.5, b=0.75):
     df, avg = collections.Counter(w for d in docs for w in d), sum(len(t.split()) for t in texts) / len(texts)
     idf = {w: np.log((len(texts) - n + 0.5) / (n + 0.5) + 1) for w, n in df.items()}
     part = lambda d, w: idf[w] * d[w] * (k1 + 1) / (d[w] + k1 * (1 - b + b * sum(d.values()) / avg))
-    heavy = sorted((w for w in docs[seed] if df[w] > 1), key=lambda w: -part(docs[seed], w))[:24]
-    return [sum(part(d, w) for w in heavy if w in d) for d in docs]
+    return [sum(part(d, w) for w in sorted(docs[seed]) if df[w] > 1 and w in d) for d in docs]
 
 
 def test_packing_empty(empty):

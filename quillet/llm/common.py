@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import itertools
 import json
 import re
@@ -213,6 +214,19 @@ def window_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     return out
 
 
+#: What a worker process remembers between tasks of one operator: by name, dicts that release() may empty.
+memories: list[dict] = []
+
+
+def release() -> None:
+    """Give up what other operators' tasks left in this worker process."""
+    if any(memories):
+        for m in memories:
+            m.clear()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class Tokens:
     """Ids of texts under a tokenizers file, the same as encode(add_special_tokens=False) gives, but with a memory of pieces.
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillet.llm.common import column_of, keyed, words_of
+from quillet.llm.common import column_of, keyed, memories, words_of
 from quillet.llm.token_files import shared_tokens
 
 
@@ -103,6 +103,7 @@ class Pieces:
 
 
 _pieces: dict[str, Pieces] = {}
+memories.append(_pieces)
 
 
 def repeated_words(ids: np.ndarray) -> int:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import drop_staged, gather, keyed, mix, row_bytes, stage, window_hashes, with_key, word_hashes, word_starts
+from quillet.llm.common import drop_staged, gather, keyed, mix, release, row_bytes, stage, window_hashes, with_key, word_hashes, word_starts
 from quillet.llm.components import components, dealt_blocks, distinct_buckets, leaders, open_members
 
 _space = re.compile(rb"[\x20\x09-\x0D]+")
@@ -118,6 +118,7 @@ def signatures(rows: DataFrame, k: int, bands: int, band_rows: int) -> DataFrame
     register) and wsig (of the weighted shingles; null if the same)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = bands * band_rows
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
@@ -260,6 +261,7 @@ def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
     """id, grams, counts: each text's distinct shingles, and how often it has each; counts is null if all stand once."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
                 batch = whole.slice(a, 1024)

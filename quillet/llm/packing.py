@@ -73,18 +73,21 @@ class Index:
         idf = np.log((self.n - df + 0.5) / (df + 0.5) + 1)
         norm = (k1 * (1 - b + b * sizes / max(1.0, sizes.mean() if self.n else 1.0)))[doc]
         weight = idf[term] * tf * (k1 + 1) / (tf + norm)
-        of_doc = np.searchsorted(doc, np.arange(self.n + 1))
-        # the spans of the postings of each document's words; a word of one document alone finds nothing
-        self.spans = []
-        for a, z in zip(of_doc[:-1].tolist(), of_doc[1:].tolist(), strict=True):
-            t = term[a:z]
-            t = t[df[t] > 1]
-            self.spans.append((of_term[t], of_term[t + 1]))
-        self.posting_doc, self.posting_weight = doc[by_term], weight[by_term]
-
-    def neighbours(self, seed: int, used: np.ndarray, first: int = 48) -> Iterator[int]:
-        """Unused documents that share a word with the seed, best score first, ties by place; the best ones are ready sooner."""
-        spans = list(zip(*(x.tolist() for x in self.spans[seed]), strict=True))
+        self.of_doc = np.searchsorted(doc, np.arange(self.n + 1)).tolist()
+        self.term = np.where(df[term] > 1, term, -1)  # a word of one document alone finds nothing
+        self.of_term, self.posting_doc, self.posting_weight = of_term, doc[by_term], weight[by_term]
+
+    def compact(self, used: np.ndarray) -> None:
+        """Leave out the postings of documents that are used."""
+        free = ~used[self.posting_doc]
+        self.of_term = np.concatenate([[0], np.cumsum(free)])[self.of_term]
+        self.posting_doc, self.posting_weight = self.posting_doc[free], self.posting_weight[free]
+
+    def neighbours(self, seed: int, used: np.ndarray, first: int = 48) -> Iterator[np.ndarray]:
+        """Unused documents that share a word with the seed, best score first, ties by place; the `first` ones (and ties) come ahead."""
+        t = self.term[self.of_doc[seed] : self.of_doc[seed + 1]]
+        t = t[t >= 0]
+        spans = list(zip(self.of_term[t].tolist(), self.of_term[t + 1].tolist(), strict=True))
         if not spans:
             return
         docs = np.concatenate([self.posting_doc[a:b] for a, b in spans])
@@ -95,18 +98,19 @@ class Index:
         least = np.partition(score, len(score) - first)[len(score) - first] if len(score) > first else 0.0
         for part in (score >= least, score < least):
             mine = found[part]
-            yield from mine[np.argsort(-score[part], kind="stable")].tolist()
+            yield mine[np.argsort(-score[part], kind="stable")]
 
 
 def fill(sizes: np.ndarray, index: Index, length: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that hold each token once."""
     n, used = len(sizes), np.zeros(len(sizes), bool)
-    out, sequence, filled, following = [], 0, 0, 0
+    out, sequence, filled, following, n_used = [], 0, 0, 0, [0]
 
     def put(doc: int, start: int) -> int:
         """Place doc from start on, into as many windows as it needs; the tokens of it in the open window."""
         nonlocal sequence, filled
         used[doc] = True
+        n_used[0] += 1
         while start < sizes[doc]:
             take = int(min(length - filled, sizes[doc] - start))
             out.append((doc, start, take, sequence, filled))
@@ -115,6 +119,7 @@ def fill(sizes: np.ndarray, index: Index, length: int) -> list[tuple[int, int, i
                 sequence, filled, take = sequence + 1, 0, 0
         return filled
 
+    compact_at = n // 2
     while following < n:
         if used[following]:
             following += 1
@@ -122,15 +127,22 @@ def fill(sizes: np.ndarray, index: Index, length: int) -> list[tuple[int, int, i
         seed = following
         put(seed, 0)
         while filled:
-            near = index.neighbours(seed, used)
+            if n_used[0] >= compact_at:
+                index.compact(used)
+                compact_at = n - (n - compact_at) // 2
             cut = -1
-            for doc in near:
-                if sizes[doc] <= length - filled:
-                    put(doc, 0)
-                    if not filled:
-                        break
-                elif cut < 0:
-                    cut = doc
+            for near in index.neighbours(seed, used):
+                size, at = sizes[near], 0
+                while filled and at < len(near):
+                    fits = np.flatnonzero(size[at:] <= length - filled)
+                    k = at + int(fits[0]) if len(fits) else len(near)
+                    if cut < 0 and k > at:
+                        cut = int(near[at])  # the best of those that don't fit
+                    if k < len(near):
+                        put(int(near[k]), 0)
+                    at = k + 1
+                if not filled:
+                    break
             if not filled or cut < 0:
                 break
             put(cut, 0)

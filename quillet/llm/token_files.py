@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillet.llm.common import Tokens, keyed
+from quillet.llm.common import Tokens, keyed, memories
 
 SEGMENT = "part int, segment int, doc_ids array<bigint>, doc_sizes array<bigint>, n_ids bigint, shuffle string, chunks array<struct<n_ids:int,plane:int,offset:bigint,length:int>>, payload binary"
 DOCUMENT = "part int, segment int, place int, doc_id bigint, n_tokens bigint, ids_crc32 bigint"
@@ -131,6 +131,7 @@ def write(
 
 
 _tokens: dict[str, Tokens] = {}
+memories.append(_tokens)
 
 
 def shared_tokens(path: str) -> Tokens:

@@ -748,10 +748,14 @@ def test_packing_finds_related_documents():
     texts = [" ".join(r.choice(topics[i % 5]) for _ in range(40)) for i in range(50)]
     index = packing.Index(pa.array(texts, pa.large_string()))
     for first in (3, 48, 100):
-        near = list(index.neighbours(0, np.eye(1, 50, 0, bool)[0], first))
+        near = np.concatenate(list(index.neighbours(0, np.eye(1, 50, 0, bool)[0], first))).tolist()
         assert {x % 5 for x in near[:9]} == {0}
         scores = brute_bm25(texts, 0)
         assert near == sorted((i for i in range(1, 50) if scores[i]), key=lambda i: (-scores[i], i))
+    used = np.arange(50) < 25
+    before = np.concatenate(list(index.neighbours(0, used)))
+    index.compact(used)
+    assert before.tolist() == np.concatenate(list(index.neighbours(0, used))).tolist() == [i for i in near if i >= 25]
 
 
 def test_lexical_shards_hold_related_documents(spark):

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that are not tokens, and the pattern of tokens.
-STOPWORDS = "的 是 在 了 有 不 也 都 就 但 而 与 或 我 你 他 她 它 这 那 一个 可以 没有 已经 the and for with this that from has was is".split()
+STOPWORDS = ["的", "是", "在", "了", "有", "不", "也", "都", "就", "但", "而", "与", "或", "我", "你", "他", "她", "它", "这", "那", "一个", "可以", "没有", "已经", "the", "and", "for", "with", "this", "that", "from", "has", "was", "is"]
 TOKEN = r"[\x{4e00}-\x{9fff}]{2,}|[a-zA-Z]{3,}|[\p{Nd},.]+[万亿千百%]?"
 # Words that are not keywords (compared before lower-casing).
-KEYWORD_STOPWORDS = (
-    "包括但不限于 对于 以及 关于 所有 这些 一个 一种 这个 那个 已经 可以 需要 必须 不能 不是 没有 不会 应该 可能 但是 因为 所以 如果 虽然 而且 或者 然后 那么 这样 "
-    "的 是 在 和 了 有 不 也 都 就 但 而 与 或 着 过 把 被 让 给 对 从 到 上 下 中 里 很 非常 比较 更加 最 太 还 再 又 我 你 他 她 它 我们 你们 他们 "
-    "the and for with this that from has was"
-).split()
+KEYWORD_STOPWORDS = [
+    "包括但不限于", "对于", "以及", "关于", "所有", "这些", "一个", "一种", "这个", "那个", "已经", "可以", "需要", "必须", "不能", "不是", "没有", "不会", "应该", "可能", "但是", "因为", "所以", "如果", "虽然", "而且", "或者", "然后", "那么", "这样",
+    "的", "是", "在", "和", "了", "有", "不", "也", "都", "就", "但", "而", "与", "或", "着", "过", "把", "被", "让", "给", "对", "从", "到", "上", "下", "中", "里", "很", "非常", "比较", "更加", "最", "太", "还", "再", "又", "我", "你", "他", "她", "它", "我们", "你们", "他们",
+    "the", "and", "for", "with", "this", "that", "from", "has", "was",
+]
 MAX_KEYWORDS = 25
 
 
@@ -27,8 +29,7 @@ def stripped(text: Column | str) -> Column:
 
 
 def without(words: Column, stop: list[str]) -> Column:
-    stop_array = F.array(*map(F.lit, stop))
-    return F.filter(words, lambda w: ~F.array_contains(stop_array, w))
+    return F.filter(words, lambda w: ~w.isin(*stop))  # so many literals become a hash set
 
 
 def tokens(text: Column | str) -> Column:
@@ -36,9 +37,14 @@ def tokens(text: Column | str) -> Column:
     return without(F.regexp_extract_all(F.lower(col(text)), F.lit(TOKEN), 0), STOPWORDS)
 
 
-def keywords(text: Column | str) -> Column:
-    """The first 25 distinct keywords, in order. Words are runs of one kind; another segmenter may be put in their place."""
-    found = without(F.regexp_extract_all(col(text), F.lit(TOKEN), 0), KEYWORD_STOPWORDS)
+def runs(text: Column) -> Column:
+    """The default segmenter: runs of one kind of character."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), 0)
+
+
+def keywords(text: Column | str, segment: Callable[[Column], Column] = runs) -> Column:
+    """The first 25 distinct keywords, in order. segment: gives the words of a text column, such as a pandas_udf of a word segmenter."""
+    found = without(segment(col(text)), KEYWORD_STOPWORDS)
     return F.slice(F.array_distinct(F.transform(found, F.lower)), 1, MAX_KEYWORDS)
 
 

@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.functions.text import col, stripped
+from quillet.operators.similarity import rerank
 
 # Acknowledgements, and the marks of a recalled block.
-TRIVIAL = r"^(?:嗯|好|ok|继续|go\s*on|next|yes|no|对|行|可以|明白|了解|收到)$|^[!！?？。.]{1,3}$"
+ACKNOWLEDGED = r"^(?:嗯|好|ok|继续|go\s*on|next|yes|no|对|行|可以|明白|了解|收到)$"
+PUNCTUATION = r"^[!！?？。.]{1,3}$"
 BLOCKS = ("memory-context", "session-context")
 HEADER = "<memory-context>\n[memory] Contextual recall:\n"
 FOOTER = "\n</memory-context>"
 FACTS_HEADER = "[memory preserved facts]\n"
+TOOL_MOST, TOOL_RETRIEVE = 10, 20
 FACTS_QUERY = "key facts decisions commitments preferences"
 
 
@@ -25,7 +28,7 @@ def without_blocks(text: Column | str) -> Column:
 
 
 def trivial(text: Column | str) -> Column:
-    return col(text).rlike(TRIVIAL)
+    return col(text).rlike(ACKNOWLEDGED) | col(text).rlike(PUNCTUATION)
 
 
 def turn_pairs(turns: DataFrame) -> DataFrame:
@@ -52,6 +55,29 @@ def session_tail(turns: DataFrame, last: int = 5, chars: int = 200) -> DataFrame
     return s.where(stripped("snippet") != "")
 
 
+def session_memories(turns: DataFrame) -> DataFrame:
+    """conv_id, text, source, tags: what the end of each conversation writes."""
+    tags = F.array(F.concat(F.lit("session:"), F.col("conv_id").cast("string")), F.lit("session-summary"))
+    return session_tail(turns).select("conv_id", F.col("snippet").alias("text"), F.lit("session-end").alias("source"), tags.alias("tags"))
+
+
+def recall(corpus: DataFrame, vector, top_k: int, retrieve_k: int, threshold: float = 0.3) -> DataFrame:
+    """rank, id, similarity and the columns of corpus (id, embedding, text, ...) of the rows closest to a vector, in two stages."""
+    near = rerank(corpus, vector, top_k, retrieve_k, threshold)
+    near = near.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")) - 1)  # top_k rows
+    return near.join(corpus.drop("embedding"), "id")
+
+
+def recall_tool(corpus: DataFrame, vector, top_k: int = 5, threshold: float = 0.3) -> DataFrame:
+    """result: what the recall tool answers, JSON of up to 10 rows out of 20 candidates."""
+    return tool_result(recall(corpus, vector, min(top_k, TOOL_MOST), TOOL_RETRIEVE, threshold))
+
+
+def preserved_facts(corpus: DataFrame, vector) -> DataFrame:
+    """block: the three closest of ten candidates to the vector of FACTS_QUERY, for what a compressed conversation must keep."""
+    return facts_block(recall(corpus, vector, 3, 10, 0.3))
+
+
 def mirrored(writes: DataFrame) -> DataFrame:
     """text, source, tags of adds and replacements (action, target, content, session_id) of another memory."""
     tags = F.array_compact(F.array(F.concat(F.lit("target:"), F.col("target")), F.lit("source:builtin-memory"), F.when(F.coalesce("session_id", F.lit("")) != "", F.concat(F.lit("session:"), F.col("session_id")))))

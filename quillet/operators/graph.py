@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.operators.keyword import fuse, search
 from quillet.operators.similarity import pairs
+from quillet.sources.held import held
 
 EDGE_THRESHOLD, HUB_DEGREE, HUB_CAP, CLUSTER_HUBS, NEIGHBOUR_CAP = 0.6, 3, 30, 5, 10
 
@@ -29,20 +31,6 @@ def hubs(graph: DataFrame, least: int = HUB_DEGREE, cap: int = HUB_CAP) -> DataF
     return degrees(graph).where(F.col("degree") >= least).orderBy(F.desc("degree"), "id").limit(cap)
 
 
-def held(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder in spark.checkpoint.dir and read back, so that a loop's plan stays short and survives lost executors."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillet-"))
-        folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/quillet-{sc.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(graph: DataFrame) -> DataFrame:
     """id, root (the smallest id of its component) of every node with an edge.
 
@@ -61,11 +49,19 @@ def components(graph: DataFrame) -> DataFrame:
         label = now.select("id", "root")
 
 
+def numbered_by(rows: DataFrame, order: str) -> DataFrame:
+    """rows with n, their numbers from 0 in the order of a column: a range sort, and counts of its partitions summed up."""
+    place = F.monotonically_increasing_id()
+    rows = held(rows.orderBy(order).withColumns({"_part": F.shiftright(place, 33), "_row": place.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    parts = rows.groupBy("_part").agg(F.count("*").alias("c"))  # one row per partition
+    before = parts.select("_part", F.coalesce(F.sum("c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn("n", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
+
+
 def clusters(graph: DataFrame, order: DataFrame) -> DataFrame:
     """id, cluster (cluster_<n>) of every node with an edge; n from 0 in the order (id, ord) of the clusters' first members."""
     c = components(graph).join(order, "id")
-    first = c.groupBy("root").agg(F.min("ord").alias("first"))
-    numbered = first.withColumn("n", F.row_number().over(Window.orderBy("first")) - 1)
+    numbered = numbered_by(c.groupBy("root").agg(F.min("ord").alias("first")), "first")
     return c.join(numbered, "root").select("id", F.concat(F.lit("cluster_"), F.col("n").cast("string")).alias("cluster"))
 
 
@@ -145,3 +141,41 @@ def guided(base: DataFrame, corpus: DataFrame, graph: DataFrame, members: DataFr
         added = near.select("id", (F.col("from_score") * F.col("weight") * 0.5).alias("score"), null("int").alias("global_rank"), null("int").alias("cluster_rank"), F.col("start").cast("bigint").alias("expanded_from"), F.col("weight").alias("edge_weight"), (F.lit(top_k) + F.col("from_place") * 1000 + F.col("rank")).alias("place"))
         top = top.unionByName(added)
     return top.orderBy(F.desc(F.round("score", 12)), "place").limit(top_k).select("id", F.round("score", 4).alias("score"), F.lit("graph-guided").alias("method"), "global_rank", "cluster_rank", "expanded_from", "edge_weight")
+
+
+def formatted(results: DataFrame, memories: DataFrame) -> DataFrame:
+    """results with text, source and tags of the rows they name, as a search gives them; ids that are gone have none."""
+    return results.join(memories.select("id", "text", "source", "tags"), "id", "left")
+
+
+class GraphCache:
+    """Edges and clusters of a similarity graph under path, with the time they were built at."""
+
+    def __init__(self, spark, path: str, hours: int = 24):
+        self.spark, self.path, self.hours = spark, path.rstrip("/"), hours
+
+    def write(self, vectors: DataFrame, now: Column, threshold: float = EDGE_THRESHOLD) -> None:
+        """Build anew: one pass over all pairs. vectors: id, ord, embedding."""
+        graph = held(edges(vectors, threshold), "edges")
+        stamp = f"{self.path}/{uuid.uuid4().hex[:12]}"
+        graph.write.parquet(f"{stamp}-edges")
+        clusters(graph, vectors.select("id", "ord")).write.parquet(f"{stamp}-clusters")
+        self.spark.range(1).select(now.alias("built_at"), F.lit(stamp).alias("stamp"), F.lit(threshold).alias("threshold")).write.mode("append").parquet(f"{self.path}/built")
+
+    def fresh(self, now: Column, threshold: float = EDGE_THRESHOLD) -> tuple[DataFrame, DataFrame] | None:
+        """Edges and clusters of the newest build with this threshold, if it is younger than `hours`."""
+        try:
+            built = self.spark.read.parquet(f"{self.path}/built")
+        except AnalysisException:
+            return None
+        age = F.unix_micros(now) - F.unix_micros("built_at")
+        rows = built.where((F.col("threshold") == threshold) & (age >= 0) & (age < self.hours * 3_600_000_000)).orderBy(F.desc("built_at")).limit(1).collect()
+        return tuple(self.spark.read.parquet(f"{rows[0].stamp}-{x}") for x in ("edges", "clusters")) if rows else None
+
+    def load(self, vectors: DataFrame, now: Column, threshold: float = EDGE_THRESHOLD, rebuild: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The fresh index, or a new one."""
+        found = None if rebuild else self.fresh(now, threshold)
+        if found is None:
+            self.write(vectors, now, threshold)
+            found = self.fresh(now, threshold)
+        return found

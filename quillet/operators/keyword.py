@@ -6,13 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.functions.text import tokens
+from quillet.sources.held import held
 
 K1, B = 1.5, 0.75
+#: Up to so many distinct tokens of queries are looked up in the scan itself.
+FEW = 4096
 
 
-def tokenised(corpus: DataFrame) -> DataFrame:
-    """id, ord, tokens, dl."""
-    return corpus.select("id", "ord", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
+class Index:
+    """Postings (token, id, ord, tf, dl), document frequencies and totals of a corpus (id, ord, text), built in one pass and held.
+
+    For many searches of one corpus; a search reads the postings of its tokens only (they are sorted by token).
+    """
+
+    def __init__(self, corpus: DataFrame):
+        docs = corpus.select("id", "ord", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
+        tf = docs.select("id", "ord", "dl", F.explode_outer("tokens").alias("token")).groupBy("token", "id", "ord", "dl").agg(F.count("*").alias("tf"))
+        self.postings = held(tf.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "postings")
+        self.total = totals(self.postings.groupBy("id").agg(F.first("dl").alias("dl")))
+
+    def of(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return self.postings.join(wanted, "token", "left_semi"), self.total
+
+
+def totals(docs: DataFrame) -> DataFrame:
+    return docs.agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+
+
+def found(corpus: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of the wanted tokens, and the totals, of a corpus without an index: its texts are tokenised once.
+
+    wanted: the tokens of some queries; if there are more than FEW, an index is built.
+    """
+    few = [r.token for r in wanted.limit(FEW + 1).collect()]
+    docs = corpus.select("id", "ord", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
+    if len(few) > FEW:
+        index = Index(corpus)
+        return index.of(wanted)
+    hit = held(docs.select("id", "ord", "dl", F.filter("tokens", lambda t: t.isin(*few) if few else F.lit(False)).alias("tokens")), "hits")
+    tf = hit.select("id", "ord", "dl", F.explode("tokens").alias("token")).groupBy("token", "id", "ord", "dl").agg(F.count("*").alias("tf"))
+    return tf, totals(hit)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -20,16 +53,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(tokens("query")).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
 
 
-def scores(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """qid, id, ord, score of every row of corpus (id, ord, text) that shares a token with a query (qid, query).
+def scores(corpus: DataFrame | Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """qid, id, ord, score of every row of corpus (id, ord, text; or its index) that shares a token with a query (qid, query).
 
     Only postings of the queries' tokens leave the scan. Scores that aren't positive go.
     """
-    docs, terms = tokenised(corpus), query_terms(queries)
-    total = docs.agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+    terms = query_terms(queries)
     wanted = terms.select("token").distinct()
-    postings = docs.select("id", "ord", "dl", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi")
-    postings = postings.groupBy("id", "ord", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    postings, total = corpus.of(wanted) if isinstance(corpus, Index) else found(corpus, wanted)
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
     weighed = terms.join(df, "token").crossJoin(total)  # total is one row
     weighed = weighed.select("qid", "token", "times", "avgdl", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
@@ -42,7 +73,7 @@ def ranked_sum(hits: DataFrame, k1: float, b: float) -> DataFrame:
     return hits.groupBy("qid", "id", "ord").agg(F.sum(part).alias("score")).where("score > 0")
 
 
-def search(corpus: DataFrame, queries: DataFrame, top_k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+def search(corpus: DataFrame | Index, queries: DataFrame, top_k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """qid, id, ord, score (4 decimals), rank from 0; ranked on the rounded score, ties in the corpus's order."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "ord")
     found = scores(corpus, queries, k1, b).withColumn("score", F.round("score", 4)).where("score > 0")
@@ -58,7 +89,7 @@ def fuse(lists: list[tuple[DataFrame, float]], k: int = 60, key: Column | str =
     return both.groupBy("id").agg(F.sum("part").alias("score"), F.min("place").alias("best"), F.min(F.when(F.col("place.list") == 0, F.col("place.rank"))).alias("rank0"), F.min(F.when(F.col("place.list") == 1, F.col("place.rank"))).alias("rank1"))
 
 
-def hybrid(vectors: DataFrame, corpus: DataFrame, vector: list[float], text: str, top_k: int = 5, weight: float = 0.6, vector_threshold: float = 0.2, bm25_corpus_limit: int | None = None) -> DataFrame:
+def hybrid(vectors: DataFrame, corpus: DataFrame, vector: list[float] | DataFrame, text: str, top_k: int = 5, weight: float = 0.6, vector_threshold: float = 0.2, bm25_corpus_limit: int | None = None) -> DataFrame:
     """id, score, vector_rank, bm25_rank: 2 x top_k by vector at vector_threshold and by BM25, fused; ties: vector list first.
 
     bm25_corpus_limit: only the first rows by ord are searched by words (None: all).

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet.functions.ttl import due
+from quillet.operators.store import backfill_ttl
 
 
 def preview(memories: DataFrame, now: Column, examples: int = 5) -> DataFrame:
@@ -28,3 +29,9 @@ def restore(snapshot: DataFrame, ids: DataFrame) -> DataFrame:
     joined = snapshot.join(back, "id", "left")
     again = F.coalesce("_back", F.lit(False))
     return joined.withColumns({"state": F.when(again, "active").otherwise(F.col("state")), "archived_at": F.when(~again, F.col("archived_at"))}).select(*snapshot.columns)
+
+
+def ttl_job(memories: DataFrame, now: Column, execute: bool = False) -> DataFrame:
+    """The job in one: times to live are filled in, and then the preview (one row), or the snapshot with what is due archived."""
+    filled = backfill_ttl(memories)
+    return split(filled, now) if execute else preview(filled, now)

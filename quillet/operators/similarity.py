@@ -7,7 +7,7 @@ holds two blocks and one product whatever the tables' sizes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,17 @@ BLOCK = "block bigint, ids array<bigint>, dims int, matrix binary"
 DECIMALS = 6  # ranks are by similarity rounded to this, so the order of summation can't turn ties around
 
 
-def topk(corpus: DataFrame, vector: list[float], k: int = 5, threshold: float = 0.3, where: Column | None = None) -> DataFrame:
+def scored(corpus: DataFrame, vector: list[float] | DataFrame, *keep: str) -> DataFrame:
+    """id, sim and the columns to keep; vector: the numbers, or one row with the column q, which is broadcast in the same job."""
+    if isinstance(vector, DataFrame):
+        return corpus.crossJoin(F.broadcast(vector.select("q"))).select("id", dot("embedding", "q").alias("sim"), *keep)
+    return corpus.select("id", dot("embedding", F.array(*[F.lit(float(x)) for x in vector])).alias("sim"), *keep)
+
+
+def topk(corpus: DataFrame, vector: list[float] | DataFrame, k: int = 5, threshold: float = 0.3, where: Column | None = None) -> DataFrame:
     """id, similarity (4 decimals) of the k rows closest to a unit vector, at threshold or more; ties by id."""
-    rows = corpus if where is None else corpus.where(where)
-    sim = dot("embedding", F.array(*[F.lit(float(x)) for x in vector]))
-    rows = rows.select("id", sim.alias("sim")).orderBy(F.desc(F.round("sim", DECIMALS)), "id").limit(k)
+    rows = scored(corpus if where is None else corpus.where(where), vector)
+    rows = rows.orderBy(F.desc(F.round("sim", DECIMALS)), "id").limit(k)
     return rows.where(F.col("sim") >= threshold).select("id", F.round("sim", 4).alias("similarity"))
 
 
@@ -38,8 +44,9 @@ def blocks(vectors: DataFrame, block: int = 2048) -> DataFrame:
         for whole in batches:
             for a in range(0, whole.num_rows, block):
                 b = whole.slice(a, block)
-                m = np.array(b.column("embedding").to_pylist(), np.float64)
-                row = {"block": (part << 32) + count, "ids": b.column("id").to_pylist(), "dims": m.shape[1], "matrix": m.tobytes()}
+                lists = b.column("embedding")
+                m = lists.flatten().to_numpy().astype(np.float64).reshape(len(lists), -1)
+                row = {"block": (part << 32) + count, "ids": b.column("id").to_numpy(), "dims": m.shape[1], "matrix": m.tobytes()}
                 count += 1
                 yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("dims", pa.int32()), ("matrix", pa.binary())]))
 
@@ -55,9 +62,10 @@ def of_pairs(left: DataFrame, right: DataFrame, only: Column | None, work) -> Da
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x = batch.slice(i, 1).to_pydict()
-                m = [np.frombuffer(x[f"matrix{s}"][0], np.float64).reshape(-1, x[f"dims{s}"][0]) for s in ("", "2")]
-                a, b, sim = work(np.array(x["ids"][0], np.int64), m[0], np.array(x["ids2"][0], np.int64), m[1], x["block"][0] == x["block2"][0])
+                of = lambda c: batch.column(c)[i]  # noqa: B023, E731
+                m = [np.frombuffer(of(f"matrix{s}").as_buffer(), np.float64).reshape(-1, of(f"dims{s}").as_py()) for s in ("", "2")]
+                ids = [of(f"ids{s}").values.to_numpy() for s in ("", "2")]
+                a, b, sim = work(ids[0], m[0], ids[1], m[1], of("block") == of("block2"))
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(sim, pa.float64())})
 
     return pairs.mapInArrow(multiply, "a bigint, b bigint, sim double")
@@ -112,10 +120,16 @@ def cross(left: DataFrame, right: DataFrame, threshold: float, block: int = 2048
     return of_pairs(blocks(left, block), blocks(right, block), None, close)
 
 
-def rerank(corpus: DataFrame, vector: list[float], top_k: int = 3, retrieve_k: int = 10, threshold: float = 0.3) -> DataFrame:
-    """Two stages: retrieve_k candidates by the first score, then the exact product for those, joined by id, and the top_k of it."""
-    first = topk(corpus, vector, retrieve_k, threshold).select("id")
-    exact = corpus.join(first, "id", "left_semi").select("id", dot("embedding", F.array(*[F.lit(float(x)) for x in vector])).alias("sim"))
+def rerank(corpus: DataFrame, vector: list[float] | DataFrame, top_k: int = 3, retrieve_k: int = 10, threshold: float = 0.3, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Two stages in one scan: retrieve_k candidates (id, embedding), then the exact product of those and the top_k of it.
+
+    first: gives the candidates' rows of corpus, such as those of an approximate index; by default the closest retrieve_k.
+    """
+    if first is None:
+        near = scored(corpus, vector, "embedding").orderBy(F.desc(F.round("sim", DECIMALS)), "id").limit(retrieve_k).where(F.col("sim") >= threshold)
+        exact = near.select("id", "sim")
+    else:
+        exact = scored(first(corpus), vector).where(F.col("sim") >= threshold)
     return exact.orderBy(F.desc(F.round("sim", DECIMALS)), "id").limit(top_k).select("id", F.round("sim", 4).alias("similarity"))
 
 

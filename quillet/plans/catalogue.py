@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.functions import quality, text, ttl
+from quillet.functions import entities, quality, text, ttl
 from quillet.operators import context, dedup, graph, keyword, lifecycle, mailbox, maintenance, similarity, store
 from quillet.plans import sql
 from quillet.schema import memories_from_documents, messages_from_events
 from quillet.sources import snapshots
-from quillet.streaming.ingest import ingest
+from quillet.sources.held import held
+from quillet.streaming.ingest import counts, ingest, live_messages
 
 NOW_TEXT, MAIL_NOW_TEXT = "timestamp'2025-01-15 00:00:00'", "timestamp'2024-01-20 00:00:00'"
 EDGE = 0.4
@@ -53,9 +54,9 @@ def messages(spark, d) -> DataFrame:
     return messages_from_events(table(spark, d, "events"))
 
 
-def query_vector(spark, d) -> list[float]:
-    """The vector of row 0: one row."""
-    return vectors(spark, d).where("id = 0").select("embedding").first()[0]
+def query_vector(spark, d) -> DataFrame:
+    """The vector of row 0: one row, q."""
+    return vectors(spark, d).where("id = 0").select(F.col("embedding").alias("q")).limit(1)
 
 
 def short_time(c: str):
@@ -190,7 +191,7 @@ def components(spark, d):
 
 @query
 def cluster_summary(spark, d):
-    g, v = graph.held(similarity_graph(spark, d), "edges"), vectors(spark, d)
+    g, v = held(similarity_graph(spark, d), "edges"), vectors(spark, d)
     s = graph.summaries(v, g, graph.clusters(g, v.select("id", "ord")))
     tags = F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
     return s.select("cluster", "size", F.array_join(F.transform("top_hubs", lambda x: x.cast("string")), ",").alias("top_hubs"), tags.alias("tags"))
@@ -198,7 +199,7 @@ def cluster_summary(spark, d):
 
 @query
 def node_table(spark, d):
-    g, v = graph.held(similarity_graph(spark, d), "edges"), vectors(spark, d)
+    g, v = held(similarity_graph(spark, d), "edges"), vectors(spark, d)
     n = v.select("id", "ord", "tags").join(graph.degrees(g), "id", "left").join(graph.clusters(g, v.select("id", "ord")), "id", "left")
     return n.select("id", "tags", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("cluster", F.lit("")).alias("cluster"))
 
@@ -210,13 +211,13 @@ def neighbors_1hop(spark, d):
 
 @query
 def neighbors_2hop(spark, d):
-    g = graph.held(similarity_graph(spark, d), "edges")
+    g = held(similarity_graph(spark, d), "edges")
     return graph.neighbours(g, vectors(spark, d).where("id % 20 = 0").select("id"), 2)
 
 
 @query
 def guided_search(spark, d):
-    g, v, c = graph.held(similarity_graph(spark, d), "edges"), vectors(spark, d), corpus(spark, d)
+    g, v, c = held(similarity_graph(spark, d), "edges"), vectors(spark, d), corpus(spark, d)
     base = keyword.hybrid(v.join(c.select("id"), "id", "left_semi"), c, query_vector(spark, d), PHRASE, 10)
     from pyspark.sql import Window
 
@@ -360,7 +361,7 @@ def numeric_facts(spark, d):
 def numeric_conflicts(spark, d):
     m = memories(spark, d).select(F.col("ord").alias("id"), "ord", "text", F.col("source").alias("entity"), F.col("created_at").alias("ts"))
     c = maintenance.conflicts(m, PATTERNS)
-    return c.select("entity", "attr", "values", "keep", F.size("drop").alias("n_drop"))
+    return c.select("entity", "attr", "values", "keep", "n_drop")
 
 
 @query
@@ -469,7 +470,7 @@ def mailbox_stats(spark, d):
 @query
 def stream_ingest(spark, d):
     schema = table(spark, d, "events").schema
-    folder = graph.held(spark.range(1), "stream-home").inputFiles()[0].rsplit("/", 1)[0]
+    folder = held(spark.range(1), "stream-home").inputFiles()[0].rsplit("/", 1)[0]
     out = f"{folder}-messages"
     kind = "id bigint, box bigint, ts timestamp, status string, ttl_hours int"
     stream = messages_from_events(spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet"))
@@ -477,6 +478,168 @@ def stream_ingest(spark, d):
     return spark.read.schema(kind).parquet(out).groupBy("status").agg(F.count("*").alias("n"), F.sum("ttl_hours").alias("hours"))
 
 
+@query
+def stream_enrich(spark, d):
+    """Documents as a stream, their entities added in the micro-batch that writes them."""
+    docs = table(spark, d, "documents")
+    folder = held(spark.range(1), "stream-home").inputFiles()[0].rsplit("/", 1)[0]
+    out = f"{folder}-enriched"
+    stream = spark.readStream.schema(docs.schema).parquet(f"{d}/document[s].parquet").select("doc_id", "text")
+    ingest(stream, lambda b: b.write.mode("append").parquet(out), f"{folder}-checkpoint", every=None, enrich=entities.enriched).awaitTermination()
+    rows = spark.read.schema(f"doc_id bigint, text string, entities {entities.ENTITIES}").parquet(out)
+    return rows.select("doc_id", F.explode("entities").alias("e")).groupBy("e.label").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query
+def stream_live(spark, d):
+    """Messages of a stream that haven't expired, by status."""
+    events = table(spark, d, "events")
+    folder = held(spark.range(1), "stream-home").inputFiles()[0].rsplit("/", 1)[0]
+    out = f"{folder}-live"
+    stream = live_messages(messages_from_events(spark.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet")), F.expr(MAIL_NOW_TEXT))
+    ingest(stream, lambda b: b.write.mode("append").parquet(out), f"{folder}-checkpoint", every=None).awaitTermination()
+    return spark.read.schema("id bigint, box bigint, ts timestamp, status string, ttl_hours int").parquet(out).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def message_windows(spark, d):
+    return counts(messages(spark, d)).select(short_time("window_start").alias("window_start"), "status", "n")
+
+
+# -- chains of operators --------------------------------------------------------
+
+
+@query
+def lookup_ids(spark, d):
+    m = memories(spark, d)
+    return store.by_ids(m, m.where("ord % 11 = 0").select("id")).select("id", "source")
+
+
+@query
+def stats_full(spark, d):
+    as_text = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return store.stats(memories(spark, d)).select("total_memories", "missing_ttl", "missing_expire", as_text("tag_distribution").alias("tags"), as_text("source_distribution").alias("sources"))
+
+
+@query
+def stale_rows(spark, d):
+    m = memories(spark, d)
+    return maintenance.stale_rows(m, F.expr(NOW_TEXT), 200, m.where("ord % 7 = 0").select("id")).select("id")
+
+
+@query
+def stored_rows(spark, d):
+    rows = corpus(spark, d).join(vectors(spark, d).select("id", "embedding"), "id")
+    fates = dedup.static_tiers(rows.where("id % 20 = 0"), rows, recall=0.1, least=0.02, skip=0.35, merge=0.25)
+    batch = rows.join(memories(spark, d).select(F.col("ord").alias("id"), "source", "tags"), "id")
+    new = dedup.stored_rows(batch, fates, F.expr(NOW_TEXT))
+    return new.select("id", "ttl_days", short_time("expire_at").alias("expire_at"), "needs_review", "review_similar_to", F.round("review_similarity", 4).alias("review_similarity"))
+
+
+@query
+def ttl_job(spark, d):
+    return lifecycle.ttl_job(memories(spark, d), F.expr(NOW_TEXT), execute=True).groupBy("state", "ttl_days").agg(F.count("*").alias("n"))
+
+
+def with_entity(spark, d) -> DataFrame:
+    m = memories(spark, d).select(F.col("ord").alias("id"), "ord", "text", F.col("source").alias("entity"), F.col("created_at").alias("ts"))
+    return m.withColumns({"needs_review": F.col("id") % 10 == 0, "review_similar_to": F.when(F.col("id") % 10 == 0, F.col("id") + 1)})
+
+
+@query
+def conflict_drops(spark, d):
+    return maintenance.conflict_drops(with_entity(spark, d), PATTERNS)
+
+
+@query
+def review_apply(spark, d):
+    return maintenance.reviewed(with_entity(spark, d)).select("id", "needs_review", "review_similar_to")
+
+
+@query
+def nightly_deletes(spark, d):
+    drops, left = maintenance.nightly(with_entity(spark, d), PATTERNS)
+    return drops.withColumn("what", F.lit("drop")).unionByName(left.select("id", F.lit("stay").alias("what")))
+
+
+@query
+def session_end_rows(spark, d):
+    return context.session_memories(turns(spark, d)).select("conv_id", "text", F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def mirror_writes(spark, d):
+    writes = table(spark, d, "documents").select(F.expr("element_at(array('add', 'replace', 'remove'), cast(doc_id % 3 as int) + 1)").alias("action"), F.lit("notes").alias("target"), F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("session_id"))
+    return context.mirrored(writes).groupBy(F.array_join("tags", ",").alias("tags")).agg(F.count("*").alias("n"))
+
+
+def recalled(spark, d) -> DataFrame:
+    return vectors(spark, d).select("id", "embedding").join(corpus(spark, d).select("id", "text"), "id")
+
+
+@query
+def recall_tool(spark, d):
+    result = context.recall_tool(recalled(spark, d), query_vector(spark, d), top_k=50, threshold=0.1)
+    parsed = F.from_json("result", "results array<struct<id bigint, similarity double>>, count bigint")
+    return result.select(parsed.alias("p")).select(F.col("p.count").alias("n"), F.array_join(F.transform("p.results", lambda r: r["id"].cast("string")), ",").alias("ids"))
+
+
+@query
+def preserved_facts(spark, d):
+    return context.preserved_facts(recalled(spark, d), query_vector(spark, d))
+
+
+@query
+def hybrid_formatted(spark, d):
+    v, c = vectors(spark, d).join(corpus(spark, d).select("id"), "id", "left_semi"), corpus(spark, d)
+    base = keyword.hybrid(v, c, query_vector(spark, d), PHRASE, 5)
+    base = base.select("id", "score", F.lit(0).alias("rank"))
+    found = graph.guided(base, c, None, None, PHRASE, 5, use_cluster=False, expand=False)
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", F.lit(None).cast("array<string>").alias("tags"))
+    return graph.formatted(found, rows).select("id", "score", "method", "text", "source")
+
+
+@query
+def graph_cache(spark, d):
+    folder = held(spark.range(1), "cache-home").inputFiles()[0].rsplit("/", 1)[0] + "-graph"
+    cache, v = graph.GraphCache(spark, folder), vectors(spark, d)
+    at = lambda h: F.expr(f"timestamp'2025-01-15 00:00:00' + interval {h} hours")
+    edges, members = cache.load(v, at(0), EDGE)
+    kept = [cache.fresh(at(h), EDGE) is not None for h in (23, 25)]
+    return edges.agg(F.count("*").alias("edges")).crossJoin(members.agg(F.count_distinct("cluster").alias("clusters"))).select("*", F.lit(kept[0]).alias("after_23h"), F.lit(kept[1]).alias("after_25h"))
+
+
+@query
+def bm25_index(spark, d):
+    return keyword.search(keyword.Index(corpus(spark, d)), phrase(spark), 10).select("id", "score", "rank")
+
+
+@query
+def entity_extract(spark, d):
+    e = corpus(spark, d).select("id", F.explode(entities.extract("text")).alias("e"))
+    return e.groupBy("e.label").agg(F.count("*").alias("n"), F.count_distinct("id").alias("docs"))
+
+
+@query
+def keywords_segmented(spark, d):
+    return corpus(spark, d).select("id", F.size(text.keywords(F.coalesce("text", F.lit("")), lambda t: F.split(t, " "))).alias("n"))
+
+
+@query
+def restore_gate(spark, d):
+    rows = snapshots.restored(snapshots.export_items(memories(spark, d)), "-restored")
+    return rows.where(quality.worth_storing("text")).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query
+def snapshot_append(spark, d):
+    folder = held(spark.range(1), "table-home").inputFiles()[0].rsplit("/", 1)[0] + "-table"
+    t, m = snapshots.Snapshots(spark, folder), memories(spark, d).select("id", "ord", "text", "source", "tags")
+    for k in range(3):
+        t.append(m.where(F.col("ord") % 3 == k))
+    return t.read().groupBy("source").agg(F.count("*").alias("n"), F.count("needs_review").alias("flags"))
+
+
 # -- generic operators on the other tables ------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillet.functions.entities import PATTERNS
 from quillet.functions.text import KEYWORD_STOPWORDS, STOPWORDS
 
 TOKEN = r"[\x{4e00}-\x{9fff}]{2,}|[a-zA-Z]{3,}|[\p{Nd},.]+[万亿千百%]?"
@@ -84,6 +85,12 @@ FACTS = " UNION ALL ".join(
 TURNS = "n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)), tp AS (SELECT conv_id, turn, text AS user_text, next_text AS assistant_text FROM n WHERE role = 'user' AND next_role = 'assistant')"
 FMT = "'%Y-%m-%d %H:%M:%S'"
 
+FOUND = " UNION ALL ".join(f"SELECT doc_id AS id, '{label}' AS label, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS found FROM documents" for label, p in PATTERNS.items())
+DROPS = f"""f AS ({FACTS}), cf AS (SELECT source, attr, arg_max(id, (id % 400) * 10000000000 - id) AS keep FROM f GROUP BY ALL HAVING count(DISTINCT value) > 1),
+    dr AS (SELECT DISTINCT f.id FROM f JOIN cf ON f.source IS NOT DISTINCT FROM cf.source AND f.attr = cf.attr WHERE f.id <> keep)"""
+REVIEW = """rv AS (SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN least(length(a.text), length(b.text)) / greatest(length(a.text), length(b.text), 1) > 0.85 THEN CASE WHEN length(a.text) < length(b.text) THEN a.doc_id ELSE b.doc_id END END AS gone FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 10 = 0)"""
+NEAR_DOCS = QUERY.replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))", 1)
+
 SQL = {
     "vector_topk": f"WITH {QUERY} SELECT id, round(sim, 4) AS similarity FROM (SELECT * FROM s ORDER BY round(sim, 6) DESC, id LIMIT 5) WHERE sim >= 0.3",
     "vector_topk_filtered": f"WITH {QUERY} SELECT id, round(sim, 4) AS similarity FROM (SELECT * FROM s WHERE label = 3 ORDER BY round(sim, 6) DESC, id LIMIT 10) WHERE sim >= 0.1",
@@ -166,4 +173,32 @@ SQL = {
     "orders_latest": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1",
     "customers_without_orders": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1",
     "pricing_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 4) AS discount FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+    "stream_enrich": f"SELECT label, count(*) AS n, count(DISTINCT id) AS docs FROM ({FOUND}) GROUP BY 1",
+    "entity_extract": f"SELECT label, count(*) AS n, count(DISTINCT id) AS docs FROM ({FOUND}) GROUP BY 1",
+    "stream_live": f"WITH {MESSAGES} SELECT status, count(*) AS n FROM messages WHERE coalesce(live, true) GROUP BY 1",
+    "message_windows": f"WITH {MESSAGES} SELECT strftime(date_trunc('day', ts), {FMT}) AS window_start, status, count(*) AS n FROM messages WHERE ts IS NOT NULL GROUP BY ALL",
+    "lookup_ids": f"WITH {MEMORIES} SELECT id, source FROM memories WHERE ord % 11 = 0",
+    "stats_full": f"""WITH {MEMORIES} SELECT count(*) AS total_memories, count(*) FILTER (ttl_days IS NULL) AS missing_ttl, count(*) FILTER (expire_at IS NULL) AS missing_expire,
+        (SELECT string_agg(tag || '=' || n, ',' ORDER BY tag) FROM (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM memories) GROUP BY 1)) AS tags,
+        (SELECT string_agg(s || '=' || n, ',' ORDER BY s) FROM (SELECT coalesce(source, 'unknown') AS s, count(*) AS n FROM memories GROUP BY 1)) AS sources FROM memories""",
+    "stale_rows": f"WITH {MEMORIES} SELECT id FROM memories WHERE date_diff('day', created_at, TIMESTAMP '2025-01-15') > 200 AND ord % 7 <> 0",
+    "ttl_job": f"""WITH {MEMORIES}, b AS (SELECT coalesce(ttl_days, ttl) AS ttl_days, created_at, CASE WHEN ttl_days IS NULL THEN coalesce(expire_at, created_at + to_days(ttl)) ELSE expire_at END AS expire_at FROM memories)
+        SELECT CASE WHEN CASE WHEN expire_at IS NOT NULL THEN TIMESTAMP '2025-01-15' > expire_at ELSE date_diff('day', created_at, TIMESTAMP '2025-01-15') > ttl_days END THEN 'archived' ELSE 'active' END AS state, ttl_days, count(*) AS n FROM b GROUP BY ALL""",
+    "conflict_drops": f"WITH {DROPS} SELECT id FROM dr",
+    "review_apply": f"WITH {REVIEW} SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT unnest([a, b]) FROM rv WHERE gone IS NULL) THEN false ELSE doc_id % 10 = 0 END AS needs_review, CASE WHEN doc_id % 10 = 0 AND doc_id NOT IN (SELECT unnest([a, b]) FROM rv WHERE gone IS NULL) THEN doc_id + 1 END AS review_similar_to FROM documents WHERE doc_id NOT IN (SELECT gone FROM rv WHERE gone IS NOT NULL)",
+    "nightly_deletes": f"WITH {REVIEW}, {DROPS}, dd AS (SELECT id FROM dr UNION SELECT gone FROM rv WHERE gone IS NOT NULL) SELECT id, 'drop' AS what FROM dd UNION ALL SELECT doc_id, 'stay' FROM documents WHERE doc_id NOT IN (SELECT id FROM dd)",
+    "session_end_rows": "WITH b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM conversations WHERE text IS NOT NULL) SELECT conv_id, string_agg(substring(text, 1, 200), ' ' ORDER BY back DESC) AS text, 'session:' || conv_id || ',session-summary' AS tags FROM b WHERE back <= 5 GROUP BY conv_id HAVING trim(string_agg(substring(text, 1, 200), ' ' ORDER BY back DESC)) <> ''",
+    "mirror_writes": "SELECT 'target:notes,source:builtin-memory' || CASE WHEN doc_id % 2 = 0 AND coalesce(source, '') <> '' THEN ',session:' || source ELSE '' END AS tags, count(*) AS n FROM documents WHERE doc_id % 3 < 2 GROUP BY 1",
+    "recall_tool": f"WITH {NEAR_DOCS} SELECT count(*) AS n, coalesce(string_agg(id, ',' ORDER BY round(sim, 4) DESC, id), '') AS ids FROM (SELECT * FROM (SELECT * FROM s ORDER BY round(sim, 6) DESC, id LIMIT 20) WHERE sim >= 0.1 ORDER BY round(sim, 6) DESC, id LIMIT 10)",
+    "preserved_facts": f"WITH {NEAR_DOCS} SELECT CASE WHEN count(*) > 0 THEN '[memory preserved facts]' || chr(10) || string_agg('- ' || text, chr(10) ORDER BY round(sim, 4) DESC, id) ELSE '' END AS block FROM (SELECT * FROM (SELECT * FROM s ORDER BY round(sim, 6) DESC, id LIMIT 10) WHERE sim >= 0.3 ORDER BY round(sim, 6) DESC, id LIMIT 3) JOIN (SELECT doc_id AS id, text FROM documents) USING (id)",
+    "graph_cache": f"WITH RECURSIVE {REACH} SELECT (SELECT count(*) FROM g) AS edges, (SELECT count(DISTINCT cluster) FROM c) AS clusters, true AS after_23h, false AS after_25h",
+    "keywords_segmented": f"WITH w AS (SELECT doc_id AS id, list_filter(string_split(coalesce(text, ''), ' '), lambda x: NOT list_contains({listed(KEYWORD_STOPWORDS)}, x)) AS w FROM documents) SELECT id, least(len(list_distinct(list_transform(w, lambda x: lower(x)))), 25) AS n FROM w",
+    "restore_gate": f"SELECT coalesce(nullif(source, ''), 'restore') || '-restored' AS source, count(*) AS n FROM documents JOIN {LAYER} USING (doc_id) WHERE layer IS NULL GROUP BY 1",
+    "snapshot_append": "SELECT source, count(*) AS n, 0 AS flags FROM documents GROUP BY 1",
 }
+SQL["bm25_index"] = SQL["bm25_topk"]
+SQL["hybrid_formatted"] = f"SELECT h.id, h.score, 'global' AS method, text, source FROM ({SQL['hybrid_rrf']}) h JOIN documents ON doc_id = h.id"
+SQL["stored_rows"] = f"""WITH f AS ({SQL['dedup_tiers_static']}), p AS (SELECT best_id AS id, arg_max(id, id) AS points, arg_max(similarity, id) AS sim FROM f WHERE action = 'flagged' GROUP BY 1),
+    {MEMORIES}, x AS (SELECT f.*, m.ttl, f.action = 'flagged' AS flagged, p.points, p.sim FROM f JOIN memories m ON m.ord = f.id LEFT JOIN p ON p.id = f.id WHERE f.action IN ('added', 'flagged'))
+    SELECT id, CASE WHEN NOT flagged THEN ttl END AS ttl_days, CASE WHEN NOT flagged THEN strftime(TIMESTAMP '2025-01-15' + to_days(ttl), {FMT}) END AS expire_at, flagged OR points IS NOT NULL AS needs_review,
+        coalesce(points, CASE WHEN flagged THEN best_id END) AS review_similar_to, round(coalesce(sim, CASE WHEN flagged THEN similarity END), 4) AS review_similarity FROM x"""

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillet.functions.text import stripped
 from quillet.schema import MEMORY
 
 
@@ -20,30 +21,44 @@ class Snapshots:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
-        """The newest pointer's snapshot; pointers are numbered files whose names hold the snapshot's."""
+    def current(self) -> list[str]:
+        """The folders that make up the table: what the newest pointer, a numbered file, lists."""
         p, fs = self._file("pointers")
         if not fs.exists(p):
-            return None
+            return []
         names = sorted(x.getPath().getName() for x in fs.listStatus(p))
-        return names[-1].split("-", 1)[1] if names else None
+        if not names:
+            return []
+        stream = fs.open(self._file(f"pointers/{names[-1]}")[0])
+        try:
+            return bytes(stream.readAllBytes()).decode().split()
+        finally:
+            stream.close()
 
     def read(self) -> DataFrame:
-        name = self.current()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}") if name else self.spark.createDataFrame([], self.schema)
+        names = self.current()
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{n}" for n in names]) if names else self.spark.createDataFrame([], self.schema)
 
-    def write(self, df: DataFrame) -> None:
-        """Replace the table by df, which may read the snapshot before. One writer at a time."""
+    def _write(self, df: DataFrame, before: list[str]) -> None:
         name = f"v{uuid.uuid4().hex[:12]}"
         df.write.parquet(f"{self.path}/{name}")
         p, fs = self._file("pointers")
         fs.mkdirs(p)
         n = len(fs.listStatus(p))
-        fs.create(self._file(f"pointers/{n:09d}-{name}")[0]).close()
+        out = fs.create(self._file(f"pointers/{n:09d}")[0], False)  # a second writer of the same number fails
+        try:
+            out.write(bytearray("\n".join([*before, name]).encode()))
+        finally:
+            out.close()
+
+    def write(self, df: DataFrame) -> None:
+        """Replace the table by df, which may read the snapshot before. One writer at a time."""
+        self._write(df, [])
 
     def append(self, df: DataFrame) -> None:
-        """Add rows; columns that df hasn't are null."""
-        self.write(self.read().unionByName(df, allowMissingColumns=True))
+        """Add rows as one more folder; columns that df hasn't are null. What is there isn't written again."""
+        empty = self.spark.createDataFrame([], self.schema)
+        self._write(empty.unionByName(df, allowMissingColumns=True), self.current())
 
 
 def item(memories: DataFrame) -> Column:
@@ -70,7 +85,7 @@ def restored(items: DataFrame, suffix: str = "") -> DataFrame:
     """restored_from_id, text, source, tags of backup items (value: JSON), ready to be written again; empty texts go."""
     rows = items.select(F.from_json("value", ITEM).alias("i"))
     source = F.concat(F.coalesce(F.nullif(F.col("i.metadata.source"), F.lit("")), F.lit("restore")), F.lit(suffix))
-    return rows.where(F.trim(F.coalesce("i.text", F.lit(""))) != "").select(F.col("i.id").alias("restored_from_id"), F.col("i.text").alias("text"), source.alias("source"), F.col("i.metadata.tags").alias("tags"))
+    return rows.where(stripped(F.coalesce("i.text", F.lit(""))) != "").select(F.col("i.id").alias("restored_from_id"), F.col("i.text").alias("text"), source.alias("source"), F.col("i.metadata.tags").alias("tags"))
 
 
 def document_items(backup: DataFrame) -> DataFrame:

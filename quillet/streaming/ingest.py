@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,29 @@ def distinct_texts(stream: DataFrame, time_col: str = "ts", text_col: str = "tex
     return s.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["_hash"]).drop("_hash")
 
 
-def ingest(stream: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, every: str | None = "15 seconds", after: Callable[[], None] | None = None):
-    """Start the stream: write each micro-batch, then run after (such as a rebuild of the graph) once for it.
+class Coalesced:
+    """Runs what it wraps at most once in `seconds`; calls in between are noted and one run makes up for them at the next call or flush()."""
+
+    def __init__(self, run: Callable[[], None], seconds: float = 15.0, clock: Callable[[], float] = time.monotonic):
+        self.run, self.seconds, self.clock, self.last, self.pending = run, seconds, clock, None, False
+
+    def __call__(self) -> None:
+        self.pending = True
+        if self.last is None or self.clock() - self.last >= self.seconds:
+            self.flush()
+
+    def flush(self) -> None:
+        """Run now if a call is still to be made up for."""
+        if self.pending:
+            self.pending, self.last = False, self.clock()
+            self.run()
+
+
+def ingest(stream: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, every: str | None = "15 seconds", after: Callable[[], None] | None = None, enrich: Callable[[DataFrame], DataFrame] | None = None):
+    """Start the stream: enrich and write each micro-batch, then run after (such as a rebuild of the graph) once for it.
+
+    enrich: adds columns to a batch before it is written, such as entities.enriched; so nothing is read, changed and
+    written again later, and no update of another writer is lost.
 
     One query writes one batch after the other, so it is the table's lock; and every batch is followed by a rebuild, so
     none is missed. every: the trigger's interval; None: all that is there, then stop.
@@ -26,7 +48,7 @@ def ingest(stream: DataFrame, write: Callable[[DataFrame], None], checkpoint: st
 
     def one(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            write(batch)
+            write(enrich(batch) if enrich else batch)
             if after:
                 after()
 

@@ -167,8 +167,10 @@ def test_update_delete_page(spark):
 
 def test_conflicts_keep_the_latest(spark):
     rows = [(1, 1, "月薪 3万", "ann", dt.datetime(2024, 1, 1)), (2, 2, "月薪 4万", "ann", dt.datetime(2024, 2, 1)), (3, 3, "月薪 4万", "ann", None), (4, 4, "月薪 5万", "bob", None), (5, 5, "预算 1万 预算 2万", "cy", None)]
-    got = maintenance.conflicts(spark.createDataFrame(rows, "id bigint, ord bigint, text string, entity string, ts timestamp")).collect()
-    assert {(r.entity, r.attr, r["values"], r.keep, tuple(r.drop)) for r in got} == {("ann", "salary", 2, 2, (1, 3)), ("cy", "budget", 2, 5, ())}
+    df = spark.createDataFrame(rows, "id bigint, ord bigint, text string, entity string, ts timestamp")
+    got = maintenance.conflicts(df).collect()
+    assert {(r.entity, r.attr, r["values"], r.keep, r.n_drop) for r in got} == {("ann", "salary", 2, 2, 2), ("cy", "budget", 2, 5, 0)}
+    assert {r.id for r in maintenance.conflict_drops(df).collect()} == {1, 3}
 
 
 def test_mailbox(spark):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -25,6 +26,7 @@ MODEL = Path(__file__).with_name("html_model.json")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template iframe svg math object canvas head title textarea select button".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+RAW_END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in RAW}
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: What a start tag closes if it is open, up to the nearest of the second set.
 CLOSES = {t: (frozenset({"p"}), frozenset("button td th table".split())) for t in BLOCK - {"li", "dd", "dt", "tr", "td", "th", "option", "body", "html", "tbody", "thead", "tfoot"}}
@@ -33,10 +35,11 @@ CLOSES |= {t: (frozenset("td th p".split()), frozenset({"tr", "table"})) for t i
 CLOSES |= {t: (frozenset("tr td th p tbody thead tfoot".split()), frozenset({"table"})) for t in ("tbody", "thead", "tfoot")}
 #: Kinds of tags, a feature each.
 KINDS = [frozenset(x.split()) for x in ("#text", "p", "h1 h2 h3 h4 h5 h6", "li ul ol dl dd dt", "a", "article main", "section div", "nav menu", "header", "footer", "aside", "form input label fieldset", "table tbody tr td th", "blockquote pre code figure figcaption", "b i em strong span u small sup sub font mark", "body html")]
-#: Tokens of class, id and role that speak for and against main text.
-GOOD = frozenset("article articlebody body content copy entry main mainbody post prose richtext story text".split())
-BAD = frozenset("ad ads adv advert advertisement alert author banner bar bio breadcrumb breadcrumbs byline combx comment comments community consent cookie cookies copyright disqus disclaimer footer foot gdpr header hidden login masthead menu meta modal nav navbar navigation newsletter notice outbrain pager pagination popup promo promoted recommend recommended related replies reply respond share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe tag tags teaser toolbar tools widget".split())
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Tokens of class, id and role are hashed to so many buckets, whose odds of main text are learnt.
+BUCKETS = 1024
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|[!?])")
+#: The rest of a tag. Quotes count after = only; possessive, so nothing is tried twice.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _SPACE = re.compile(r"\s+")
@@ -46,58 +49,87 @@ _STOP = re.compile(r"[.,;:!?…。，！？]")
 class Page:
     """The nodes of a page in document order; text of a node that isn't "#text" is ""."""
 
-    def __init__(self, source: str):
-        self.tag, self.parent, self.text, self.good, self.bad = ["#root"], [-1], [""], [0], [0]
+    def __init__(self, source: str, odds: list[float]):
+        """odds: what each bucket of attribute tokens says for main text (or, below 0, against it)."""
+        self.odds, self.tag, self.parent, self.text, self.good, self.bad, self.tokens = odds, ["#root"], [-1], [""], [0.0], [0.0], [()]
+        self.open: dict[str, int] = {}
         stack, at, end = [0], 0, len(source)
+        quotes = max(source.rfind('"'), source.rfind("'"))
         while at < end:
-            m = _TOKEN.search(source, at)
+            m = _OPEN.search(source, at)
             self.add_text(source[at : m.start() if m else end], stack[-1])
             if not m:
                 break
-            at = m.end()
             if m[2] is None:
+                stop = source.find("-->", m.start() + 4) + 2 if source.startswith("<!--", m.start()) else source.find(">", m.end())
+                at = stop + 1 if stop > 1 else end
                 continue
-            tag = m[2].lower()
+            rest = self.rest(source, m.end(), quotes)
+            if rest < 0:  # the page ends within the tag
+                break
+            attrs, at, tag = source[m.end() : rest], rest + 1, m[2].lower()
             if m[1]:
                 if tag == "br":
                     self.add_text(" ", stack[-1])
-                elif self.is_open(tag, stack):
-                    while self.tag[stack.pop()] != tag:
-                        pass
+                elif self.open.get(tag):
+                    k = len(stack) - 1
+                    while self.tag[stack[k]] != tag:
+                        k -= 1
+                    self.cut(stack, k)
                 continue
             if tag in CLOSES:
                 self.close(*CLOSES[tag], stack)
-            node = self.add(tag, stack[-1], m[3])
+            node = self.add(tag, stack[-1], attrs)
             if tag in RAW:
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                stop = RAW_END[tag].search(source, at)
                 at = stop.end() if stop else end
-            elif tag not in VOID and not m[3].endswith("/"):
+            elif tag not in VOID and not attrs.endswith("/"):
                 stack.append(node)
+                self.open[tag] = self.open.get(tag, 0) + 1
+
+    def rest(self, source: str, at: int, quotes: int) -> int:
+        """Where the tag ends whose name ends at at; -1 if nowhere. quotes: where the last quote stands."""
+        if (stop := source.find(">", at)) < 0:
+            return -1
+        if "=" not in source[at:stop]:
+            return stop
+        m = _REST.match(source, at)
+        if m is None and quotes >= at:  # a quote that isn't closed: it is no quote
+            return stop
+        return m.end() - 1 if m else -1
 
-    def is_open(self, tag: str, stack: list[int]) -> bool:
-        return any(self.tag[i] == tag for i in reversed(stack))
+    def cut(self, stack: list[int], k: int) -> None:
+        """Close the open elements from place k on."""
+        for i in stack[k:]:
+            self.open[self.tag[i]] -= 1
+        del stack[k:]
 
     def close(self, tags: frozenset, fence: frozenset, stack: list[int]) -> None:
-        """Close the outermost open element of tags above the nearest of fence."""
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] in fence:
-                break
-            if self.tag[stack[k]] in tags:
-                del stack[k:]
-                return self.close(tags, fence, stack)
-            if self.tag[stack[k]] in BLOCK and self.tag[stack[k]] not in tags:
-                break
+        """Close the open elements of tags above the nearest of fence or of another block, with what they hold."""
+        while any(self.open.get(t) for t in tags):
+            for k in range(len(stack) - 1, 0, -1):
+                tag = self.tag[stack[k]]
+                if tag in tags and tag not in fence:
+                    self.cut(stack, k)
+                    break
+                if tag in fence or tag in BLOCK:
+                    return
+            else:
+                return
 
     def add(self, tag: str, parent: int, attrs: str = "") -> int:
-        good = bad = 0
-        if attrs:
-            words = [w for m in _ATTR.finditer(attrs) for w in _SPLIT.split((m[2] or m[3] or m[4] or "").lower())]
-            good, bad = sum(w in GOOD for w in words), sum(w in BAD for w in words)
+        good, bad, buckets = 0.0, 0.0, ()
+        if attrs and "=" in attrs:
+            words = {w for m in _ATTR.finditer(attrs) for w in _SPLIT.split((m[2] or m[3] or m[4] or "").lower()) if w}
+            buckets = sorted(zlib.crc32(w.encode()) % BUCKETS for w in words)
+            found = [self.odds[i] for i in buckets]
+            good, bad = sum(x for x in found if x > 0), -sum(x for x in found if x < 0)
         self.tag.append(tag)
         self.parent.append(parent)
         self.text.append("")
         self.good.append(good)
         self.bad.append(bad)
+        self.tokens.append(buckets)
         return len(self.tag) - 1
 
     def add_text(self, text: str, parent: int) -> None:
@@ -147,7 +179,7 @@ class Page:
         code = np.unique(np.array(tag), return_inverse=True)[1]
         same = np.unique(par * n + code, return_inverse=True, return_counts=True)
         total = max(1.0, chars[0])
-        cols = [d, np.log1p(c), np.log1p(c[par]), li / np.maximum(c, 1), li[par] / np.maximum(c[par], 1), c / (tg + 1), st / np.maximum(wd, 1), c / total, np.array(before) / total, k, pl / np.maximum(k[par], 1), k[par], same[2][same[1]] / np.maximum(1, np.bincount(par, minlength=n)[par]), (c[par] - c) / np.maximum(1, np.bincount(par, minlength=n)[par] - 1) / 100, own_g, own_b, np.minimum(g, 3), np.minimum(b, 3), own_g[par], own_b[par]]
+        cols = [d, np.log1p(c), np.log1p(c[par]), li / np.maximum(c, 1), li[par] / np.maximum(c[par], 1), c / (tg + 1), st / np.maximum(wd, 1), c / total, np.array(before) / total, k, pl / np.maximum(k[par], 1), k[par], same[2][same[1]] / np.maximum(1, np.bincount(par, minlength=n)[par]), (c[par] - c) / np.maximum(1, np.bincount(par, minlength=n)[par] - 1) / 100, own_g, own_b, np.minimum(g, 12), np.minimum(b, 12), own_g[par], own_b[par]]
         kind = np.array([next((j for j, x in enumerate(KINDS) if t in x), len(KINDS)) for t in tag])
         for j in range(len(KINDS)):
             cols += [kind == j, kind[par] == j]
@@ -186,7 +218,7 @@ class Page:
                 if owner[i] != last:
                     out.append([])
                     last = owner[i]
-                if kept[i]:
+                if kept[i] if self.tag[i] == "#text" else kept[self.parent[i]]:
                     out[-1].append(self.text[i] if self.tag[i] == "#text" else " ")
             elif self.tag[i] in BLOCK:
                 last = -1  # what follows in the outer block begins anew
@@ -196,7 +228,7 @@ class Page:
 
 def extract(sources: list[str], model: dict) -> list[str]:
     """Main texts of pages, judged in one call of the model."""
-    pages = [Page(s) for s in sources]
+    pages = [Page(s, model["tokens"]) for s in sources]
     rows = [p.features() for p in pages]
     odds = logits(model, np.concatenate(rows)) if rows else np.zeros(0)
     out, at = [], 0

@@ -18,7 +18,16 @@ from pyspark.sql import functions as F
 #: White space and words as the contracts define them: six ASCII characters, nothing else.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-words_of = re.compile(WORD).findall
+_words = re.compile(WORD).findall
+#: White space to str.split() that parts no words here.
+_INNER = [*map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, in order."""
+    if any(c in text for c in (_INNER[:4] if text.isascii() else _INNER)):
+        return _words(text)
+    return text.split()
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -76,7 +76,7 @@ def script_of(text: str) -> str:
 class Pieces:
     """How many pieces and byte pieces a word has under a sentencepiece model; each new word is encoded once."""
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 600_000):
         from sentencepiece import SentencePieceProcessor
 
         self.model, self.memory = SentencePieceProcessor(model_file=path), memory
@@ -110,8 +110,12 @@ def repeated_words(ids: np.ndarray) -> int:
     """How many words lie in windows of 3 words that the sequence has twice or more."""
     if len(ids) < 4:
         return 0
-    _, pairs = np.unique(ids[:-1] << 32 | ids[1:], return_inverse=True)
-    _, at, counts = np.unique(pairs[:-1] << 32 | ids[2:], return_inverse=True, return_counts=True)
+    if ids.max() < 1 << 21:  # three of them fit one number
+        windows = ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:]
+    else:
+        pairs = np.unique(ids[:-1] << 32 | ids[1:], return_inverse=True)[1]
+        windows = pairs[:-1] << 32 | ids[2:]
+    _, at, counts = np.unique(windows, return_inverse=True, return_counts=True)
     start = np.flatnonzero(counts[at] > 1)
     inside = np.zeros(len(ids), bool)
     for k in range(3):
@@ -151,7 +155,7 @@ class Judge:
             mine = at[end - len(x) : end]
             chars = sum(map(len, x))
             n_pieces, n_bytes = (int(v) for v in counts[mine].sum(0))
-            repeat = repeated_words(np.unique(mine, return_inverse=True)[1].astype(np.int64))
+            repeat = repeated_words(mine)
             failed = len(x) < self.min_words or 100 * repeat > 50 * len(x)
             name = lang if lang in bands and (lang in LANGUAGES or lang not in BANDS) else script_of(t)
             if name not in bands:

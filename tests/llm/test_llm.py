@@ -702,6 +702,20 @@ def test_fertility(docs, rows):
     assert any(r.kept for r in got)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("ab \t\n\x0b\x1c\x1f\x85\xa0\u2003\u3000é"), max_size=30))
+def test_words_of_any_text(text):
+    assert common.words_of(text) == words(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=30), st.sampled_from([0, 1 << 20, 1 << 30]))
+def test_repeated_words(ids, base):
+    windows = collections.Counter(tuple(ids[i : i + 3]) for i in range(len(ids) - 2))
+    inside = {i + k for i in range(len(ids) - 2) if windows[tuple(ids[i : i + 3])] > 1 for k in range(3)}
+    assert fertility.repeated_words(np.array(ids, np.int64) + base) == len(inside)
+
+
 def test_fertility_bands(spark):
     r = random.Random(2)
     prose = " ".join(r.choice("the of and to in that it was for on are with as his they at be this from have or by one had not but what all were when we there can an your river stone market garden winter morning teacher letter music bridge window paper silver travel answer quiet follow build carry young early strong simple heavy".split()) + r.choice(["", "ing", "ed"]) for _ in range(150))

@@ -50,7 +50,7 @@ def open_members(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     if comps is None:
         return now
     still = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    return now.join(still.hint("merge"), "key", "left_semi")
+    return stage(now.join(still.hint("merge"), "key", "left_semi"), "open")  # it is read several times
 
 
 def leaders(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, rounds: int = 2) -> DataFrame | None:

@@ -466,8 +466,8 @@ def test_probability_jaccard():
 
 def weighted_jaccard(a, b, k=5):
     """Probability Jaccard similarity of 1 + ln of the counts of shingles."""
-    grams_of = lambda t: collections.Counter(tuple(words(t)[i : i + k]) for i in range(max(1, len(words(t)) - k + 1)))
-    x, y = ({g: 1 + np.log(c) for g, c in grams_of(t).items()} for t in (a, b))
+    grams_of = lambda w: collections.Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
+    x, y = ({g: 1 + np.log(c) for g, c in grams_of(words(t)).items()} for t in (a, b))
     every = [(x.get(g, 0.0), y.get(g, 0.0)) for g in {*x, *y}]
     p, q = np.array(every).T
     return sum(1 / np.maximum(p / p[i], q / q[i]).sum() for i in np.flatnonzero((p > 0) & (q > 0)))

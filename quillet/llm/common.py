@@ -236,12 +236,23 @@ def release() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def roomy(a: np.ndarray, n: int) -> np.ndarray:
+    """a, or a copy with more room behind it, so that it has n elements at least."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, len(a) * 3 // 2), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class Tokens:
     """Ids of texts under a tokenizers file, the same as encode(add_special_tokens=False) gives, but with a memory of pieces.
 
-    A file that splits texts in another way than the byte-level pattern, or changes them first, is left to the library. Texts of characters whose class no version of Unicode has
-    changed are split here and each new piece is encoded by the library once; other texts go to the library whole.
-    memory: how many pieces are remembered at most; beyond it the first quarter stays, as frequent pieces come early.
+    A file that splits texts in another way than the byte-level pattern, or changes them first, is left to the library, and
+    so are texts with characters whose class some version of Unicode has changed. Other texts are cut into the pattern's
+    pieces here, a batch at once. Pieces of up to SHORT bytes are looked up in a hash table by two numbers that hold
+    all their bytes, longer ones in a dict. A new piece is encoded by the library once.
+    memory: how many pieces are remembered at most; beyond it the first quarter stays, as frequent ones come early.
     """
 
     LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏА-я一-龥ぁ-ゖァ-ヺ"
@@ -249,9 +260,13 @@ class Tokens:
     PLAIN = re.compile(rf"[\t-\r\x20-\x7e¡-ɏ‐-‧‰-⁞₠-€{LETTER}]*").fullmatch
     #: The byte-level alphabet: bytes without a printable character of their own stand for characters from 256 on.
     BYTES = dict(zip((b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)), range(256, 512), strict=False))
-    SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+").findall
+    #: What the pattern tells apart, by code point: white space 0, letters 1, digits 2, others 3.
+    CLASS = np.full(1 << 16, 3, np.uint8)
+    for _found, _kind in ((r"[\t-\r ]", 0), (f"[{LETTER}]", 1), (f"[{NUMBER}]", 2)):
+        CLASS[[ord(c) for c in re.findall(_found, "".join(map(chr, (*range(0xD800), *range(0xE000, 1 << 16)))))]] = _kind
+    SHORT = 15
 
-    def __init__(self, path: str, memory: int = 700_000):
+    def __init__(self, path: str, memory: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
@@ -260,54 +275,138 @@ class Tokens:
         as_known = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.as_known = as_known and told["normalizer"] is None and told["truncation"] is None and told["padding"] is None and model["type"] == "BPE" and not model.get("dropout")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.index, self.held = {}, []
-        self.flat, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # by place: the ids, and the two numbers of a short piece, whose place is in the table; of long ones it is in the dict
+        self.n, self.n_ids = 0, 0
+        self.flat, self.at, self.size = np.zeros(1024, np.uint32), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.low, self.high = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.index = {}
+        self.rebuild()
 
     def forget(self) -> None:
-        """Keep the pieces learnt first."""
+        """Keep what was learnt first."""
         n = self.memory // 4
-        self.index = dict(itertools.islice(self.index.items(), n))
-        self.size, self.at = self.size[:n], self.at[:n]
-        self.flat = self.flat[: int(self.size.sum())]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces and remember them."""
+        self.index = {k: v for k, v in self.index.items() if v < n}
+        self.n, self.n_ids = n, int(self.size[:n].sum())
+        self.rebuild()
+
+    def rebuild(self) -> None:
+        """The table anew, with room for twice as many pieces as there are, and more."""
+        self.bits = max(12, (4 * self.n).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        self.enter(np.flatnonzero(self.high[: self.n]))
+
+    def slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Where the search for pieces begins in the table."""
+        h = low * np.uint64(_POWER[0] | 1) ^ high * np.uint64(_POWER[1] | 1)
+        return ((h ^ h >> np.uint64(32)) * np.uint64(_POWER[0] | 1) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def enter(self, places: np.ndarray) -> None:
+        """Put pieces, each once, into the table; of those that meet at a free slot one stays and the others go on."""
+        slot, last = self.slots(self.low[places], self.high[places]), (1 << self.bits) - 1
+        while len(places):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = places[free]
+            left = self.table[slot] != places
+            places, slot = places[left], slot[left] + 1 & last
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The places of short pieces, -1 where unknown."""
+        slot, last = self.slots(low, high), (1 << self.bits) - 1
+        place = self.table[slot].astype(np.int64)
+        open_ = np.flatnonzero(place >= 0)
+        while len(open_):
+            p = place[open_]
+            open_ = open_[(self.low[p] != low[open_]) | (self.high[p] != high[open_])]
+            slot[open_] = slot[open_] + 1 & last
+            place[open_] = self.table[slot[open_]]
+            open_ = open_[place[open_] >= 0]
+        return place
+
+    def learn(self, pieces: list[bytes], low: np.ndarray, high: np.ndarray) -> None:
+        """Encode new pieces, given once each, and remember their ids behind what is known."""
         tokenize, plain = self.tokenizer.model.tokenize, self.BYTES
-        coded = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(plain))] for p in pieces]
-        n = len(self.index)
-        self.index.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        coded = [[t.id for t in tokenize(p.decode("latin-1").translate(plain))] for p in pieces]
         size = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.held.append((np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(size.sum())), size))
-
-    def settle(self) -> None:
-        """Put what was learnt behind what is known."""
-        if self.held:
-            self.flat = np.concatenate([self.flat, *(x for x, _ in self.held)])
-            self.size = np.concatenate([self.size, *(x for _, x in self.held)])
-            self.at, self.held = np.cumsum(self.size) - self.size, []
+        n, n_ids = self.n + len(coded), self.n_ids + int(size.sum())
+        self.flat = roomy(self.flat, n_ids)
+        self.at, self.size, self.low, self.high = (roomy(x, n) for x in (self.at, self.size, self.low, self.high))
+        self.flat[self.n_ids : n_ids] = np.fromiter(itertools.chain.from_iterable(coded), np.uint32, n_ids - self.n_ids)
+        self.at[self.n : n], self.size[self.n : n] = self.n_ids + np.cumsum(size) - size, size
+        self.low[self.n : n], self.high[self.n : n] = low, high
+        self.n, self.n_ids = n, n_ids
+
+    def long_places(self, pieces: list[bytes]) -> np.ndarray:
+        """The places of long pieces; new ones are learnt."""
+        new, n = list(dict.fromkeys(p for p in pieces if p not in self.index)), self.n
+        if new:
+            self.index.update(zip(new, range(n, n + len(new)), strict=True))
+            self.learn(new, *np.zeros((2, len(new)), np.uint64))
+        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+
+    def short_places(self, raw: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The places of the short pieces that lie at start in raw, which has 16 bytes more; new ones are learnt."""
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))  # the eight bytes from each place on
+        low = eight[start] & _BYTES[np.minimum(size, 8)]
+        high = eight[start + 8] & _BYTES[np.maximum(size - 8, 0)] | size.astype(np.uint64) << np.uint64(56)
+        place = self.find(low, high)
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            new = {raw[a : a + k]: i for a, k, i in zip(start[unknown].tolist(), size[unknown].tolist(), unknown.tolist(), strict=True)}
+            one, n = np.fromiter(new.values(), np.int64, len(new)), self.n
+            self.learn(list(new), low[one], high[one])
+            if 2 * self.n > len(self.table):
+                self.rebuild()
+            else:
+                self.enter(np.arange(n, self.n))
+            place[unknown] = self.find(low[unknown], high[unknown])
+        return place
+
+    def cut(self, texts: list[str], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the pattern's pieces start in the bytes of all texts: at each run of one class, but a space before a run
+        of others is its own, the last of several white characters is apart, and so are the endings after an apostrophe."""
+        if len(data) == sum(map(len, texts)):
+            kind = self.CLASS[data]
+        else:
+            points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+            kind = np.repeat(self.CLASS[points], 1 + (points >= 0x80) + (points >= 0x800))
+        first = np.zeros(len(data) + 1, bool)  # of a text
+        first[offsets] = True
+        start = first[:-1].copy()
+        start[1:] |= kind[1:] != kind[:-1]
+        after = np.flatnonzero(start[1:] & ~first[1:-1] & (kind[1:] > 0) & (kind[:-1] == 0)) + 1
+        start[after - 1] = True
+        start[after[data[after - 1] == 32]] = False
+        mark = np.flatnonzero(start & (data == 39))
+        mark = mark[~first[mark + 1]]
+        mark = mark[kind[mark + 1] == 1]
+        one, two = data[mark + 1], np.where(first[mark + 2], 0, data[np.minimum(mark + 2, len(data) - 1)])
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        ends = short | ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        after = (mark + 3 - short)[ends]
+        start[mark[ends] + 1] = False
+        start[after[after < len(data)]] = True
+        return np.flatnonzero(start)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """An array of uint32 ids for each text."""
-        pieces = [self.SPLIT(t) if self.as_known and self.PLAIN(t) and not any(s in t for s in self.special) else None for t in texts]
-        flat = list(itertools.chain.from_iterable(x for x in pieces if x))
-        if len(self.index) + len(flat) > self.memory and len(self.index) > self.memory // 2:
+        plain = [self.as_known and bool(self.PLAIN(t)) and not any(s in t for s in self.special) for t in texts]
+        known = iter(self.encode_plain([t for t, ok in zip(texts, plain, strict=True) if ok]))
+        return [next(known) if ok else np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t, ok in zip(texts, plain, strict=True)]
+
+    def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        coded = [t.encode() for t in texts]
+        raw, offsets = b"".join([*coded, bytes(16)]), np.cumsum([0, *map(len, coded)])
+        start = self.cut(texts, np.frombuffer(raw, np.uint8)[: offsets[-1]], offsets)
+        if self.n + len(start) > self.memory and self.n > self.memory // 2:
             self.forget()
-        place = np.fromiter(map(self.index.get, flat, itertools.repeat(-1)), np.int64, len(flat))
-        unknown = np.flatnonzero(place < 0)
-        if len(unknown):
-            missing = [flat[i] for i in unknown.tolist()]
-            self.learn(list(dict.fromkeys(missing)))
-            self.settle()
-            place[unknown] = np.fromiter(map(self.index.__getitem__, missing), np.int64, len(missing))
-        out, at = [], 0
-        for t, x in zip(texts, pieces, strict=True):
-            if x is None:
-                out.append(np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
-                continue
-            i = place[at : at + len(x)]
-            at += len(x)
-            out.append(gather(self.flat, self.at[i], self.size[i]))
-        return out
+        n, place = np.diff(start, append=offsets[-1]), np.empty(len(start), np.int64)
+        short, long = np.flatnonzero(n <= self.SHORT), np.flatnonzero(n > self.SHORT)
+        place[short] = self.short_places(raw, start[short], n[short])
+        place[long] = self.long_places([raw[a : a + k] for a, k in zip(start[long].tolist(), n[long].tolist(), strict=True)])
+        size = self.size[place]
+        ids = gather(self.flat, self.at[place], size)
+        cuts = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, offsets)].tolist()
+        return [ids[a:b] for a, b in itertools.pairwise(cuts)]
 
 
 def gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips and held-out accuracy, and their odd cases."""
 
 import collections
+import functools
 import hashlib
 import json
 import random
@@ -80,6 +81,22 @@ def test_tokens_are_the_librarys():
         assert [x.tolist() for a in range(0, len(texts), size) for x in t.encode(texts[a : a + size])] == want
 
 
+BITS = ["'", "'s", "'re", "'ll", "'ve", "'d", "'S", " ", "  ", "\n", "\t", "\r\n", "\x0b", "a", "s", "l", "7", "½", "é", "日本", "ж", "!", "…", "‘", "€", "xylophone" * 3]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(BITS), max_size=14).map("".join), max_size=12))
+def test_tokens_of_pieces_that_meet(texts):
+    """Apostrophes, white space and classes of characters in all orders, several texts at once, a memory that forgets."""
+    t = small_memory()
+    assert [x.tolist() for x in t.encode(texts)] == [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@functools.cache
+def small_memory():
+    return common.Tokens(TOKENIZER, memory=200)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_tokens_of_any_text(text):

@@ -171,12 +171,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_halves(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each word's bytes, together a 128-bit one.
-
-    A word of up to 15 bytes is two numbers, its bytes and its length, and the hashes are a bijection of them: two such
-    words never agree in both. Longer words are first digested by 128-bit xxh3, which is no algebraic sum of the bytes.
-    """
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each word: the bytes and length of one of up to 15 bytes, the 128-bit xxh3 of a longer one."""
     import xxhash
 
     if not len(starts):
@@ -190,13 +186,24 @@ def word_halves(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     for i in np.flatnonzero(n > 15).tolist():
         d = xxhash.xxh3_128_intdigest(raw[starts[i] : ends[i]])
         low[i], high[i] = d & 0xFFFFFFFFFFFFFFFF, d >> 64
+    return low, high
+
+
+def word_halves(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word's bytes, together a 128-bit one.
+
+    They are a bijection of the word's numbers: two words of up to 15 bytes never agree in both. Longer words are
+    first digested by a hash which is no algebraic sum of the bytes.
+    """
+    low, high = word_numbers(data, starts, ends)
     first = mix(low ^ mix(high + np.uint64(_POWER[0])))
     return first, mix(high ^ mix(first + np.uint64(_POWER[1])))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    return word_halves(data, starts, ends)[0]
+    """A 64-bit hash of each word's bytes, the first of word_halves."""
+    low, high = word_numbers(data, starts, ends)
+    return mix(low ^ mix(high + np.uint64(_POWER[0])))
 
 
 def window_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:

@@ -22,13 +22,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import keyed, mix, row_bytes, word_hashes, word_starts
+from quillet.llm.common import keyed, row_bytes, word_hashes, word_starts
 from quillet.llm.token_files import shared_tokens
 
 PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 _piece = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
 
+#: Odd factors; the highest bits of their products with a word's hash are its luck in the races.
+RACES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Lists of up to so many postings are read by one index, longer ones as slices.
+SHORT_LIST = 64
+
+
 def lexical_keys(texts: pa.Array) -> np.ndarray:
     """Two 64-bit keys for each text: the hashes of the words that come first in two races; 0 without words."""
     data, offsets = row_bytes(texts)
@@ -39,7 +45,7 @@ def lexical_keys(texts: pa.Array) -> np.ndarray:
         return out
     slow = 1.0 / np.minimum(ends - starts, 20).astype(np.float64) ** 2
     for k in (0, 1):
-        time = (mix(words + np.uint64(k + 1)) >> np.uint64(11)).astype(np.float64) * slow
+        time = (words * np.uint64(RACES[k]) >> np.uint64(11)).astype(np.float64) * slow
         first = np.flatnonzero(time == np.repeat(np.minimum.reduceat(time, rows[full]), np.diff(rows)[full]))
         row = np.searchsorted(rows, first, "right") - 1
         row, at = np.unique(row, return_index=True)
@@ -87,11 +93,14 @@ class Index:
         """Unused documents that share a word with the seed, best score first, ties by place; the `first` ones (and ties) come ahead."""
         t = self.term[self.of_doc[seed] : self.of_doc[seed + 1]]
         t = t[t >= 0]
-        spans = list(zip(self.of_term[t].tolist(), self.of_term[t + 1].tolist(), strict=True))
-        if not spans:
+        if not len(t):
             return
-        docs = np.concatenate([self.posting_doc[a:b] for a, b in spans])
-        total = np.bincount(docs, np.concatenate([self.posting_weight[a:b] for a, b in spans]), self.n)
+        start, end = self.of_term[t], self.of_term[t + 1]
+        few = end - start <= SHORT_LIST
+        size, spans = (end - start)[few], list(zip(start[~few].tolist(), end[~few].tolist(), strict=True))
+        at = np.repeat(start[few] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        docs, weights = (np.concatenate([x[at], *(x[a:b] for a, b in spans)]) for x in (self.posting_doc, self.posting_weight))
+        total = np.bincount(docs, weights, self.n)
         total[used] = 0
         found = np.flatnonzero(total)
         score = total[found]
@@ -166,8 +175,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 1024):
-                batch = whole.slice(a, 1024)
+            for a in range(0, whole.num_rows, 128):  # what is made of them stays in the cache
+                batch = whole.slice(a, 128)
                 keys = lexical_keys(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "text")), pa.array(keys[:, 0]), pa.array(keys[:, 1])], schema=schema)
 
@@ -180,8 +189,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def one(ids: list, texts: pa.Array, sequence: int) -> pa.RecordBatch:
         tokens, end, coded = shared_tokens(tokenizer), np.asarray([end_id], np.uint32), []
-        for a in range(0, len(ids), 256):
-            coded += [np.concatenate([x, end]) for x in tokens.encode(texts.slice(a, 256).to_pylist())]
+        for a in range(0, len(ids), 64):
+            coded += [np.concatenate([x, end]) for x in tokens.encode(texts.slice(a, 64).to_pylist())]
         sizes = np.array([len(x) for x in coded])
         pieces = fill(sizes, Index(texts), length)
         cols = list(zip(*pieces, strict=True))

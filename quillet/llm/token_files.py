@@ -113,8 +113,8 @@ def write(
 
         for batch in batches:
             docs_, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a in range(0, len(docs_), 256):
-                for d, x in zip(docs_[a : a + 256], tokens.encode(texts.slice(a, 256).to_pylist()), strict=True):
+            for a in range(0, len(docs_), 64):
+                for d, x in zip(docs_[a : a + 64], tokens.encode(texts.slice(a, 64).to_pylist()), strict=True):
                     held += [x, end]
                     ids.append(d)
                     sizes.append(len(x) + len(end))

@@ -273,7 +273,7 @@ class Tokens:
         CLASS[[ord(c) for c in re.findall(_found, "".join(map(chr, (*range(0xD800), *range(0xE000, 1 << 16)))))]] = _kind
     SHORT = 15
 
-    def __init__(self, path: str, memory: int = 1_200_000):
+    def __init__(self, path: str, memory: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
@@ -297,8 +297,8 @@ class Tokens:
         self.rebuild()
 
     def rebuild(self) -> None:
-        """The table anew, with room for twice as many pieces as there are, and more."""
-        self.bits = max(12, (4 * self.n).bit_length())
+        """The table anew, twice as large as there are pieces at least."""
+        self.bits = max(12, (2 * self.n).bit_length())
         self.table = np.full(1 << self.bits, -1, np.int32)
         self.enter(np.flatnonzero(self.high[: self.n]))
 

@@ -65,7 +65,10 @@ class Index:
         bits = max(1, len(starts).bit_length())
         width = 63 - bits
         word = word_hashes(data, starts, ends) >> np.uint64(64 - width)
-        pair = np.sort(np.repeat(np.arange(self.n), sizes) << width | word.astype(np.int64))
+        del starts, ends
+        pair = np.repeat(np.arange(self.n), sizes) << width | word.astype(np.int64)
+        del word
+        pair.sort()
         first = np.flatnonzero(np.diff(pair, prepend=-1))
         pair, tf = pair[first], np.diff(np.append(first, len(pair)))
         doc = pair >> width

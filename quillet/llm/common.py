@@ -66,10 +66,14 @@ def scope(spark: SparkSession) -> Iterator[None]:
         _scopes["now"] = before
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    by: a column of few values; rows of one value lie apart, and readers of one value read no other rows.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged.staged_at = path
     return staged

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm import exact_dedup, fertility, html_extract, license_scan, line_dedup, mixing, near_dedup, packing, sessions, substring_dedup, token_files, turns
+from quillet.llm import exact_dedup, fertility, html_extract, license_scan, line_dedup, mixing, near_dedup, packing, sessions, substring_dedup, token_files, toxicity, turns
 from quillet.llm.common import scratch, tokenizer_path
 
 
@@ -59,6 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
+
+
 def op12_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sessions.sessions(table(spark, sf_dir, "clicks"))
     return found.withColumn("path_sha256", F.sha2("path", 256)).drop("path")
@@ -71,7 +75,7 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_html_extract, op4_license_scan, op5_substring_dedup, op6_mixing, op7_near_dedup, op8_line_dedup, op9_fertility, op10_packing, op12_sessions, op13_turn_repair)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_html_extract, op4_license_scan, op5_substring_dedup, op6_mixing, op7_near_dedup, op8_line_dedup, op9_fertility, op10_packing, op11_toxicity, op12_sessions, op13_turn_repair)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""

@@ -7,6 +7,7 @@ import ctypes
 import itertools
 import json
 import re
+import resource
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -247,6 +248,14 @@ def release() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def release_above(mb: int) -> None:
+    """release() if this process holds more: for the end of a task whose worker may then wait through other stages."""
+    with contextlib.suppress(OSError):
+        with open("/proc/self/statm") as f:
+            if int(f.read().split()[1]) * resource.getpagesize() > mb << 20:
+                release()
+
+
 def roomy(a: np.ndarray, n: int) -> np.ndarray:
     """a, or a copy with more room behind it, so that it has n elements at least."""
     if n <= len(a):

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillet.llm.common import column_of, keyed, memories, words_of
+from quillet.llm.common import column_of, keyed, memories, release_above, words_of
 from quillet.llm.token_files import shared_tokens
 
 
@@ -57,6 +57,8 @@ SCRIPTS = {
     "cjk": "぀-ヿ㐀-鿿가-힣",
 }
 _script = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
+#: A worker that has filtered a partition may wait while later stages need the executor's memory; it keeps so much at most.
+WAITING_MB = 320
 _letter = re.compile(r"[^\W\d_]")
 SYMBOLS = "#*$%&|<>"
 LANGUAGES = frozenset(BANDS) - {*SCRIPTS, "other", ""}
@@ -207,5 +209,6 @@ def kept_documents(docs: DataFrame, tokenizer: str, pieces: str, text_col: str =
                 texts = [t or "" for t in batch.column(text).cast(pa.string()).to_pylist()]
                 langs = batch.column(lang).cast(pa.string()).to_pylist() if lang else [None] * len(texts)
                 yield batch.filter(pa.array([x[-1] for x in of(texts, langs)], pa.bool_()))
+        release_above(WAITING_MB)
 
     return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

@@ -31,6 +31,8 @@ _piece = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 
 #: Odd factors; the highest bits of their products with a word's hash are its luck in the races.
 RACES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: What a row counts towards a shard's size besides its text, so that many empty texts are many shards, too.
+ROW_BYTES = 64
 #: Lists of up to so many postings are read by one index, longer ones as slices.
 SHORT_LIST = 64
 
@@ -62,7 +64,7 @@ class Index:
         self.n = len(rows) - 1
         sizes = np.diff(rows)
         # a word is the highest bits of its hash; document and word, or word and place, fit one number, so plain sorts do
-        bits = max(1, len(starts).bit_length())
+        bits = max(1, len(starts).bit_length(), self.n.bit_length())
         width = 63 - bits
         word = word_hashes(data, starts, ends) >> np.uint64(64 - width)
         del starts, ends
@@ -169,10 +171,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     lies in exactly one piece; pieces of a sequence follow each other without gaps from offset 0; a sequence has
     length tokens, and only the last one of each shard may have fewer. Equal rows are packed each. sequence_id: the range
     and the number in it. An empty table gives no rows; other columns are not read. shard_bytes: a shard ends with the
-    document that reaches so many bytes. lexical: deal documents by their words, not at random.
+    document that reaches so many bytes, of which a row counts 64 besides its text. lexical: deal documents by their words, not at random.
     """
     rows = keyed(docs, doc_id=id_col, text=text_col).selectExpr("rid", "cast(doc_id as bigint) doc_id", "coalesce(cast(text as string), '') text")
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    total = rows.agg(F.sum(F.octet_length("text").cast("long") + ROW_BYTES)).first()[0] or 0
     ranges = max(1, -(-total // (4 * shard_bytes)))
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("k0", pa.int64()), ("k1", pa.int64())])
 
@@ -206,7 +208,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         sequence, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
         for whole in batches:
-            a, lengths = 0, pc.binary_length(whole.column("text")).to_numpy()
+            a, lengths = 0, pc.binary_length(whole.column("text")).to_numpy() + ROW_BYTES
             while a < whole.num_rows:
                 left = np.cumsum(lengths[a:])
                 n = min(len(left), int(np.searchsorted(left, shard_bytes - size)) + 1)

@@ -832,3 +832,21 @@ def brute_bm25(texts, seed, k1=1.5, b=0.75):
 
 def test_packing_empty(empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
+
+
+def test_index_of_more_documents_than_words():
+    for texts in (["a", "", "", "", "a"], ["a b", *[""] * 40, "a c"], [""] * 9):
+        index, last = packing.Index(pa.array(texts, pa.large_string())), len(texts) - 1
+        found = [d for part in index.neighbours(0, np.arange(len(texts)) == 0) for d in part.tolist()]
+        assert found == ([last] if texts[0] else [])
+
+
+def test_packing_of_empty_texts(spark):
+    rows = [(0, "a b"), *[(i, "" if i % 2 else None) for i in range(1, 10_001)], (10_001, "a c")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), TOKENIZER, length=512, shard_bytes=100_000).collect()
+    assert len({p.doc_id for p in got}) == 10_002 and sum(p.length for p in got) == sum(len(p.ids) // 4 for p in got) >= 10_004
+    by = collections.defaultdict(list)
+    for p in got:
+        by[p.sequence_id].append((p.offset, p.length))
+    assert all(sum(k for _, k in ps) <= 512 and all(a + k == b for (a, k), (b, _) in zip(sorted(ps), sorted(ps)[1:], strict=False)) for ps in by.values())
+    assert len({q >> 32 for q in by}) > 1

@@ -282,7 +282,8 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(1 << 30))
     known = known.withColumn("place", place).where(F.col("place") < int(share * (1 << 30)))
     rows = keyed(docs, doc_id="doc_id", text="text").select("doc_id", "text")
-    return rows.join(known, "doc_id").select(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"), F.col("toxic").cast("int").alias("toxic"), (F.col("place") % FOLDS).cast("int").alias("fold"))
+    # max_rows ids at most, so they are sent to the texts rather than all texts to them
+    return rows.join(F.broadcast(known), "doc_id").select(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"), F.col("toxic").cast("int").alias("toxic"), (F.col("place") % FOLDS).cast("int").alias("fold"))
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:

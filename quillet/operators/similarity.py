@@ -1,8 +1,9 @@
 """Nearest neighbours and similarity joins of vectors.
 
-One query vector against a table is a Catalyst expression with a top-k. Many against many are blocks: vectors are
-packed into matrices of `block` rows and block pairs are multiplied, so Python sees one row per block pair, and a task
-holds two blocks and one product whatever the tables' sizes.
+One query vector against a table is a Catalyst expression with a top-k. Many against many are blocks of cells (see
+cells.py): vectors are packed into matrices of `block` rows and pairs of blocks are multiplied, so Python sees one row per
+pair, and a task holds two blocks and one product whatever the tables' sizes. Pairs that can't matter by their bounds are
+left out; results are exact. Tables of few blocks are multiplied in one task. For approximate search see vector_index.py.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.functions.vectors import dot
+from quillet.operators import cells
+from quillet.sources.held import held
 
-BLOCK = "block bigint, ids array<bigint>, dims int, matrix binary"
+FOUND = "a bigint, b bigint, sim double"
 DECIMALS = 6  # ranks are by similarity rounded to this, so the order of summation can't turn ties around
 
 
@@ -34,68 +37,119 @@ def topk(corpus: DataFrame, vector: list[float] | DataFrame, k: int = 5, thresho
     return rows.where(F.col("sim") >= threshold).select("id", F.round("sim", 4).alias("similarity"))
 
 
-def blocks(vectors: DataFrame, block: int = 2048) -> DataFrame:
-    """Matrices of float64 rows from (id bigint, embedding); a block's rows lie together in one partition. Null vectors go."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, count = TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for a in range(0, whole.num_rows, block):
-                b = whole.slice(a, block)
-                lists = b.column("embedding")
-                m = lists.flatten().to_numpy().astype(np.float64).reshape(len(lists), -1)
-                row = {"block": (part << 32) + count, "ids": b.column("id").to_numpy(), "dims": m.shape[1], "matrix": m.tobytes()}
-                count += 1
-                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("dims", pa.int32()), ("matrix", pa.binary())]))
-
-    return vectors.where("embedding is not null").select("id", "embedding").mapInArrow(pack, BLOCK)
+def together(block: int, *sides: DataFrame) -> DataFrame | None:
+    """All rows of small tables in one task as (side, id, embedding); None if a table has more than a few blocks."""
+    if any(v.count() > cells.FEW_BLOCKS * block for v in sides):
+        return None
+    both = sides[0].select(F.lit(0).alias("side"), "id", "embedding")
+    for k, v in enumerate(sides[1:], 1):
+        both = both.unionByName(v.select(F.lit(k).alias("side"), "id", "embedding"))
+    return both.where("embedding is not null").repartition(1)
+
+
+def in_one_task(rows: DataFrame, block: int, work, alone: bool) -> DataFrame:
+    """work on blocks of the first side and of the last one (the same, if alone: of each two once)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(b.column("side").to_numpy(), b.column("id").to_numpy(), cells.matrix_of(b.column("embedding"))) for b in batches if b.num_rows]
+        if not found:
+            return
+        if len({m.shape[1] for _, _, m in found}) > 1:
+            raise ValueError(f"vectors have {sorted({m.shape[1] for _, _, m in found})} numbers; all must have as many")
+        side, ids, m = (np.concatenate(x) for x in zip(*found, strict=True))
+        left, right = side == 0, side == (0 if alone else 1)
+        x, xi, y, yi = m[left], ids[left], m[right], ids[right]
+        for i in range(0, len(x), block):
+            for j in range(i if alone else 0, len(y), block):
+                a, b, sim = work(xi[i : i + block], x[i : i + block], yi[j : j + block], y[j : j + block], alone and i == j)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(sim, pa.float64())})
 
+    return rows.mapInArrow(run, FOUND)
 
-def of_pairs(left: DataFrame, right: DataFrame, only: Column | None, work) -> DataFrame:
-    """work(ids, matrix, ids, matrix) -> (a, b, sim) arrays, for pairs of blocks."""
-    r = right.select(*[F.col(c).alias(f"{c}2") for c in right.columns])
-    pairs = left.crossJoin(r)
-    pairs = pairs if only is None else pairs.where(only)
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                of = lambda c: batch.column(c)[i]  # noqa: B023, E731
-                m = [np.frombuffer(of(f"matrix{s}").as_buffer(), np.float64).reshape(-1, of(f"dims{s}").as_py()) for s in ("", "2")]
-                ids = [of(f"ids{s}").values.to_numpy() for s in ("", "2")]
-                a, b, sim = work(ids[0], m[0], ids[1], m[1], of("block") == of("block2"))
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(sim, pa.float64())})
+def kept(vectors: DataFrame) -> DataFrame:
+    """id, embedding, written once: counted, sampled and packed from there."""
+    return held(vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding"), "vectors")
 
-    return pairs.mapInArrow(multiply, "a bigint, b bigint, sim double")
 
+def centres_of(vectors: DataFrame, block: int) -> np.ndarray | None:
+    """Centres of the cells of a kept table, or None for a table of few blocks."""
+    n = vectors.count()
+    k = cells.cells_for(n, block)
+    return cells.learn_centres(cells.sample_of(vectors, n), k) if k > 1 else None
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, threshold: float = 0.0, block: int = 2048) -> DataFrame:
-    """query_id, id, rank (from 0), sim: for each query the k closest rows of the corpus, itself left out; ties by id.
 
-    Each block pair sends k rows per query at most, then a ranking per query picks the k best of all.
-    """
+def best_of(k: int):
+    """Of each query of a block the k closest rows of another block, itself left out; all ties at the edge, which the ranking cuts by id."""
 
     def best(qi, q, ci, c, _):
         sim = q @ c.T
         sim[qi[:, None] == ci[None, :]] = -np.inf
         key = np.round(sim, DECIMALS)
         n = min(k, sim.shape[1])
-        edge = np.partition(key, sim.shape[1] - n, 1)[:, sim.shape[1] - n]  # keep all ties at the edge; the ranking cuts them by id
+        edge = np.partition(key, sim.shape[1] - n, 1)[:, sim.shape[1] - n]
         a, b = np.nonzero((key >= edge[:, None]) & np.isfinite(sim))
         return qi[a], ci[b], sim[a, b]
 
-    from pyspark.sql import Window
+    return best
 
-    found = of_pairs(blocks(queries, block), blocks(corpus, block), None, best)
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, threshold: float = 0.0, block: int = 2048, first: int = 4) -> DataFrame:
+    """query_id, id, rank (from 0), sim: for each query the k closest rows of the corpus, itself left out; ties by id. Exact.
+
+    Each block of queries meets the `first` most promising blocks of the corpus. The worst k-th best similarity that its
+    queries have then is what any other block must be able to reach, by its bound, to be looked at.
+    """
+    q, c, best = kept(queries), kept(corpus), best_of(k)
+    small = together(block, q, c)
+    if small is not None:
+        return ranked(in_one_task(small, block, best, False), k, threshold)
+    centres = centres_of(c, block)
+    qb, cb = cells.blocks(q, block, centres), cells.blocks(c, block, centres)
+    qm, cm = cells.bounds(qb), cells.bounds(cb)
+    schema = pa.schema([("block", pa.int64()), ("block2", pa.int64()), ("bound", pa.float64())])
+
+    def promising(row: pa.RecordBatch) -> pa.RecordBatch:
+        """For each block of queries its `first` best blocks in this group of bounds."""
+        (i, *a), (j, *b) = cells.of_bounds(row, ""), cells.of_bounds(row, "2")
+        angle = a[0] @ b[0].T
+        n = min(first, len(j))
+        at = np.argpartition(-angle, n - 1, 1)[:, :n]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(i, n), pa.int64()), pa.array(j[at].ravel(), pa.int64()), pa.array(np.take_along_axis(angle, at, 1).ravel())], schema=schema)
+
+    near = cells.chosen_pairs(qm, cm, promising, "block bigint, block2 bigint, bound double")
+    w = Window.partitionBy("block").orderBy(F.desc("bound"), "block2")
+    near = held(near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= first).select("block", "block2"), "near")
+    found = held(ranked(cells.multiplied(near, qb, cb, best, FOUND), k, None), "first")
+    # what a block's worst-off query has for its k-th best; without k rows anything helps
+    ids = qb.select("block", F.explode("ids").alias("query_id"))
+    kth = ids.join(found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("sim")).alias("kth")), "query_id", "left")
+    least = kth.groupBy("block").agg(F.min(F.coalesce("kth", F.lit(-float("inf")))).alias("least"))
+    kinds = pa.schema([("block", pa.int64()), ("block2", pa.int64())])
+
+    def reaching(row: pa.RecordBatch) -> pa.RecordBatch:
+        (i, *a), (j, *b) = cells.of_bounds(row, ""), cells.of_bounds(row, "2")
+        limit = np.maximum(row.column("limits")[0].values.to_numpy(), threshold)
+        x, y = np.nonzero((cells.most(*a, *b) + 10.0**-DECIMALS >= limit[:, None]) | (limit[:, None] <= 0))
+        return pa.RecordBatch.from_arrays([pa.array(i[x], pa.int64()), pa.array(j[y], pa.int64())], schema=kinds)
+
+    lim = qm.select("grp", F.posexplode("blocks").alias("at", "block")).join(least.select("block", "least"), "block")
+    lim = lim.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "least"))), lambda x: x["least"]).alias("limits"))  # GROUP numbers
+    rest = cells.chosen_pairs(qm.join(lim, "grp"), cm, reaching, cells.PAIR).join(near, ["block", "block2"], "left_anti")
+    more = cells.multiplied(rest, qb, cb, best, FOUND)
+    both = found.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "sim").unionByName(more)
+    return ranked(both, k, threshold)
+
+
+def ranked(found: DataFrame, k: int, threshold: float | None) -> DataFrame:
     w = Window.partitionBy("a").orderBy(F.desc(F.round("sim", DECIMALS)), "b")
-    ranked = found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).where(F.col("sim") >= threshold)
-    return ranked.select(F.col("a").alias("query_id"), F.col("b").alias("id"), (F.col("rn") - 1).alias("rank"), "sim")
+    top = found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    top = top if threshold is None else top.where(F.col("sim") >= threshold)
+    return top.select(F.col("a").alias("query_id"), F.col("b").alias("id"), (F.col("rn") - 1).alias("rank"), "sim")
 
 
 def pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """a, b, sim for all pairs a < b at threshold or more; exact."""
+    """a, b, sim for all pairs a < b at threshold or more; exact. Pairs of blocks that can't reach it aren't multiplied."""
 
     def close(xi, x, yi, y, same):
         sim = x @ y.T
@@ -105,19 +159,37 @@ def pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
         keep = a < b if same else a != b
         return np.minimum(a, b)[keep], np.maximum(a, b)[keep], s[keep]
 
-    packed = blocks(vectors, block)
-    return of_pairs(packed, packed, F.col("block") <= F.col("block2"), close)
+    v = kept(vectors)
+    small = together(block, v)
+    if small is not None:
+        return in_one_task(small, block, close, True)
+    b = cells.blocks(v, block, centres_of(v, block))
+    return cells.multiplied(cells.close_pairs(b, b, threshold, True), b, b, close, FOUND)
+
+
+def pruning(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """block_pairs, multiplied: how many pairs of blocks there are, and how many of them pairs() multiplies. One row."""
+    v = kept(vectors)
+    b = cells.blocks(v, block, centres_of(v, block))
+    n = b.agg((F.count("*") * (F.count("*") + 1) / 2).cast("long").alias("block_pairs"))
+    return n.crossJoin(cells.close_pairs(b, b, threshold, True).agg(F.count("*").alias("multiplied")))  # one row each
 
 
 def cross(left: DataFrame, right: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """a (of left), b (of right), sim for all pairs at threshold or more."""
+    """a (of left), b (of right), sim for all pairs at threshold or more; exact."""
 
     def close(xi, x, yi, y, _):
         sim = x @ y.T
         a, b = np.nonzero(sim >= threshold)
         return xi[a], yi[b], sim[a, b]
 
-    return of_pairs(blocks(left, block), blocks(right, block), None, close)
+    x, y = kept(left), kept(right)
+    small = together(block, x, y)
+    if small is not None:
+        return in_one_task(small, block, close, False)
+    centres = centres_of(y, block)
+    xb, yb = cells.blocks(x, block, centres), cells.blocks(y, block, centres)
+    return cells.multiplied(cells.close_pairs(xb, yb, threshold), xb, yb, close, FOUND)
 
 
 def rerank(corpus: DataFrame, vector: list[float] | DataFrame, top_k: int = 3, retrieve_k: int = 10, threshold: float = 0.3, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

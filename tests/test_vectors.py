@@ -1,5 +1,7 @@
 """Blocks of cells, exact joins with bounds, and the index of vectors."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.errors import PythonException
@@ -99,3 +101,67 @@ def test_centres_are_the_same_again(spark):
     a, b = cells.learn_centres(v, 12), cells.learn_centres(v.repartition(7), 12)
     assert a.shape == b.shape and np.abs(a - b).max() < 1e-9
     assert np.allclose(np.linalg.norm(a, axis=1), 1)
+
+
+# -- the index -----------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def index(spark, tmp_path_factory):
+    from quillet.operators.vector_index import VectorIndex
+
+    v = frame(spark, clustered(3000, 32, 60, 0.6)).cache()
+    path = str(tmp_path_factory.mktemp("index") / "i")
+    VectorIndex.build(v.where("id < 2500"), path)
+    opened = VectorIndex(spark, path)
+    opened.append(v.where("id >= 2500"))
+    return opened, v
+
+
+def recall(found, exact):
+    """The share of exact rows' similarities that are reached; among equal vectors any will do."""
+    got, want = ({}, {})
+    for rows, to in ((found, got), (exact, want)):
+        for r in rows.collect():
+            to.setdefault(r.query_id, []).append(r.sim)
+    hits = sum(sum(s >= min(want[q]) - 1e-6 for s in got.get(q, [])) for q in want)
+    return hits / sum(map(len, want.values()))
+
+
+def test_index_recall_and_share(spark, index):
+    i, v = index
+    q = v.where("id % 20 = 0")
+    exact = similarity.knn(q, v, 10)
+    assert recall(i.search(q, 10, probes=6, refine=80), exact) >= 0.9
+    assert i.share(q, 6) < 0.5 and i.share(q, 2) < i.share(q, 6)
+    all_cells = len(i.centres)
+    assert i.share(q, all_cells) == pytest.approx(1)
+
+
+def test_index_holds_every_row(spark, index):
+    i, v = index
+    listed = i.lists().select(F.explode("ids").alias("id"))
+    assert sorted(r.id for r in listed.collect()) == list(range(3000))
+    q = v.where("id in (5, 7, 2900)")
+    whole = i.search(q, 10, probes=len(i.centres), refine=3000)
+    want = {(r.query_id, r.id, r.rank) for r in similarity.knn(q, v, 10, -9.0).collect()}
+    assert {(r.query_id, r.id, r.rank) for r in i.search(q, 10, len(i.centres), 3000, -9.0).collect()} == want and whole.count() == 30
+
+
+def test_index_reads_probed_cells_only(spark, index):
+    i, v = index
+    vector = [float(x) for x in v.where("id = 7").first().embedding]
+    df = i.topk(vector, 5, 0.2, probes=3)
+    plan = df._jdf.queryExecution().toString()
+    assert len(re.findall(r"PartitionFilters: \[[^\]]*cell#\d+ IN ", plan)) >= 2
+    exact = similarity.topk(v, vector, 5, 0.2)
+    assert df.first().similarity == exact.first().similarity
+
+
+def test_index_of_nothing(spark, tmp_path):
+    from quillet.operators.vector_index import VectorIndex
+
+    with pytest.raises(ValueError, match="needs a vector"):
+        VectorIndex.build(spark.createDataFrame([], "id bigint, embedding array<float>"), str(tmp_path / "x"))
+    one = VectorIndex.build(spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "id bigint, embedding array<float>"), str(tmp_path / "y"))
+    assert [r.id for r in one.topk([1.0, 0.0], 5, -1.0).collect()] == [1, 3]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.functions.text import tokens
+from quillet.operators.postings import Index, part, query_terms, spread
 from quillet.sources.held import held
 
 K1, B = 1.5, 0.75
@@ -13,22 +14,6 @@ K1, B = 1.5, 0.75
 FEW = 4096
 
 
-class Index:
-    """Postings (token, id, ord, tf, dl), document frequencies and totals of a corpus (id, ord, text), built in one pass and held.
-
-    For many searches of one corpus; a search reads the postings of its tokens only (they are sorted by token).
-    """
-
-    def __init__(self, corpus: DataFrame):
-        docs = corpus.select("id", "ord", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
-        tf = docs.select("id", "ord", "dl", F.explode_outer("tokens").alias("token")).groupBy("token", "id", "ord", "dl").agg(F.count("*").alias("tf"))
-        self.postings = held(tf.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "postings")
-        self.total = totals(self.postings.groupBy("id").agg(F.first("dl").alias("dl")))
-
-    def of(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return self.postings.join(wanted, "token", "left_semi"), self.total
-
-
 def totals(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
 
@@ -39,7 +24,7 @@ def found(corpus: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted: the tokens of some queries; if there are more than FEW, an index is built.
     """
     few = [r.token for r in wanted.limit(FEW + 1).collect()]
-    docs = corpus.select("id", "ord", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
+    docs = spread(corpus.select("id", "ord", "text")).select("id", "ord", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
     if len(few) > FEW:
         index = Index(corpus)
         return index.of(wanted)
@@ -48,11 +33,6 @@ def found(corpus: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tf, totals(hit)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """qid, token, times: a token that a query repeats counts as often."""
-    return queries.select("qid", F.explode(tokens("query")).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
-
-
 def scores(corpus: DataFrame | Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """qid, id, ord, score of every row of corpus (id, ord, text; or its index) that shares a token with a query (qid, query).
 
@@ -68,15 +48,17 @@ def scores(corpus: DataFrame | Index, queries: DataFrame, k1: float = K1, b: flo
 
 
 def ranked_sum(hits: DataFrame, k1: float, b: float) -> DataFrame:
-    norm = F.lit(1 - b) + F.lit(b) * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * norm)
-    return hits.groupBy("qid", "id", "ord").agg(F.sum(part).alias("score")).where("score > 0")
+    each = part(F.col("times"), F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    return hits.groupBy("qid", "id", "ord").agg(F.sum(each).alias("score")).where("score > 0")
 
 
 def search(corpus: DataFrame | Index, queries: DataFrame, top_k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """qid, id, ord, score (4 decimals), rank from 0; ranked on the rounded score, ties in the corpus's order."""
+    """qid, id, ord, score (4 decimals), rank from 0; ranked on the rounded score, ties in the corpus's order.
+
+    With an index, blocks of postings that can't reach a query's top_k aren't read.
+    """
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "ord")
-    found = scores(corpus, queries, k1, b).withColumn("score", F.round("score", 4)).where("score > 0")
+    found = (corpus.scores(queries, top_k, k1, b) if isinstance(corpus, Index) else scores(corpus, queries, k1, b)).withColumn("score", F.round("score", 4)).where("score > 0")
     return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top_k).withColumn("rank", F.col("rn") - 1).drop("rn")
 
 
@@ -96,7 +78,7 @@ def hybrid(vectors: DataFrame, corpus: DataFrame, vector: list[float] | DataFram
     """
     from quillet.operators.similarity import topk
 
-    spark = corpus.sparkSession
+    spark = vectors.sparkSession
     near = topk(vectors, vector, 2 * top_k, vector_threshold)
     near = near.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")) - 1)
     rows = corpus if bm25_corpus_limit is None else corpus.orderBy("ord").limit(bm25_corpus_limit)

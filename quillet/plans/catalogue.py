@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillet.functions import entities, quality, text, ttl
-from quillet.operators import context, dedup, graph, keyword, lifecycle, mailbox, maintenance, similarity, store
+from quillet.operators import context, dedup, graph, keyword, lifecycle, mailbox, maintenance, similarity, store, vector_index
 from quillet.plans import sql
 from quillet.schema import memories_from_documents, messages_from_events
 from quillet.sources import snapshots
-from quillet.sources.held import held
+from quillet.sources.held import held, scratch
 from quillet.streaming.ingest import counts, ingest, live_messages
 
 NOW_TEXT, MAIL_NOW_TEXT = "timestamp'2025-01-15 00:00:00'", "timestamp'2024-01-20 00:00:00'"
@@ -93,6 +93,39 @@ def rerank_two_stage(spark, d):
     return similarity.rerank(vectors(spark, d), query_vector(spark, d), 3, 10, 0.2)
 
 
+@query
+def vector_threshold_cells(spark, d):
+    """vector_threshold with blocks small enough to be clustered and pruned."""
+    return similarity.pairs(vectors(spark, d), 0.3, block=100).select("a", "b", F.round("sim", 4).alias("similarity"))
+
+
+@query
+def knn_cells(spark, d):
+    """knn_batch in two rounds over clustered blocks."""
+    v = vectors(spark, d)
+    found = similarity.knn(v.where("id % 20 = 0"), v, 5, block=100)
+    return found.select("query_id", "id", "rank", F.round("sim", 4).alias("similarity"))
+
+
+@query
+def knn_index(spark, d):
+    """knn_batch by an index: as many cells probed as these scattered vectors need; similarities are exact."""
+    v = vectors(spark, d)
+    index = vector_index.VectorIndex.build(v, scratch(spark, "index"))
+    found = index.search(v.where("id % 20 = 0"), 5, probes=max(1, len(index.centres) * 2 // 3), refine=100)
+    return found.select("query_id", "id", "rank", F.round("sim", 4).alias("similarity"))
+
+
+@query
+def index_recall(spark, d):
+    """How many queries there are, and whether the index finds nine tenths of their five nearest rows at least."""
+    v = vectors(spark, d)
+    q = v.where("id % 20 = 0")
+    exact = similarity.knn(q, v, 5).select("query_id", "id")
+    found = knn_index(spark, d).select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "id"], "left").agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_ok"))
+
+
 @query
 def search_all(spark, d):
     v, q = vectors(spark, d), query_vector(spark, d)
@@ -470,7 +503,7 @@ def mailbox_stats(spark, d):
 @query
 def stream_ingest(spark, d):
     schema = table(spark, d, "events").schema
-    folder = held(spark.range(1), "stream-home").inputFiles()[0].rsplit("/", 1)[0]
+    folder = scratch(spark, "stream")
     out = f"{folder}-messages"
     kind = "id bigint, box bigint, ts timestamp, status string, ttl_hours int"
     stream = messages_from_events(spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet"))
@@ -482,7 +515,7 @@ def stream_ingest(spark, d):
 def stream_enrich(spark, d):
     """Documents as a stream, their entities added in the micro-batch that writes them."""
     docs = table(spark, d, "documents")
-    folder = held(spark.range(1), "stream-home").inputFiles()[0].rsplit("/", 1)[0]
+    folder = scratch(spark, "stream")
     out = f"{folder}-enriched"
     stream = spark.readStream.schema(docs.schema).parquet(f"{d}/document[s].parquet").select("doc_id", "text")
     ingest(stream, lambda b: b.write.mode("append").parquet(out), f"{folder}-checkpoint", every=None, enrich=entities.enriched).awaitTermination()
@@ -494,7 +527,7 @@ def stream_enrich(spark, d):
 def stream_live(spark, d):
     """Messages of a stream that haven't expired, by status."""
     events = table(spark, d, "events")
-    folder = held(spark.range(1), "stream-home").inputFiles()[0].rsplit("/", 1)[0]
+    folder = scratch(spark, "stream")
     out = f"{folder}-live"
     stream = live_messages(messages_from_events(spark.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet")), F.expr(MAIL_NOW_TEXT))
     ingest(stream, lambda b: b.write.mode("append").parquet(out), f"{folder}-checkpoint", every=None).awaitTermination()
@@ -601,7 +634,7 @@ def hybrid_formatted(spark, d):
 
 @query
 def graph_cache(spark, d):
-    folder = held(spark.range(1), "cache-home").inputFiles()[0].rsplit("/", 1)[0] + "-graph"
+    folder = scratch(spark, "graph")
     cache, v = graph.GraphCache(spark, folder), vectors(spark, d)
     at = lambda h: F.expr(f"timestamp'2025-01-15 00:00:00' + interval {h} hours")
     edges, members = cache.load(v, at(0), EDGE)
@@ -614,6 +647,17 @@ def bm25_index(spark, d):
     return keyword.search(keyword.Index(corpus(spark, d)), phrase(spark), 10).select("id", "score", "rank")
 
 
+@query
+def bm25_blocks(spark, d):
+    """bm25_batch by an index of three segments, blocks that can't matter left out."""
+    c = corpus(spark, d)
+    index = keyword.Index(c.where("id % 3 = 0"))
+    index.append(c.where("id % 3 = 1"))
+    index.append(c.where("id % 3 = 2"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return keyword.search(index, q, 3).select("qid", "id", "score", "rank")
+
+
 @query
 def entity_extract(spark, d):
     e = corpus(spark, d).select("id", F.explode(entities.extract("text")).alias("e"))
@@ -633,7 +677,7 @@ def restore_gate(spark, d):
 
 @query
 def snapshot_append(spark, d):
-    folder = held(spark.range(1), "table-home").inputFiles()[0].rsplit("/", 1)[0] + "-table"
+    folder = scratch(spark, "table")
     t, m = snapshots.Snapshots(spark, folder), memories(spark, d).select("id", "ord", "text", "source", "tags")
     for k in range(3):
         t.append(m.where(F.col("ord") % 3 == k))

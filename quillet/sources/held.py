@@ -21,8 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder in spark.checkpoint.dir."""
+    return f"{shared_dir(spark)}/quillet-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def held(df: DataFrame, name: str) -> DataFrame:
     """Written to the folder in spark.checkpoint.dir and read back, so that plans stay short and survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quillet-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

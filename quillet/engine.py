@@ -44,11 +44,14 @@ class Engine:
         """id and ord (both the number of a row), embedding, and the row's other columns but its name."""
         return self.memories().drop("id").withColumn("id", F.col("ord"))
 
-    def write(self, rows: DataFrame, now: Column, extract: bool = True, **thresholds: float) -> DataFrame:
+    def write(self, rows: DataFrame, now: Column, extract: bool = True, mark: tuple[str, int] | None = None, **thresholds: float) -> DataFrame | None:
         """Write rows (text, source, tags, place: their order) through the gate and the tiers; id, place, action, best_id, similarity.
 
         id: the row's own, or of a skipped row that of the row it repeats; null for a rejected one.
+        mark: name and number of a stream's batch; one that is in the table already does nothing and gives None.
         """
+        if self.table.written(mark):
+            return None
         start = self.memories().agg(F.coalesce(F.max("ord") + 1, F.lit(0))).first()[0]
         batch = graph.numbered_by(rows, "place").withColumn("ord", F.col("n") + F.lit(start)).drop("n").withColumn("id", F.col("ord"))
         batch = held(batch.join(self.embedder(batch.select("id", "text")), "id"), "batch")
@@ -62,10 +65,10 @@ class Engine:
         points = points.agg(named(F.max_by("id", "ord")).alias("p"), F.max_by("similarity", "ord").alias("s"))
         now_there = self.memories()
         if now_there.join(points, "id", "left_semi").isEmpty():
-            self.table.append(new)
+            self.table.append(new, mark)
         else:
             marked = now_there.join(points, "id", "left").withColumns({"needs_review": F.when(F.col("p").isNotNull(), True).otherwise(F.col("needs_review")), "review_similar_to": F.coalesce("p", "review_similar_to"), "review_similarity": F.coalesce("s", "review_similarity")})
-            self.table.write(marked.drop("p", "s").unionByName(new, allowMissingColumns=True))
+            self.table.write(marked.drop("p", "s").unionByName(new, allowMissingColumns=True), mark)
         own = F.when(F.col("action") == "skipped", F.col("best_id")).when(F.col("action") != "rejected", F.col("id"))
         return fates.join(batch.select("id", "place"), "id").select(named(own).alias("id"), "place", "action", named(F.col("best_id")).alias("best_id"), "similarity")
 
@@ -114,21 +117,21 @@ class Engine:
         return maintenance.conflict_count(self.memories()).crossJoin(maintenance.stale_count(self.memories(), now))
 
     def archive(self, now: Column) -> int:
-        """Move what is due to the archive; how many rows."""
+        """Move what is due to the archive; how many rows. After a crash between the two tables, a rerun ends the move."""
         marked = held(lifecycle.split(self.memories(), now), "split")
         due = marked.where("state = 'archived'").drop("state")
         n = due.count()
         if n:
-            self.archived.append(due)
+            self.archived.append(due.join(self.archived.read().select("id"), "id", "left_anti"))
             self.table.write(marked.where("state = 'active'").drop("state"))
         return n
 
     def restore_archived(self, ids: DataFrame) -> int:
-        """Move rows back from the archive; how many."""
+        """Move rows back from the archive; how many. After a crash between the two tables, a rerun ends the move."""
         back = held(store.by_ids(self.archived.read(), ids).withColumn("archived_at", F.lit(None).cast("timestamp")), "back")
         n = back.count()
         if n:
-            self.table.append(back)
+            self.table.append(back.join(self.memories().select("id"), "id", "left_anti"))
             self.archived.write(self.archived.read().join(back.select("id"), "id", "left_anti"))
         return n
 

@@ -24,9 +24,14 @@ def update(memories: DataFrame, patches: DataFrame, replace: bool = False) -> Da
     """memories with patches (id, set map<string,string>, drop array<string>) applied to their map `extra`.
 
     replace: the map becomes set; else set is laid over it, and the keys in drop go. Unknown ids do nothing: see unknown().
+    Several patches of one id are one: the keys of all, of one key the largest value, and all that any of them drops.
     """
-    p = patches.select(F.col("id").alias("_id"), "set", "drop")
     empty = F.create_map().cast("map<string,string>")
+    # maps of one id are few; of equal keys the last entry stays, which is the largest
+    entries = F.array_sort(F.flatten(F.collect_list(F.map_entries(F.coalesce("set", empty)))))
+    last = F.filter(entries, lambda e, i: (i + 1 == F.size(entries)) | (F.try_element_at(entries, i + 2)["key"] != e["key"]))
+    gone = F.array_distinct(F.flatten(F.collect_list(F.coalesce("drop", F.array().cast("array<string>")))))
+    p = patches.groupBy(F.col("id").alias("_id")).agg(F.map_from_entries(last).alias("set"), gone.alias("drop"))
     old, new = F.coalesce("extra", empty), F.coalesce("set", empty)
     kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)) if not replace else empty
     merged = F.map_filter(F.map_concat(kept, new), lambda k, v: ~F.array_contains(F.coalesce("drop", F.array().cast("array<string>")), k))

@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillet.engine import Engine
 from quillet.functions import entities, quality, text, ttl
+from quillet.functions.vectors import embed
 from quillet.operators import context, dedup, graph, keyword, lifecycle, mailbox, maintenance, similarity, store, vector_index
 from quillet.plans import sql
 from quillet.schema import memories_from_documents, messages_from_events
 from quillet.sources import snapshots
 from quillet.sources.held import held, scratch
-from quillet.streaming.ingest import counts, ingest, live_messages
+from quillet.streaming import timers
+from quillet.streaming.ingest import activity, counts, ingest, into_engine, live_messages
 
 NOW_TEXT, MAIL_NOW_TEXT = "timestamp'2025-01-15 00:00:00'", "timestamp'2024-01-20 00:00:00'"
 EDGE = 0.4
@@ -277,16 +280,12 @@ def dedup_tiers_static(spark, d):
 
 @query
 def write_batch(spark, d):
-    from quillet.functions.vectors import embed
-
     c = corpus(spark, d)
     return dedup.write_batch(c.join(embed(c, dims=512), "id"))
 
 
 @query
 def duplicate_sweep(spark, d):
-    from quillet.functions.vectors import embed
-
     c = corpus(spark, d)
     return maintenance.duplicate_sweep(c.join(embed(c, dims=512), "id"))
 
@@ -539,6 +538,54 @@ def message_windows(spark, d):
     return counts(messages(spark, d)).select(short_time("window_start").alias("window_start"), "status", "n")
 
 
+def streamed(spark, d, name: str, how, kind: str, number: str = "stream") -> DataFrame:
+    """The rows that a stream of a table gives, `how` made of it, in append mode, and then stops."""
+    home = scratch(spark, number)
+    stream = spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name[:-1]}[{name[-1]}].parquet")
+    how(stream).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kind).parquet(f"{home}/out")
+
+
+@query
+def stream_windows(spark, d):
+    """Sliding windows of messages that the watermark has closed."""
+    rows = streamed(spark, d, "events", lambda s: counts(messages_from_events(s), "2 days", "1 day", "1 day"), "window_start timestamp, window_end timestamp, status string, n bigint")
+    return rows.select(short_time("window_start").alias("window_start"), short_time("window_end").alias("window_end"), "status", "n")
+
+
+@query
+def stream_sessions(spark, d):
+    """Sessions of activity by box that the watermark has closed."""
+    rows = streamed(spark, d, "events", lambda s: activity(messages_from_events(s), "30 minutes", "1 hour"), "box bigint, first_ts timestamp, ends_at timestamp, n bigint")
+    return rows.select("box", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("ends_at").alias("ends_us"), "n")
+
+
+@query
+def stream_expired(spark, d):
+    """Messages that timers expire."""
+    rows = streamed(spark, d, "events", lambda s: timers.expired_messages(messages_from_events(s)), "id bigint, box bigint, status string, expires_ms bigint")
+    return rows.select("id", "box", "status", "expires_ms")
+
+
+@query
+def stream_rebuilds(spark, d):
+    """When what is derived from each kind of event is built anew, at most once in six hours."""
+    changes = lambda s: s.select(F.col("event_type").alias("name"), F.col("ts").cast("timestamp").alias("ts"))
+    return streamed(spark, d, "events", lambda s: timers.rebuilds(changes(s), 6 * 3_600_000), "name string, first_ms bigint, due_ms bigint, changes bigint")
+
+
+@query
+def stream_write(spark, d):
+    """Documents as a stream into an engine's table, through the gate and the tiers, each once."""
+    home = scratch(spark, "stream")
+    engine = Engine(spark, f"{home}/table", embedder=lambda t: embed(t, dims=256, idf=False))
+    docs = table(spark, d, "documents")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{d}/document[s].parquet")
+    rows = stream.select("text", "source", F.array().cast("array<string>").alias("tags"), F.col("doc_id").alias("place"), F.lit("2025-01-15 00:00:00").cast("timestamp").alias("ts"))
+    into_engine(rows, engine, f"{home}/checkpoint", "documents", every=None, extract=False).awaitTermination()
+    return engine.memories().select("ord", "source", "needs_review", F.length("text").alias("chars"))
+
+
 # -- chains of operators --------------------------------------------------------
 
 

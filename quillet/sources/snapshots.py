@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,9 +11,17 @@ from pyspark.sql import functions as F
 from quillet.functions.text import stripped
 from quillet.schema import MEMORY
 
+#: Appends add a folder each; so many become one.
+COMPACT_AT = 64
+
 
 class Snapshots:
-    """A table of `schema` under path; read() gives the last one written, or an empty one."""
+    """A table of `schema` under path; read() gives the last one written, or an empty one.
+
+    A pointer is a numbered JSON file: the folders that make up the table, and marks, the last batch that each stream has
+    written. Both change in one step, so a batch is in the table exactly if its mark is. A pointer that isn't whole, of a
+    writer that was killed, doesn't count.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str = MEMORY):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
@@ -21,44 +30,66 @@ class Snapshots:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> list[str]:
-        """The folders that make up the table: what the newest pointer, a numbered file, lists."""
+    def _pointer(self) -> tuple[int, dict]:
+        """The next free number, and the newest whole pointer."""
         p, fs = self._file("pointers")
-        if not fs.exists(p):
-            return []
-        names = sorted(x.getPath().getName() for x in fs.listStatus(p))
-        if not names:
-            return []
-        stream = fs.open(self._file(f"pointers/{names[-1]}")[0])
-        try:
-            return bytes(stream.readAllBytes()).decode().split()
-        finally:
-            stream.close()
+        names = sorted((x.getPath().getName() for x in fs.listStatus(p)), reverse=True) if fs.exists(p) else []
+        for name in names:
+            stream = fs.open(self._file(f"pointers/{name}")[0])
+            try:
+                return int(names[0]) + 1, json.loads(bytes(stream.readAllBytes()).decode())
+            except ValueError:
+                continue
+            finally:
+                stream.close()
+        return (int(names[0]) + 1 if names else 0), {"folders": [], "marks": {}}
+
+    def current(self) -> list[str]:
+        """The folders that make up the table."""
+        return self._pointer()[1]["folders"]
+
+    def written(self, mark: tuple[str, int] | None) -> bool:
+        """Whether a batch (name of the stream, number) is in the table already."""
+        return mark is not None and self._pointer()[1]["marks"].get(mark[0], -1) >= mark[1]
 
     def read(self) -> DataFrame:
         names = self.current()
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{n}" for n in names]) if names else self.spark.createDataFrame([], self.schema)
 
-    def _write(self, df: DataFrame, before: list[str]) -> None:
-        name = f"v{uuid.uuid4().hex[:12]}"
-        df.write.parquet(f"{self.path}/{name}")
+    def _write(self, df: DataFrame | None, keep: bool, mark: tuple[str, int] | None) -> None:
+        if self.written(mark):
+            return
+        folders = []
+        if df is not None:
+            folders = [f"v{uuid.uuid4().hex[:12]}"]
+            df.write.parquet(f"{self.path}/{folders[0]}")
+        n, before = self._pointer()
+        now = {"folders": (before["folders"] if keep else []) + folders, "marks": before["marks"] | ({mark[0]: mark[1]} if mark else {})}
         p, fs = self._file("pointers")
         fs.mkdirs(p)
-        n = len(fs.listStatus(p))
         out = fs.create(self._file(f"pointers/{n:09d}")[0], False)  # a second writer of the same number fails
         try:
-            out.write(bytearray("\n".join([*before, name]).encode()))
+            out.write(bytearray(json.dumps(now).encode()))
         finally:
             out.close()
 
-    def write(self, df: DataFrame) -> None:
-        """Replace the table by df, which may read the snapshot before. One writer at a time."""
-        self._write(df, [])
+    def write(self, df: DataFrame, mark: tuple[str, int] | None = None) -> None:
+        """Replace the table by df, which may read the snapshot before. One writer at a time. mark: see written()."""
+        self._write(df, False, mark)
 
-    def append(self, df: DataFrame) -> None:
-        """Add rows as one more folder; columns that df hasn't are null. What is there isn't written again."""
+    def append(self, df: DataFrame, mark: tuple[str, int] | None = None) -> None:
+        """Add rows as one more folder; columns that df hasn't are null. What is there isn't written again.
+
+        From COMPACT_AT folders on, the table is written anew as one.
+        """
         empty = self.spark.createDataFrame([], self.schema)
-        self._write(empty.unionByName(df, allowMissingColumns=True), self.current())
+        self._write(empty.unionByName(df, allowMissingColumns=True), True, mark)
+        if len(self.current()) >= COMPACT_AT:
+            self.write(self.read())
+
+    def done(self, mark: tuple[str, int]) -> None:
+        """Note a batch that adds nothing."""
+        self._write(None, True, mark)
 
 
 def item(memories: DataFrame) -> Column:

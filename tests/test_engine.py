@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quillet.engine import Engine
 from quillet.functions import entities, text
-from quillet.streaming.ingest import Coalesced
 
 
 
@@ -112,14 +111,3 @@ def test_entities_and_segmenter(spark):
     kept = df.withColumn("entities", F.expr("array(named_struct('text', 'x', 'label', 'event'))"))
     assert [[e.text for e in r.entities] for r in entities.enriched(kept).collect()] == [["Ms. Lee", "Acme Corp"], ["x"], ["x"]]
     assert df.where("text is not null").select(text.keywords("text", lambda t: F.split(t, " ")).alias("k")).first().k[:3] == ["ms.", "lee", "of"]
-
-
-def test_coalesced_runs():
-    now, ran = [0.0], []
-    f = Coalesced(lambda: ran.append(now[0]), 15, lambda: now[0])
-    for t in (0, 1, 14, 16, 17):
-        now[0] = t
-        f()
-    f.flush()
-    f.flush()
-    assert ran == [0, 16, 17]

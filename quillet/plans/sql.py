@@ -211,16 +211,16 @@ MESSAGES = "m AS (SELECT event_id AS id, user_id AS box, ts, CASE WHEN event_typ
 
 
 def watermark(hours: int) -> str:
-    return f"w AS (SELECT epoch_ms(max(ts)) - {hours * 3_600_000} AS wm FROM events)"
+    return f"w AS (SELECT epoch_us(max(ts)) // 1000 - {hours * 3_600_000} AS wm FROM events)"
 
 
 SQL["stream_windows"] = f"""WITH {MESSAGES}, {watermark(24)}, x AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s, status FROM m)
-    SELECT strftime(s, {FMT}) AS window_start, strftime(s + INTERVAL 2 DAY, {FMT}) AS window_end, status, count(*) AS n FROM x, w WHERE epoch_ms(s + INTERVAL 2 DAY) <= wm GROUP BY ALL"""
+    SELECT strftime(s, {FMT}) AS window_start, strftime(s + INTERVAL 2 DAY, {FMT}) AS window_end, status, count(*) AS n FROM x, w WHERE epoch_us(s + INTERVAL 2 DAY) // 1000 <= wm GROUP BY ALL"""
 SQL["stream_sessions"] = f"""WITH {MESSAGES}, {watermark(1)}, g AS (SELECT box, ts, coalesce(ts - lag(ts) OVER o >= INTERVAL 30 MINUTE, true) AS cut FROM m WHERE box IS NOT NULL WINDOW o AS (PARTITION BY box ORDER BY ts)),
     i AS (SELECT box, ts, count_if(cut) OVER (PARTITION BY box ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
     SELECT box, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) + 1800000000 AS ends_us, count(*) AS n FROM i, w GROUP BY box, k, wm HAVING epoch_us(max(ts)) + 1800000000 <= wm * 1000"""
-SQL["stream_expired"] = f"WITH {MESSAGES}, {watermark(1)} SELECT id, box, status, epoch_ms(ts) + hours * 3600000 AS expires_ms FROM m, w WHERE epoch_ms(ts) + hours * 3600000 <= wm"
-SQL["stream_rebuilds"] = f"""WITH RECURSIVE {watermark(0)}, e AS (SELECT event_type AS name, epoch_ms(ts) AS t FROM events WHERE ts IS NOT NULL),
+SQL["stream_expired"] = f"WITH {MESSAGES}, {watermark(1)} SELECT id, box, status, epoch_us(ts) // 1000 + hours * 3600000 AS expires_ms FROM m, w WHERE epoch_us(ts) // 1000 + hours * 3600000 <= wm"
+SQL["stream_rebuilds"] = f"""WITH RECURSIVE {watermark(0)}, e AS (SELECT event_type AS name, epoch_us(ts) // 1000 AS t FROM events WHERE ts IS NOT NULL),
     r AS (SELECT name, min(t) AS first FROM e GROUP BY 1 UNION ALL SELECT r.name, (SELECT min(t) FROM e WHERE e.name = r.name AND t >= r.first + 21600000) FROM r WHERE r.first IS NOT NULL),
     p AS (SELECT name, first, lead(first) OVER (PARTITION BY name ORDER BY first) AS nxt FROM r WHERE first IS NOT NULL)
     SELECT p.name, first AS first_ms, first + 21600000 AS due_ms, count(*) AS changes FROM p JOIN e ON e.name = p.name AND t >= first AND t < first + 21600000, w

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.operators.keyword import fuse, search
-from quillet.operators.similarity import pairs
+from quillet.operators.similarity import cross, pairs
 from quillet.sources.held import held
 
 EDGE_THRESHOLD, HUB_DEGREE, HUB_CAP, CLUSTER_HUBS, NEIGHBOUR_CAP = 0.6, 3, 30, 5, 10
@@ -60,7 +60,12 @@ def numbered_by(rows: DataFrame, order: str) -> DataFrame:
 
 def clusters(graph: DataFrame, order: DataFrame) -> DataFrame:
     """id, cluster (cluster_<n>) of every node with an edge; n from 0 in the order (id, ord) of the clusters' first members."""
-    c = components(graph).join(order, "id")
+    return named(components(graph), order)
+
+
+def named(roots: DataFrame, order: DataFrame) -> DataFrame:
+    """clusters() of labels (id, root)."""
+    c = roots.join(order, "id")
     numbered = numbered_by(c.groupBy("root").agg(F.min("ord").alias("first")), "first")
     return c.join(numbered, "root").select("id", F.concat(F.lit("cluster_"), F.col("n").cast("string")).alias("cluster"))
 
@@ -159,9 +164,49 @@ class GraphCache:
         graph = held(edges(vectors, threshold), "edges")
         stamp = f"{self.path}/{uuid.uuid4().hex[:12]}"
         graph.write.parquet(f"{stamp}-edges")
-        clusters(graph, vectors.select("id", "ord")).write.parquet(f"{stamp}-clusters")
+        components(graph).write.parquet(f"{stamp}-roots")
+        self._name(stamp, vectors.select("id", "ord"), now, threshold)
+
+    def update(self, vectors: DataFrame, now: Column, new: DataFrame, gone: DataFrame, threshold: float = EDGE_THRESHOLD) -> int:
+        """The newest build with rows changed: new (ids) of vectors (id, ord, embedding, after the change) came, gone (ids) went.
+
+        New vectors alone are compared with all; components are worked out anew where an edge comes or goes. How many
+        nodes' components were. Of a row that changed, the id is both gone and new. Without a build, one is made.
+        """
+        from quillet.operators import changes
+
+        last = self._newest(threshold)
+        if last is None:
+            self.write(vectors, now, threshold)
+            return vectors.count()
+        before = self.spark.read.parquet(f"{last}-edges")
+        labels = self.spark.read.parquet(f"{last}-roots")
+        came = vectors.join(new.select("id").distinct(), "id", "left_semi").select("id", "embedding")
+        fresh = cross(came, vectors.select("id", "embedding"), threshold).where("a <> b")
+        pair = fresh.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.round("sim", 3).alias("weight"))
+        fresh = held(pair.unionByName(pair.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).dropDuplicates(["src", "dst"]), "fresh")
+        lost = gone.select("id").distinct()
+        removed = before.join(lost, before.src == lost.id, "left_semi").unionByName(before.join(lost, before.dst == lost.id, "left_semi")).select("src", "dst").distinct()
+        removed = held(removed, "removed")
+        roots, touched = changes.updated(labels, before.select("src", "dst"), fresh.select("src", "dst"), removed)
+        stamp = f"{self.path}/{uuid.uuid4().hex[:12]}"
+        before.join(removed, ["src", "dst"], "left_anti").unionByName(fresh).write.parquet(f"{stamp}-edges")
+        roots.write.parquet(f"{stamp}-roots")
+        self._name(stamp, vectors.select("id", "ord"), now, threshold)
+        return touched
+
+    def _name(self, stamp: str, order: DataFrame, now: Column, threshold: float) -> None:
+        """Number the clusters of a build and note it, which makes it count."""
+        named(self.spark.read.parquet(f"{stamp}-roots"), order).write.parquet(f"{stamp}-clusters")
         self.spark.range(1).select(now.alias("built_at"), F.lit(stamp).alias("stamp"), F.lit(threshold).alias("threshold")).write.mode("append").parquet(f"{self.path}/built")
 
+    def _newest(self, threshold: float) -> str | None:
+        try:
+            rows = self.spark.read.parquet(f"{self.path}/built").where(F.col("threshold") == threshold).orderBy(F.desc("built_at")).limit(1).collect()
+        except AnalysisException:
+            return None
+        return rows[0].stamp if rows else None
+
     def fresh(self, now: Column, threshold: float = EDGE_THRESHOLD) -> tuple[DataFrame, DataFrame] | None:
         """Edges and clusters of the newest build with this threshold, if it is younger than `hours`."""
         try:

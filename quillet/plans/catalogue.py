@@ -284,6 +284,13 @@ def write_batch(spark, d):
     return dedup.write_batch(c.join(embed(c, dims=512), "id"))
 
 
+@query
+def write_tiers(spark, d):
+    """write_batch on the given vectors, with thresholds that suit them."""
+    rows = corpus(spark, d).join(vectors(spark, d).select("id", "embedding"), "id")
+    return dedup.write_batch(rows, recall=0.1, least=0.02, skip=0.3, merge=0.25)
+
+
 @query
 def duplicate_sweep(spark, d):
     c = corpus(spark, d)
@@ -689,6 +696,17 @@ def graph_cache(spark, d):
     return edges.agg(F.count("*").alias("edges")).crossJoin(members.agg(F.count_distinct("cluster").alias("clusters"))).select("*", F.lit(kept[0]).alias("after_23h"), F.lit(kept[1]).alias("after_25h"))
 
 
+@query
+def components_kept_up(spark, d):
+    """Components after vectors went and came: every 7th goes, every 11th that had been left out comes."""
+    v = vectors(spark, d).select("id", "ord", "embedding")
+    cache, at = graph.GraphCache(spark, scratch(spark, "graph")), F.expr(NOW_TEXT)
+    cache.write(v.where("id % 11 <> 0"), at, EDGE)
+    after = v.where("id % 7 <> 0")
+    cache.update(after, at + F.expr("interval 1 hour"), after.where("id % 11 = 0").select("id"), v.where("id % 7 = 0").select("id"), EDGE)
+    return cache.fresh(at + F.expr("interval 2 hours"), EDGE)[1].select("id", "cluster")
+
+
 @query
 def bm25_index(spark, d):
     return keyword.search(keyword.Index(corpus(spark, d)), phrase(spark), 10).select("id", "score", "rank")

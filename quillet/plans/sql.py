@@ -225,3 +225,17 @@ SQL["stream_rebuilds"] = f"""WITH RECURSIVE {watermark(0)}, e AS (SELECT event_t
     p AS (SELECT name, first, lead(first) OVER (PARTITION BY name ORDER BY first) AS nxt FROM r WHERE first IS NOT NULL)
     SELECT p.name, first AS first_ms, first + 21600000 AS due_ms, count(*) AS changes FROM p JOIN e ON e.name = p.name AND t >= first AND t < first + 21600000, w
     WHERE nxt IS NOT NULL OR first + 21600000 <= wm GROUP BY ALL"""
+
+# one row after the other, with the list of rows that are stored so far
+SQL["write_tiers"] = f"""WITH RECURSIVE {KEYS}, {VECTORS}, y AS (SELECT doc_id AS id, layer FROM {LAYER} WHERE doc_id IN (SELECT id FROM v)),
+    x AS (SELECT v.id, e, k, row_number() OVER (ORDER BY v.id) AS rn FROM v JOIN k USING (id) JOIN y USING (id) WHERE layer IS NULL),
+    l AS (SELECT a.rn, b.id AS other, list_inner_product(a.e, b.e) AS raw, round(raw, 6) AS sim, len(list_intersect(a.k, b.k)) / greatest(len(list_distinct(list_concat(a.k, b.k))), 1) AS shared
+        FROM x a JOIN x b ON b.rn < a.rn WHERE list_inner_product(a.e, b.e) >= 0.1),
+    n AS (SELECT rn, list(struct_pack(other, sim, shared, raw) ORDER BY sim DESC, other) AS near FROM l GROUP BY 1),
+    o AS MATERIALIZED (SELECT x.rn, x.id, coalesce(near, []) AS near FROM x LEFT JOIN n USING (rn)),
+    s AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS kept, NULL::BIGINT AS id, NULL::STRUCT(other BIGINT, sim DOUBLE, shared DOUBLE, raw DOUBLE) AS best
+        UNION ALL SELECT rn, CASE WHEN best.sim >= 0.3 AND best.shared >= 0.02 THEN kept ELSE list_append(kept, id) END, id, best
+        FROM (SELECT o.rn, o.id, s.kept, list_filter(o.near, lambda z: list_contains(s.kept, z.other))[1] AS best FROM s JOIN o ON o.rn = s.rn + 1))
+    SELECT y.id, CASE WHEN layer IS NOT NULL THEN 'rejected' WHEN best.shared >= 0.02 AND best.sim >= 0.3 THEN 'skipped' WHEN best.shared >= 0.02 AND best.sim >= 0.25 THEN 'flagged' ELSE 'added' END AS action,
+        best.other AS best_id, round(best.raw, 4) AS similarity FROM y LEFT JOIN s USING (id)"""
+SQL["components_kept_up"] = SQL["components"].replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 7 <> 0)", 1)

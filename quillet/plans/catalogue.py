@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillet.engine import Engine
-from quillet.functions import entities, quality, text, ttl
+from quillet.functions import entities, projection, quality, text, ttl
 from quillet.functions.vectors import embed
 from quillet.operators import context, dedup, graph, keyword, lifecycle, mailbox, maintenance, similarity, store, vector_index
 from quillet.plans import sql
@@ -284,6 +284,15 @@ def write_batch(spark, d):
     return dedup.write_batch(c.join(embed(c, dims=512), "id"))
 
 
+@query
+def learnt_neighbours(spark, d):
+    """The nearest documents by an embedder learnt from the documents."""
+    c = corpus(spark, d)
+    v = projection.Projection.learn(c, dims=64, buckets=1 << 12, rounds=3).embed(c)
+    found = similarity.knn(v.where("id % 20 = 0"), v, 3)
+    return found.select("query_id", "id", "rank", F.round("sim", 3).alias("similarity"))
+
+
 @query
 def write_tiers(spark, d):
     """write_batch on the given vectors, with thresholds that suit them."""

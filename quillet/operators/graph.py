@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from quillet.operators.keyword import fuse, search
 from quillet.operators.similarity import cross, pairs
 from quillet.sources.held import held
 
+#: So many edges, both ways counted, are a task's work.
+FEW_EDGES = 200_000
 EDGE_THRESHOLD, HUB_DEGREE, HUB_CAP, CLUSTER_HUBS, NEIGHBOUR_CAP = 0.6, 3, 30, 5, 10
 
 
@@ -35,9 +39,11 @@ def components(graph: DataFrame) -> DataFrame:
     """id, root (the smallest id of its component) of every node with an edge.
 
     In each round a node takes the smallest root of itself and its neighbours, and then that root's own root, so the
-    distance to it halves; rounds end when no root changes.
+    distance to it halves; rounds end when no root changes. Up to FEW_EDGES edges are solved in one task instead.
     """
     graph = held(graph.select("src", "dst"), "graph")
+    if graph.count() <= FEW_EDGES and graph.schema["src"].dataType.simpleString() == "bigint":
+        return held(graph.repartition(1).mapInArrow(few_components, "id bigint, root bigint"), "roots")
     label = held(graph.select(F.col("src").alias("id")).distinct().withColumn("root", F.col("id")), "roots")
     while True:
         near = graph.join(label, graph.dst == label.id).groupBy("src").agg(F.min("root").alias("near"))
@@ -49,6 +55,23 @@ def components(graph: DataFrame) -> DataFrame:
         label = now.select("id", "root")
 
 
+def few_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """components() of the edges of one task, by union-find."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = x = above[y]
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(batch.column(c).to_pylist() for c in ("src", "dst")), strict=True):
+            a = root(a)
+            if b is not None and (b := root(b)) != a:
+                above[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_pydict({"id": pa.array(list(above), pa.int64()), "root": pa.array([root(x) for x in list(above)], pa.int64())})
+
+
 def numbered_by(rows: DataFrame, order: str) -> DataFrame:
     """rows with n, their numbers from 0 in the order of a column: a range sort, and counts of its partitions summed up."""
     place = F.monotonically_increasing_id()
@@ -107,6 +130,7 @@ def neighbours(graph: DataFrame, starts: DataFrame, hops: int = 1, cap: int = NE
         found = found.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
         at = Window.partitionBy("start").orderBy("parent", "id")
         found = found.select("start", "id", "weight", F.row_number().over(at).cast("long").alias("pos"), F.lit(hop).alias("hop"))
+        found = held(found, "frontier") if hop < hops else found
         seen = seen.unionByName(found)
     w = Window.partitionBy("start").orderBy(F.desc("weight"), "hop", "pos")
     ranked = seen.where("hop > 0").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)

@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 DEFAULT_TTL_HOURS, GLOBAL_BOX = 72, "_global"
 
 
-def send(spark, to: str, subject: str, body: str, now: Column, sender: str = "agent", priority: str = "normal", ttl_hours: int = DEFAULT_TTL_HOURS, ref: str | None = None) -> DataFrame:
-    """One new message, unread; its id is a hash of what it says and when."""
-    row = spark.createDataFrame([(to, sender, subject, body, ttl_hours, priority, ref)], "box string, sender string, subject string, body string, ttl_hours int, priority string, ref string")
+def sent(rows: DataFrame, now: Column) -> DataFrame:
+    """New messages, unread, of rows (box, sender, subject, body; optional priority, ttl_hours, ref); their ids are hashes of what they say and when."""
+    has = lambda c, default, kind: (F.coalesce(F.col(c), F.lit(default)) if c in rows.columns else F.lit(default)).cast(kind).alias(c)
     digest = F.sha2(F.concat_ws("\x1f", "box", "sender", "subject", "body", now.cast("string")), 256)
-    return row.select(F.concat(F.lit("msg_"), F.substring(digest, 1, 8)).alias("id"), "box", "sender", "subject", "body", now.alias("ts"), F.lit("unread").alias("status"), "ttl_hours", "priority", "ref")
+    return rows.select(
+        F.concat(F.lit("msg_"), F.substring(digest, 1, 8)).alias("id"), F.col("box").cast("string").alias("box"), "sender", "subject", "body", now.alias("ts"), F.lit("unread").alias("status"),
+        has("ttl_hours", DEFAULT_TTL_HOURS, "int"), has("priority", "normal", "string"), has("ref", None, "string"),
+    )
+
+
+def send(spark, to: str, subject: str, body: str, now: Column, sender: str = "agent", priority: str = "normal", ttl_hours: int = DEFAULT_TTL_HOURS, ref: str | None = None) -> DataFrame:
+    """One new message."""
+    kind = "box string, sender string, subject string, body string, ttl_hours int, priority string, ref string"
+    return sent(spark.createDataFrame([(to, sender, subject, body, ttl_hours, priority, ref)], kind), now)
 
 
 def broadcast(spark, subject: str, body: str, now: Column, **more) -> DataFrame:

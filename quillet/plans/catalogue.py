@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillet.engine import Engine
-from quillet.functions import entities, projection, quality, text, ttl
+from quillet.functions import entities, projection, quality, segment, text, ttl
 from quillet.functions.vectors import embed
 from quillet.operators import context, dedup, graph, keyword, lifecycle, mailbox, maintenance, similarity, store, vector_index
 from quillet.plans import sql
@@ -428,6 +428,28 @@ def audit_pairs(spark, d):
     return maintenance.audit(vectors(spark, d), 0.35, 0.4, 0.45)
 
 
+@query
+def audit_nearest(spark, d):
+    return maintenance.audit_nearest(vectors(spark, d), query_vector(spark, d), 100, 0.3, 0.35, 0.4)
+
+
+@query
+def review_page(spark, d):
+    m = memories(spark, d).withColumn("needs_review", F.when(F.col("ord") % 6 != 0, F.col("ord") % 4 == 0))
+    total, rows = store.page(m, 20, 10, needs_review=True)
+    return rows.select("id", "ord", F.lit(total).cast("long").alias("total"))
+
+
+@query
+def parsed_metadata(spark, d):
+    """Tags from JSON and from comma lists, entities from their text form, of every document."""
+    docs = table(spark, d, "documents")
+    raw = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.array("source", "lang"))).otherwise(F.concat_ws(" , ", "source", F.lit(""), "lang"))
+    names = F.concat_ws("|", F.concat_ws(":", "source", "lang", F.lit("organization")), "lang", F.lit(""))
+    x = docs.select("doc_id", text.parse_tags(raw).alias("t"), text.parse_entities(names).alias("e"))
+    return x.select("doc_id", F.array_join("t", "/").alias("tags"), text.format_entities("e").alias("entities"))
+
+
 @query
 def review_pairs(spark, d):
     m = corpus(spark, d).select("id", "text", (F.col("id") % 10 == 0).alias("needs_review"), (F.col("id") + 1).alias("review_similar_to"))
@@ -512,6 +534,20 @@ def mailbox_stats(spark, d):
     return mailbox.stats(messages(spark, d))
 
 
+@query
+def mailbox_sent(spark, d):
+    """A message for each event to its user's box, and one for each kind of event to all."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("box"), F.lit("events").alias("sender"), F.col("event_type").alias("subject"), F.concat_ws(" ", F.col("event_id").cast("string"), "props").alias("body"))
+    to_all = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).select(F.lit(mailbox.GLOBAL_BOX).alias("box"), F.lit("events").alias("sender"), F.col("event_type").alias("subject"), F.concat(F.col("n").cast("string"), F.lit(" events")).alias("body"))
+    return mailbox.sent(e.unionByName(to_all), F.expr(MAIL_NOW_TEXT)).select("id", "box", "subject", short_time("ts").alias("ts"), "status", "ttl_hours", "priority")
+
+
+@query
+def mailbox_removed(spark, d):
+    m = messages(spark, d)
+    return mailbox.removed(m, m.where("id % 3 = 0").select("id")).groupBy("box", "status").agg(F.count("*").alias("n"))
+
+
 # -- streaming ----------------------------------------------------------------
 
 
@@ -743,6 +779,13 @@ def keywords_segmented(spark, d):
     return corpus(spark, d).select("id", F.size(text.keywords(F.coalesce("text", F.lit("")), lambda t: F.split(t, " "))).alias("n"))
 
 
+@query
+def segmented_words(spark, d):
+    """Words of documents cut into the parts that they are made of, by a model learnt from all of them."""
+    s = segment.Segmenter.learn(table(spark, d, "documents"), script=r"\p{L}+", longest=6, rounds=2, max_words=20_000)
+    return corpus(spark, d).select("id", F.size(text.runs(F.col("text"))).alias("n_runs"), F.size(text.keywords("text", s)).alias("n_keywords"))
+
+
 @query
 def restore_gate(spark, d):
     rows = snapshots.restored(snapshots.export_items(memories(spark, d)), "-restored")

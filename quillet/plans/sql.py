@@ -239,3 +239,12 @@ SQL["write_tiers"] = f"""WITH RECURSIVE {KEYS}, {VECTORS}, y AS (SELECT doc_id A
     SELECT y.id, CASE WHEN layer IS NOT NULL THEN 'rejected' WHEN best.shared >= 0.02 AND best.sim >= 0.3 THEN 'skipped' WHEN best.shared >= 0.02 AND best.sim >= 0.25 THEN 'flagged' ELSE 'added' END AS action,
         best.other AS best_id, round(best.raw, 4) AS similarity FROM y LEFT JOIN s USING (id)"""
 SQL["components_kept_up"] = SQL["components"].replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 7 <> 0)", 1)
+SQL["mailbox_sent"] = """WITH e AS (SELECT user_id::VARCHAR AS box, event_type AS subject, concat_ws(' ', event_id::VARCHAR, props) AS body FROM events
+        UNION ALL SELECT '_global', event_type, count(*) || ' events' FROM events GROUP BY event_type)
+    SELECT 'msg_' || substring(sha256(concat_ws(chr(31), box, 'events', subject, body, '2024-01-20 00:00:00')), 1, 8) AS id, box, subject, '2024-01-20 00:00:00' AS ts, 'unread' AS status, 72 AS ttl_hours, 'normal' AS priority FROM e"""
+SQL["mailbox_removed"] = f"WITH {MESSAGES} SELECT box, status, count(*) AS n FROM m WHERE id % 3 <> 0 GROUP BY ALL"
+SQL["audit_nearest"] = f"""WITH {QUERY}, n AS (SELECT id FROM (SELECT id, sim FROM s ORDER BY round(sim, 6) DESC, id LIMIT 100) WHERE sim >= 0),
+    p AS (SELECT a.id AS a, b.id AS b, list_inner_product(a.e, b.e) AS x FROM v a JOIN v b ON a.id < b.id WHERE a.id IN (SELECT id FROM n) AND b.id IN (SELECT id FROM n) AND list_inner_product(a.e, b.e) > 0.3)
+    SELECT row_number() OVER (ORDER BY round(x, 4) DESC, a, b) - 1 AS rank, a, b, round(x, 4) AS similarity, CASE WHEN x >= 0.4 THEN 'duplicate' WHEN x >= 0.35 THEN 'grey' ELSE 'distinct' END AS verdict FROM p"""
+SQL["review_page"] = "WITH m AS (SELECT doc_id FROM documents WHERE doc_id % 6 <> 0 AND doc_id % 4 = 0) SELECT 'mem_' || doc_id AS id, doc_id AS ord, (SELECT count(*) FROM m) AS total FROM m ORDER BY doc_id LIMIT 20 OFFSET 10"
+SQL["parsed_metadata"] = "SELECT doc_id, concat_ws('/', source, lang) AS tags, concat(source, ':', lang, ':organization|', lang, ':unknown') AS entities FROM documents"

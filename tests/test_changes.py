@@ -32,12 +32,14 @@ def both(edges):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_ten_changes(spark, seed):
+def test_ten_changes(spark, seed, monkeypatch):
+    if seed == 2:
+        monkeypatch.setattr(graph, "FEW_EDGES", 0)  # in rounds, as large graphs are
     r = random.Random(seed)
     pick = lambda n, k: {tuple(sorted(r.sample(range(n), 2))) for _ in range(k)}
     edges = pick(300, 120)
     labels = held(graph.components(frame(spark, both(edges))), "labels")
-    for step in range(5):
+    for step in range(4):
         gone = set(r.sample(sorted(edges), 6)) if step % 2 else set()
         came = pick(340, 8) - edges
         labels, touched = changes.updated(labels, frame(spark, both(edges)), frame(spark, came) if came else None, frame(spark, gone) if gone else None)

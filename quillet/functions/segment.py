@@ -118,22 +118,18 @@ class Segmenter:
 
     def __call__(self, text: Column) -> Column:
         """For keywords(): the words of a text column, runs of the script cut, other tokens as they are."""
-        words, longest, script = self.words, self.longest, self.script.replace(r"\x{", "\\u").replace("}", "")
-        import re
-
-        inside = re.compile(re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), script)).fullmatch
+        words, longest = self.words, self.longest
 
         @F.pandas_udf("array<string>")
-        def cut_all(tokens: pd.Series) -> pd.Series:
+        def cut_all(tokens: pd.Series, inside: pd.Series) -> pd.Series:
             known: dict[str, list[str]] = {}
 
             def cut(t: str) -> list[str]:
-                if not inside(t):
-                    return [t]
                 if t not in known:
                     known[t] = best_path(t, words, longest)
                 return known[t]
 
-            return tokens.map(lambda ts: None if ts is None else [w for t in ts for w in cut(t)])
+            return pd.Series([None if ts is None else [w for t, ok in zip(ts, oks, strict=True) for w in (cut(t) if ok else [t])] for ts, oks in zip(tokens, inside, strict=True)])
 
-        return cut_all(F.regexp_extract_all(text, F.lit(f"{self.script}|{TOKEN}"), 0))
+        tokens = F.regexp_extract_all(text, F.lit(f"{self.script}|{TOKEN}"), 0)
+        return cut_all(tokens, F.transform(tokens, lambda t: t.rlike(f"^(?:{self.script})$")))

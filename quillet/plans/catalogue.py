@@ -18,7 +18,7 @@ from quillet.schema import memories_from_documents, messages_from_events
 from quillet.sources import snapshots
 from quillet.sources.held import held, scratch
 from quillet.streaming import timers
-from quillet.streaming.ingest import activity, counts, ingest, into_engine, live_messages
+from quillet.streaming.ingest import activity, counts, distinct_texts, ingest, into_engine, live_messages
 
 NOW_TEXT, MAIL_NOW_TEXT = "timestamp'2025-01-15 00:00:00'", "timestamp'2024-01-20 00:00:00'"
 EDGE = 0.4
@@ -619,6 +619,13 @@ def stream_expired(spark, d):
     return rows.select("id", "box", "status", "expires_ms")
 
 
+@query
+def stream_distinct(spark, d):
+    """Texts of a stream of documents that pass the gate, each once."""
+    timed = lambda s: distinct_texts(s.select("text", F.lit("2025-01-15 00:00:00").cast("timestamp").alias("ts")))
+    return streamed(spark, d, "documents", lambda s: timed(s).select(F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("chars")), "text_sha256 string, chars int")
+
+
 @query
 def stream_rebuilds(spark, d):
     """When what is derived from each kind of event is built anew, at most once in six hours."""

@@ -248,3 +248,19 @@ SQL["audit_nearest"] = f"""WITH {QUERY}, n AS (SELECT id FROM (SELECT id, sim FR
     SELECT row_number() OVER (ORDER BY round(x, 4) DESC, a, b) - 1 AS rank, a, b, round(x, 4) AS similarity, CASE WHEN x >= 0.4 THEN 'duplicate' WHEN x >= 0.35 THEN 'grey' ELSE 'distinct' END AS verdict FROM p"""
 SQL["review_page"] = "WITH m AS (SELECT doc_id FROM documents WHERE doc_id % 6 <> 0 AND doc_id % 4 = 0) SELECT 'mem_' || doc_id AS id, doc_id AS ord, (SELECT count(*) FROM m) AS total FROM m ORDER BY doc_id LIMIT 20 OFFSET 10"
 SQL["parsed_metadata"] = "SELECT doc_id, concat_ws('/', source, lang) AS tags, concat(source, ':', lang, ':organization|', lang, ':unknown') AS entities FROM documents"
+
+
+def hybrid_of(k: int) -> str:
+    """hybrid_rrf with k rows, from twice as many of each list."""
+    return SQL["hybrid_rrf"].replace("LIMIT 10", f"LIMIT {2 * k}").replace("rank < 10", f"rank < {2 * k}").replace("LIMIT 5", f"LIMIT {k}")
+
+
+# ten rows of the hybrid result are more than the five asked for, so neighbours are never added
+SQL["guided_search"] = f"""WITH RECURSIVE {REACH}, b0 AS ({hybrid_of(10)}),
+    b AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, vector_rank NULLS LAST, bm25_rank, id) - 1 AS rank FROM b0),
+    seeds AS (SELECT DISTINCT cluster FROM c JOIN b USING (id) WHERE rank < 3), inside AS (SELECT id FROM c JOIN seeds USING (cluster)),
+    x AS (WITH {bm25(f"SELECT 0 AS qid, '{PHRASE}' AS query", 10).replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT id FROM inside)")} SELECT id, rank FROM bm),
+    f AS (SELECT id, b.rank AS global_rank, x.rank AS cluster_rank, CASE WHEN EXISTS (FROM seeds) THEN coalesce(0.6 / (61 + b.rank), 0) + coalesce(0.4 / (61 + x.rank), 0) ELSE b.score END AS y FROM b FULL JOIN x USING (id))
+    SELECT id, round(y, 4) AS score, 'graph-guided' AS method, global_rank, cluster_rank, CAST(NULL AS BIGINT) AS expanded_from, CAST(NULL AS DOUBLE) AS edge_weight
+    FROM f ORDER BY round(y, 12) DESC, global_rank IS NULL, coalesce(global_rank, cluster_rank), id LIMIT 5"""
+SQL["stream_distinct"] = f"SELECT DISTINCT sha256(text) AS text_sha256, length(text) AS chars FROM documents WHERE doc_id IN (SELECT doc_id FROM {LAYER} WHERE layer IS NULL)"

@@ -334,3 +334,39 @@ def test_toxicity_without_labels(spark):
     docs, labels, _ = labelled(spark, 20)
     assert {x.predicted for x in toxicity.scored(docs, labels.where("false")).collect()} == {0}
     assert toxicity.scored(docs.where("false"), labels).collect() == []
+
+
+# -- fertility ----------------------------------------------------------------
+
+
+def test_fertility_measures_by_hand(spark):
+    """Characters per token, byte-fallback share and entropy of tokens, by the libraries alone; and the verdict from the bands."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    from quillet.llm import common, fertility
+
+    tok, sp = Tokenizer.from_file(common.tokenizer_path("byte_bpe_50k.json")), SentencePieceProcessor(model_file=common.tokenizer_path("piece_bpe_32k.model"))
+    r = random.Random(5)
+    vocab = ["".join(r.choices("abcdeéñßüio", k=r.randint(2, 8))) for _ in range(300)] + ["日本語", "привет", "ƕ", "😀", "a&b"]
+    texts = [" ".join(r.choices(vocab, k=n)) for n in (0, 1, 49, 50, 99, 100, 400)] + ["x y " * 60, "日本語 " * 70, "привет мир " * 60, None, " \n ", "same line here\n" * 3]
+    rows = [(i, t, r.choice(["en", "de", None, "zz"])) for i, t in enumerate(texts)]
+    got = {x.doc_id: x for x in fertility.measure(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), common.tokenizer_path("byte_bpe_50k.json"), common.tokenizer_path("piece_bpe_32k.model")).collect()}
+    for i, t, lang in rows:
+        t, x = t or "", got[i]
+        words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t) if w]
+        ids = tok.encode(t, add_special_tokens=False).ids
+        pieces = [p for w in words for p in sp.encode(w)]
+        chars = sum(map(len, words))
+        share = sum(sp.is_byte(p) for p in pieces) / max(1, len(pieces))
+        counts = collections.Counter(ids)
+        entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in counts.values()) if ids else 0.0
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        inside = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        assert (x.n_words, x.word_chars, x.n_tokens, x.n_repeat_words) == (len(words), chars, len(ids), len(inside))
+        assert x.chars_per_token == pytest.approx(chars / max(1, len(ids))) and x.byte_share == pytest.approx(share) and x.token_entropy == pytest.approx(abs(entropy))
+        assert x.base_failed == (len(words) < 50 or 100 * len(inside) > 50 * len(words))
+        band = fertility.BANDS[x.band]
+        assert x.band == lang if lang in ("en", "de") else x.band in fertility.BANDS
+        ok = band.least_chars <= x.chars_per_token <= band.most_chars and x.byte_share <= band.most_bytes and (len(words) < band.min_words or entropy >= band.least_entropy)
+        assert x.kept == (not x.base_failed and ok)

@@ -5,6 +5,7 @@ Every path is a composition of the operators; the table is replaced or appended
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from quillet.functions.entities import enriched
 from quillet.functions.vectors import embed
 from quillet.operators import context, dedup, graph, keyword, lifecycle, maintenance, similarity, store
+from quillet.operators.vector_index import VectorIndex
 from quillet.schema import MEMORY
 from quillet.sources.held import held
 from quillet.sources.snapshots import Snapshots, restored
@@ -35,6 +37,8 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str, embedder: Callable[[DataFrame], DataFrame] = unweighted, enrich: Callable[[DataFrame], DataFrame] = enriched):
         path = path.rstrip("/")
         self.spark, self.embedder, self.enrich = spark, embedder, enrich
+        self.index: VectorIndex | None = None
+        self.path = path
         self.table, self.archived, self.cache = Snapshots(spark, f"{path}/active", MEMORY), Snapshots(spark, f"{path}/archive", MEMORY), graph.GraphCache(spark, f"{path}/graph")
 
     def memories(self) -> DataFrame:
@@ -69,6 +73,8 @@ class Engine:
         else:
             marked = now_there.join(points, "id", "left").withColumns({"needs_review": F.when(F.col("p").isNotNull(), True).otherwise(F.col("needs_review")), "review_similar_to": F.coalesce("p", "review_similar_to"), "review_similarity": F.coalesce("s", "review_similarity")})
             self.table.write(marked.drop("p", "s").unionByName(new, allowMissingColumns=True), mark)
+        if self.index is not None:
+            self.index.append(new.select(F.col("ord").alias("id"), "embedding"))
         own = F.when(F.col("action") == "skipped", F.col("best_id")).when(F.col("action") != "rejected", F.col("id"))
         return fates.join(batch.select("id", "place"), "id").select(named(own).alias("id"), "place", "action", named(F.col("best_id")).alias("best_id"), "similarity")
 
@@ -78,8 +84,25 @@ class Engine:
         self.table.write(left)
         return n
 
-    def query(self, text: str, top_k: int = 5, threshold: float = 0.3, retrieve_k: int | None = None) -> DataFrame:
-        """id, similarity, text, source, tags of the rows closest to a text, best first; in two stages with retrieve_k."""
+    def build_index(self, **how) -> VectorIndex:
+        """Index the vectors that are there, for query(probes=...); rows that are written from now on are added to it.
+
+        Rows that go are left out when results get their texts, so build anew when many have gone.
+        """
+        self.index = VectorIndex.build(self.vectors().select("id", "embedding"), f"{self.path}/index-{uuid.uuid4().hex[:12]}", **how)
+        return self.index
+
+    def query(self, text: str, top_k: int = 5, threshold: float = 0.3, retrieve_k: int | None = None, probes: int | None = None) -> DataFrame:
+        """id, similarity, text, source, tags of the rows closest to a text, best first; in two stages with retrieve_k.
+
+        probes: by the index, so many cells of which are read; it has to be built.
+        """
+        if probes is not None:
+            if self.index is None:
+                raise ValueError("there is no index: call build_index() first")
+            vector = self.vector(text).first().q
+            near = self.index.topk(vector, top_k, threshold, max(retrieve_k or 64, top_k), probes)
+            return self._named(near).orderBy(F.desc("similarity"), "ord").drop("ord")
         near = similarity.rerank(self.vectors(), self.vector(text), top_k, retrieve_k, threshold) if retrieve_k else similarity.topk(self.vectors(), self.vector(text), top_k, threshold)
         return self._named(near).orderBy(F.desc("similarity"), "ord").drop("ord")
 

@@ -111,3 +111,22 @@ def test_entities_and_segmenter(spark):
     kept = df.withColumn("entities", F.expr("array(named_struct('text', 'x', 'label', 'event'))"))
     assert [[e.text for e in r.entities] for r in entities.enriched(kept).collect()] == [["Ms. Lee", "Acme Corp"], ["x"], ["x"]]
     assert df.where("text is not null").select(text.keywords("text", lambda t: F.split(t, " ")).alias("k")).first().k[:3] == ["ms.", "lee", "of"]
+
+
+def test_queries_by_the_index(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "indexed"))
+    word = lambda i, k: "".join(chr(97 + (i * (j + 2) + k * (j + 5) + j) % 26) for j in range(6))
+    rows = lambda a, b: spark.createDataFrame([(" ".join([*(word(i, k) for k in range(5)), "violin"]), "s", [], i) for i in range(a, b)], "text string, source string, tags array<string>, place bigint")
+    now = F.expr("timestamp'2025-01-15 00:00:00'")
+    with pytest.raises(ValueError, match="no index"):
+        e.query("violin", probes=2)
+    e.write(rows(0, 30), now, extract=False)
+    index = e.build_index(n_cells=4)
+    whole = [tuple(r) for r in e.query("violin keeps", 5, 0.1).collect()]
+    assert [tuple(r) for r in e.query("violin keeps", 5, 0.1, probes=len(index.centres)).collect()] == whole
+    e.write(rows(30, 36), now, extract=False)
+    text = rows(33, 34).first().text
+    found = e.query(text, 1, 0.1, probes=len(index.centres)).first()
+    assert found.text == e.query(text, 1, 0.1).first().text == text
+    e.delete(spark.createDataFrame([(found.id,)], "id string"))
+    assert found.id not in [r.id for r in e.query(text, 3, 0.1, probes=len(index.centres)).collect()]

@@ -80,7 +80,7 @@ def centres_of(vectors: DataFrame, block: int) -> np.ndarray | None:
 
 
 def best_of(k: int):
-    """Of each query of a block the k closest rows of another block, itself left out; all ties at the edge, which the ranking cuts by id."""
+    """Of each query of a block the k closest rows of another block, itself left out; ties by id, as the ranking of all blocks has them."""
 
     def best(qi, q, ci, c, _):
         sim = q @ c.T
@@ -88,7 +88,11 @@ def best_of(k: int):
         key = np.round(sim, DECIMALS)
         n = min(k, sim.shape[1])
         edge = np.partition(key, sim.shape[1] - n, 1)[:, sim.shape[1] - n]
-        a, b = np.nonzero((key >= edge[:, None]) & np.isfinite(sim))
+        near = (key >= edge[:, None]) & np.isfinite(sim)
+        for r in np.flatnonzero(near.sum(1) > n):  # equal rows may be many
+            tied = np.flatnonzero(near[r])
+            near[r, tied[np.lexsort((ci[tied], -key[r, tied]))[n:]]] = False
+        a, b = np.nonzero(near)
         return qi[a], ci[b], sim[a, b]
 
     return best

@@ -77,6 +77,24 @@ def test_cross_with_bounds(spark):
     assert got == {(i, j) for i, j in np.argwhere(sim >= 0.7).tolist() if i % 10 == 1}
 
 
+def test_blocks_move_by_tiles(spark, monkeypatch):
+    """A block goes to each pair of tiles once, however many blocks it meets there; results stay exact over tiles."""
+    monkeypatch.setattr(cells, "LEAST_BYTES", 1)
+    monkeypatch.setattr(cells, "TILES", 4)
+    m = scattered(640)
+    b = cells.blocks(frame(spark, m), 10)
+    tiles = cells.bounds(b)
+    n, need = tiles.count(), cells.close_tiles(tiles, tiles, -100.0, True)
+    assert 2 <= n <= 6 and b.count() >= 64
+    assert need.count() == (n + 1) * b.count() < cells.close_pairs(b, b, -100.0, True).count() / 4
+    sim = products(m)
+    got = {(r.a, r.b) for r in similarity.pairs(frame(spark, m), 6.0, block=10).collect()}
+    assert got == {(i, j) for i, j in np.argwhere(sim >= 6.0).tolist() if i < j}
+    v = frame(spark, m)
+    knn = similarity.knn(v.where("id % 20 = 0"), v, 5, -100.0, 10).collect()
+    assert {(r.query_id, r.id, r.rank) for r in knn} == by_hand(m, list(range(0, len(m), 20)), 5, -100.0)
+
+
 def test_no_cartesian_product(spark):
     v = frame(spark, clustered())
     for df in (similarity.pairs(v, 0.9, 16), similarity.knn(v.where("id < 50"), v, 3, 0.0, 16), similarity.cross(v, v, 0.9, 16)):

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,30 +23,61 @@ def with_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
+#: Messages wait in so many groups, by a hash of their ids: state is read and written once a group, not once a message.
+GROUPS = 512
+_waiting = pa.schema([("id", pa.int64()), ("box", pa.int64()), ("status", pa.string()), ("expires_ms", pa.int64())])
+
+
 class Expiry(StatefulProcessor):
-    """Each message waits in state until the watermark passes its expiry; acknowledged or deleted ones stop waiting."""
+    """Messages wait in state until the watermark passes their expiry; acknowledged or deleted ones stop waiting.
+
+    A group's messages are one value, and it has one timer: at the first expiry.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", "box bigint, status string, expires_ms bigint")
+        self.waiting = handle.getValueState("waiting", "rows binary, first_ms bigint")
+
+    def _get(self) -> tuple[pa.Table, int | None]:
+        if not self.waiting.exists():
+            return _waiting.empty_table(), None
+        data, first = self.waiting.get()
+        return pa.ipc.open_stream(data).read_all(), first
+
+    def _put(self, rows: pa.Table, timer: int | None) -> None:
+        """Keep rows; timer: when the timer that is set fires, None without one."""
+        first = pc.min(rows.column("expires_ms")).as_py()
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is None:
+            self.waiting.clear()
+            return
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _waiting) as out:
+            out.write_table(rows.combine_chunks())
+        self.waiting.update((sink.getvalue().to_pybytes(), first))
+        if timer != first:
+            self.handle.registerTimer(first)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for part in rows:
-            for r in part.sort_values(["ts_ms", "gone"]).itertuples():
-                if self.waiting.exists():
-                    self.handle.deleteTimer(self.waiting.get()[2])
-                    self.waiting.clear()
-                if not r.gone:
-                    box = None if pd.isna(r.box) else int(r.box)
-                    self.waiting.update((box, r.status, int(r.expires_ms)))
-                    self.handle.registerTimer(int(r.expires_ms))
+        new = pd.concat(list(rows)).sort_values(["ts_ms", "gone"], kind="stable").drop_duplicates("id", keep="last")
+        old, timer = self._get()
+        stay = old.filter(pc.invert(pc.is_in(old.column("id"), pa.array(new["id"], pa.int64()))))
+        come = new[~new["gone"].astype(bool)]
+        box = pa.array([None if pd.isna(x) else int(x) for x in come["box"]], pa.int64())
+        status = pa.array([None if pd.isna(x) else x for x in come["status"]], pa.string())
+        come = pa.Table.from_arrays([pa.array(come["id"], pa.int64()), box, status, pa.array(come["expires_ms"], pa.int64())], schema=_waiting)
+        self._put(pa.concat_tables([stay, come]), timer)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.waiting.exists():
-            box, status, expires = self.waiting.get()
-            self.waiting.clear()
-            yield pd.DataFrame({"id": [key[0]], "box": pd.array([box], dtype="Int64"), "status": [status], "expires_ms": [expires]})
+        rows, timer = self._get()
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        due = pc.less_equal(rows.column("expires_ms"), timerValues.getCurrentWatermarkInMs())
+        self._put(rows.filter(pc.invert(due)), None)  # a timer that has fired is gone
+        out = rows.filter(due).to_pandas(integer_object_nulls=True)
+        yield out.astype({"box": "Int64"})
 
     def close(self) -> None:
         pass
@@ -63,7 +96,8 @@ def expired_messages(messages: DataFrame, delay: str = "1 hour", gone: Column |
         F.coalesce(gone if gone is not None else F.lit(False), F.lit(False)).alias("gone"),
     )
     with_state_store(messages.sparkSession)
-    return rows.withWatermark("ts", delay).groupBy("id").transformWithStateInPandas(Expiry(), "id bigint, box bigint, status string, expires_ms bigint", "append", "eventTime")
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(GROUPS)))
+    return rows.withWatermark("ts", delay).groupBy("grp").transformWithStateInPandas(Expiry(), "id bigint, box bigint, status string, expires_ms bigint", "append", "eventTime")
 
 
 class Rebuilds(StatefulProcessor):

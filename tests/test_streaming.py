@@ -127,6 +127,22 @@ def test_expiry_at_each_watermark(spark, tmp_path):
     assert hours(seen[2]) == [(1, 7, "unread", 2.0), (2, 7, "acked", 5.0), (3, None, "unread", 2.5), (6, 8, "unread", 4.9)]
 
 
+def test_messages_expire_from_shared_state(spark, tmp_path, monkeypatch):
+    """Several messages of one group of state: one that moves, one that goes, and each expires once."""
+    monkeypatch.setattr(timers, "GROUPS", 1)
+    batches = [
+        [(1, 7, 0.0, "a", 5), (2, None, 0.1, "b", 1), (3, 9, 0.2, None, 2), (1, 7, 0.3, "c", 1)],
+        [(3, 9, 0.5, "gone", 1), (4, 9, 2.5, "d", 1)],
+        [(5, 9, 9.0, "e", 1)],
+    ]
+    how = lambda s: timers.expired_messages(s, "1 hour", gone=F.col("status") == "gone")
+    seen = run_all(spark, tmp_path, batches, how, "id bigint, box bigint, status string, expires_ms bigint")
+    hours = lambda rows: sorted((r.id, r.box, r.status, round((r.expires_ms / 1000 - 1_704_067_200) / 3600, 2)) for r in rows)
+    assert hours(seen[0]) == []
+    assert hours(seen[1]) == [(1, 7, "c", 1.3), (2, None, "b", 1.1)]
+    assert hours(seen[2]) == [(1, 7, "c", 1.3), (2, None, "b", 1.1), (4, 9, "d", 3.5)]
+
+
 def test_one_rebuild_for_many_changes(spark, tmp_path):
     batches = [[(1, 1, 0.0, "a", 1), (2, 1, 0.5, "a", 1), (3, 1, 0.2, "b", 1)], [(4, 1, 0.9, "a", 1), (5, 1, 2.5, "b", 1)], [(6, 1, 2.6, "a", 1), (7, 1, 9.0, "c", 1)]]
     how = lambda s: timers.rebuilds(s.select(F.col("status").alias("name"), "ts"), 3_600_000)

@@ -25,6 +25,8 @@ from quillet.sources.held import held
 WORDS = 256
 LIST_ROWS = 4096
 QUERY_ROWS = 256
+#: So many rows are searched by brute force to choose how much an index has to read.
+CALIBRATION = 256
 LIST = "cell int, ids array<bigint>, codes binary"
 
 
@@ -50,6 +52,16 @@ def closest(m: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.argmax(m @ words.T - 0.5 * (words * words).sum(1), 1)
 
 
+def best(score: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of the n largest of each row; of equal ones those with the smallest ids, as rankings have them."""
+    edge = np.partition(score, score.shape[1] - n, 1)[:, score.shape[1] - n]
+    near = score >= edge[:, None]
+    for r in np.flatnonzero(near.sum(1) > n):  # equal rows may be many
+        tied = np.flatnonzero(near[r])
+        near[r, tied[np.lexsort((ids[tied], -score[r, tied]))[n:]]] = False
+    return np.nonzero(near)
+
+
 def cells_of(q: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
     """The cells nearest to each row of q, best first."""
     return np.argsort(-(q @ centres.T), 1, kind="stable")[:, :probes]
@@ -126,7 +138,7 @@ class VectorIndex:
         return self.spark.read.parquet(f"{self.path}/exact")
 
     def candidates(self, queries: DataFrame, probes: int, refine: int, only: list[int] | None = None) -> DataFrame:
-        """query_id, id, cell of the best `refine` rows of each query (id, embedding) by codes. only: the cells that can be probed."""
+        """query_id, id, cell, rn (from 1) of the best `refine` rows of each query (id, embedding) by codes. only: the cells that can be probed."""
         words, centres = self.words, self.centres
         schema = pa.schema([("cell", pa.int32()), ("query_id", pa.int64()), ("q", pa.binary())])
 
@@ -156,16 +168,16 @@ class VectorIndex:
                     for j, (w, x) in enumerate(zip(words, split(q, len(words)).transpose(1, 0, 2), strict=True)):
                         score += (x @ w.T)[:, codes[:, j]]
                     n = min(refine, len(ids))
-                    top = np.argpartition(-score, n - 1, 1)[:, :n]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked.field("query_id").to_numpy(), n)), pa.array(ids[top].ravel()), pa.array(np.full(top.size, cell, np.int32)), pa.array(np.take_along_axis(score, top, 1).ravel())], schema=out)
+                    row, top = best(score, ids, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked.field("query_id").to_numpy()[row]), pa.array(ids[top]), pa.array(np.full(len(top), cell, np.int32)), pa.array(score[row, top])], schema=out)
 
         found = met.mapInArrow(look, "query_id bigint, id bigint, cell int, about double")
         w = Window.partitionBy("query_id").orderBy(F.desc("about"), "id")
-        return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= refine).select("query_id", "id", "cell")
+        return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= refine).select("query_id", "id", "cell", "rn")
 
     def search(self, queries: DataFrame, k: int = 5, probes: int = 8, refine: int = 64, threshold: float = 0.0, only: list[int] | None = None) -> DataFrame:
         """query_id, id, rank (from 0), sim: of each query (id, embedding) the k best of `refine` candidates, by exact products; itself left out."""
-        near = self.candidates(queries, probes, refine + 1, only).where("query_id <> id")
+        near = self.candidates(queries, probes, refine + 1, only).where("query_id <> id").drop("rn")
         rows = self.exact() if only is None else self.exact().where(F.col("cell").isin(only))
         asked = queries.select(F.col("id").cast("long").alias("query_id"), F.col("embedding").alias("q"))
         scored = near.join(rows, ["cell", "id"]).join(asked, "query_id").select("query_id", "id", dot("q", "embedding").alias("sim"))
@@ -173,6 +185,33 @@ class VectorIndex:
         top = scored.withColumn("rn", F.row_number().over(w)).where((F.col("rn") <= k) & (F.col("sim") >= threshold))
         return top.select("query_id", "id", (F.col("rn") - 1).alias("rank"), "sim")
 
+    def calibrated(self, vectors: DataFrame, k: int = 5, probes: int = 8, refine: int = 64, recall: float = 0.95) -> tuple[int, int]:
+        """probes and refine, raised as far as it takes to find `recall` of the k nearest rows of CALIBRATION indexed rows.
+
+        Their neighbours are found by brute force; half of what may be missed is left to cells that aren't probed, and the
+        places of the others in the order by codes tell how many candidates need exact products.
+        """
+        from quillet.operators.similarity import knn
+
+        v = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding")
+        rows = v.count()
+        asked = held(v.orderBy(F.xxhash64("id", F.lit("calibrate")), "id").limit(CALIBRATION), "asked")
+        true = held(knn(asked, v, k, -np.inf).select("query_id", "id"), "true")
+        found = true.join(self.exact().select("id", "cell"), "id").join(asked.select(F.col("id").alias("query_id"), "embedding"), "query_id").select("cell", "embedding").toArrow()  # CALIBRATION * k rows
+        if not found.num_rows:
+            return probes, refine
+        matrix = cells.matrix_of(found.column("embedding").combine_chunks())
+        order = cells_of(matrix, self.centres, len(self.centres))
+        place = np.sort(np.argmax(order == found.column("cell").to_numpy()[:, None], 1)) + 1
+        probes = max(min(probes, len(self.centres)), int(place[int(np.ceil((1 + recall) / 2 * len(matrix))) - 1]))
+        need, reach = int(np.ceil(recall * len(matrix))), 16 * refine
+        while True:
+            near = self.candidates(asked, probes, reach + 1).where("query_id <> id")
+            at = sorted(r.rn for r in near.join(true, ["query_id", "id"], "left_semi").select("rn").collect())  # CALIBRATION * k rows
+            if len(at) >= need or reach >= rows:
+                return probes, max(refine, at[min(need, len(at)) - 1]) if at else reach
+            reach *= 16
+
     def first(self, vector: list[float], retrieve_k: int, probes: int = 8) -> Callable[[DataFrame], DataFrame]:
         """For similarity.rerank: the candidates' rows of a table (id, embedding), found by codes in the probed cells' files alone."""
         only = cells_of(np.asarray([vector], np.float64), self.centres, probes)[0].tolist()

@@ -183,3 +183,26 @@ def test_index_of_nothing(spark, tmp_path):
         VectorIndex.build(spark.createDataFrame([], "id bigint, embedding array<float>"), str(tmp_path / "x"))
     one = VectorIndex.build(spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "id bigint, embedding array<float>"), str(tmp_path / "y"))
     assert [r.id for r in one.topk([1.0, 0.0], 5, -1.0).collect()] == [1, 3]
+
+
+def test_index_is_calibrated_to_its_recall(spark, tmp_path):
+    from quillet.operators.vector_index import VectorIndex
+
+    v = frame(spark, np.random.default_rng(5).normal(size=(6000, 48))).cache()
+    i = VectorIndex.build(v, str(tmp_path / "i"))
+    q = v.where("id % 20 = 0")
+    exact, some = similarity.knn(q, v, 5, -9.0), len(i.centres) // 2
+    assert recall(i.search(q, 5, some, 40, -9.0), exact) < 0.85
+    probes, refine = i.calibrated(v, 5, some, 40)
+    assert probes > some and refine > 40 and recall(i.search(q, 5, probes, refine, -9.0), exact) >= 0.9
+
+
+def test_index_finds_equal_vectors_by_their_ids(spark, tmp_path):
+    from quillet.operators.vector_index import VectorIndex
+
+    m = clustered(300, 16, 10, 0.6)
+    m[::2] = m[0]
+    v = frame(spark, m).cache()
+    i = VectorIndex.build(v, str(tmp_path / "i"))
+    got = i.search(v.where("id in (0, 40, 298)"), 3, len(i.centres), 5)
+    assert {r.query_id: [x.id for x in got.orderBy("rank").collect() if x.query_id == r.query_id] for r in got.collect()} == {0: [2, 4, 6], 40: [0, 2, 4], 298: [0, 2, 4]}

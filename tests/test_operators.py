@@ -65,6 +65,22 @@ def test_write_batch_replays(embedded):
     assert {"added", "skipped", "flagged"} <= set(got.values())
 
 
+def test_write_batch_by_short_lists_and_rounds(embedded, monkeypatch):
+    df, _ = embedded
+    want = {r.id: r for r in dedup.write_batch(df).collect()}
+    monkeypatch.setattr(dedup, "FEW_LINKS", 0)
+    calls, closest = [], dedup.closest
+
+    def counted(*args):
+        found = graph.held(closest(*args), "found")
+        calls.append((args[2], found.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0))
+        return found
+
+    monkeypatch.setattr(dedup, "closest", counted)
+    assert {r.id: r for r in dedup.write_batch(df, listed=1).collect()} == want
+    assert len(calls) > 1 and all(n <= k for k, n in calls)
+
+
 def test_writing_again_adds_nothing(embedded):
     df, _ = embedded
     fates = dedup.write_batch(df)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +18,8 @@ from quillet.sources.held import held
 K1, B = 1.5, 0.75
 #: Up to so many distinct tokens of queries are looked up in the scan itself.
 FEW = 4096
+#: So many tokens of queries are sent to the tasks that score documents, and so many queries and documents are multiplied at once.
+FEW_TERMS, QUERIES, DOCS = 1 << 20, 512, 512
 
 
 def totals(docs: DataFrame) -> DataFrame:
@@ -23,16 +31,25 @@ def found(corpus: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     wanted: the tokens of some queries; if there are more than FEW, an index is built.
     """
-    few = [r.token for r in wanted.limit(FEW + 1).collect()]
-    docs = spread(corpus.select("id", "ord", "text")).select("id", "ord", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
+    few = some_tokens(wanted)
     if len(few) > FEW:
-        index = Index(corpus)
-        return index.of(wanted)
-    hit = held(docs.select("id", "ord", "dl", F.filter("tokens", lambda t: t.isin(*few) if few else F.lit(False)).alias("tokens")), "hits")
+        return Index(corpus).of(wanted)
+    hit = hits(corpus, few)
     tf = hit.select("id", "ord", "dl", F.explode("tokens").alias("token")).groupBy("token", "id", "ord", "dl").agg(F.count("*").alias("tf"))
     return tf, totals(hit)
 
 
+def some_tokens(wanted: DataFrame) -> list[str]:
+    """FEW tokens, and one more if there are more."""
+    return [r.token for r in wanted.limit(FEW + 1).collect()]
+
+
+def hits(corpus: DataFrame, few: list[str]) -> DataFrame:
+    """id, ord, dl, tokens of all documents, written: a few tokens alone, repeats kept."""
+    docs = spread(corpus.select("id", "ord", "text")).select("id", "ord", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
+    return held(docs.select("id", "ord", "dl", F.filter("tokens", lambda t: t.isin(*few) if few else F.lit(False)).alias("tokens")), "hits")
+
+
 def scores(corpus: DataFrame | Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """qid, id, ord, score of every row of corpus (id, ord, text; or its index) that shares a token with a query (qid, query).
 
@@ -52,13 +69,84 @@ def ranked_sum(hits: DataFrame, k1: float, b: float) -> DataFrame:
     return hits.groupBy("qid", "id", "ord").agg(F.sum(each).alias("score")).where("score > 0")
 
 
+def best(corpus: DataFrame, queries: DataFrame, top_k: int, k1: float, b: float) -> DataFrame:
+    """scores() of the rows that can be among the top_k of a query.
+
+    Documents are scored where they lie, by a product of their tokens' weights with the queries', and top_k of each batch
+    leave it: what is shuffled grows with batches times queries, not with the postings that queries meet.
+    """
+    terms = held(query_terms(queries), "terms")
+    few = some_tokens(terms.select("token").distinct())
+    if len(few) > FEW:
+        return Index(corpus).scores(queries, top_k, k1, b)
+    if terms.count() > FEW_TERMS:
+        return scores(corpus, queries, k1, b)
+    hit = hits(corpus, few)
+    df = hit.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    n, avgdl = totals(hit).first()
+    weight = F.col("times") * F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    asked = terms.join(df, "token").select("qid", "token", weight.alias("weight")).toArrow()  # FEW_TERMS at most
+    qids = asked.column("qid").combine_chunks().dictionary_encode(null_encoding="encode")
+    words = asked.column("token").combine_chunks().dictionary_encode()
+    query, qids, word, words = qids.indices.to_numpy(), qids.dictionary, words.indices.to_numpy(), words.dictionary
+    weights = asked.column("weight").to_numpy()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, DOCS):
+                batch = whole.slice(a, DOCS)
+                x = document_weights(batch, words, avgdl, k1, b)
+                order = np.empty(batch.num_rows, np.int64)
+                order[pc.sort_indices(batch.column("ord"), null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
+                for q in range(0, len(qids), QUERIES):
+                    here = (query >= q) & (query < q + QUERIES)
+                    y = np.zeros((len(words), min(QUERIES, len(qids) - q)))
+                    y[word[here], query[here] - q] = weights[here]
+                    rows, found, sums = top_of(x @ y, order, top_k)
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(found + q)), batch.column("id").take(pa.array(rows)), batch.column("ord").take(pa.array(rows)), pa.array(sums)], names=["qid", "id", "ord", "score"])
+
+    kinds = {"qid": terms, "id": hit, "ord": hit}
+    return hit.select("id", "ord", "dl", "tokens").mapInArrow(score, ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c, df in kinds.items()) + ", score double")
+
+
+def document_weights(batch: pa.RecordBatch, words: pa.Array, avgdl: float, k1: float, b: float) -> np.ndarray:
+    """Documents x words: what each word's weight in a query is multiplied with. Of (dl, tokens)."""
+    lists = batch.column("tokens")
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    at = pc.index_in(lists.flatten(), words).to_numpy(zero_copy_only=False)
+    tf = np.bincount(row * len(words) + at.astype(np.int64), minlength=len(lists) * len(words)).reshape(len(lists), len(words))
+    norm = 1 - b + b * batch.column("dl").to_numpy() / max(avgdl, 1.0)
+    return tf * (k1 + 1) / np.maximum(tf + k1 * norm[:, None], 1e-300)
+
+
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores in units of 0.0001 as SQL rounds them: halves of the shortest decimal go up."""
+    units = scores * 10_000
+    whole = np.floor(units)
+    out = whole + (units - whole >= 0.5)
+    for at in np.argwhere(np.abs(units - whole - 0.5) < 1e-6):
+        out[tuple(at)] = int((Decimal(repr(float(scores[tuple(at)]))) * 10_000).to_integral_value(ROUND_HALF_UP))
+    return out
+
+
+def top_of(scores: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and scores of the k best rows of each column that are above 0: by the rounded score, ties by order."""
+    key, n = rounded(scores), min(max(k, 1), len(scores))
+    near = (key >= np.partition(key, len(key) - n, 0)[len(key) - n]) & (scores > 0)
+    for c in np.flatnonzero(near.sum(0) > n):
+        tied = np.flatnonzero(near[:, c])
+        near[tied[np.lexsort((order[tied], -key[tied, c]))[n:]], c] = False
+    rows, columns = np.nonzero(near)
+    return rows, columns, scores[rows, columns]
+
+
 def search(corpus: DataFrame | Index, queries: DataFrame, top_k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """qid, id, ord, score (4 decimals), rank from 0; ranked on the rounded score, ties in the corpus's order.
 
-    With an index, blocks of postings that can't reach a query's top_k aren't read.
+    With an index, blocks of postings that can't reach a query's top_k aren't read. Without one, see best().
     """
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "ord")
-    found = (corpus.scores(queries, top_k, k1, b) if isinstance(corpus, Index) else scores(corpus, queries, k1, b)).withColumn("score", F.round("score", 4)).where("score > 0")
+    found = (corpus.scores(queries, top_k, k1, b) if isinstance(corpus, Index) else best(corpus, queries, top_k, k1, b)).withColumn("score", F.round("score", 4)).where("score > 0")
     return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top_k).withColumn("rank", F.col("rn") - 1).drop("rn")
 
 

@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from quillet.operators import keyword
 from quillet.operators.postings import Index
@@ -69,3 +72,19 @@ def test_half_a_segment_never_counts(spark, built):
 def test_index_of_an_empty_corpus(spark, built):
     index = Index(built[1].where("false"))
     assert keyword.search(index, built[2], 5).collect() == []
+
+
+def test_without_an_index_few_rows_leave_the_tasks(built):
+    _, c, q = built
+    every = keyword.scores(c, q).withColumn("score", F.round("score", 4))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "ord")
+    want = every.withColumn("rank", F.row_number().over(w) - 1).where("rank < 3")
+    assert answer(keyword.search(c, q, 3)) == answer(want)
+    assert keyword.best(c, q, 3, 1.5, 0.75).count() < every.count() / 10
+    assert answer(keyword.search(c.where("false"), q, 3)) == []
+
+
+def test_scores_are_rounded_as_sql_does(spark):
+    x = np.array([0.00005, 1.00005, 2.67505, 0.30005, 1.23454999, 7.0, 12.34565, 0.1 + 0.2])
+    got = spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 4).alias("y")).collect()
+    assert [round(r.y * 10_000) for r in got] == keyword.rounded(x[:, None])[:, 0].tolist()

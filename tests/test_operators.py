@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillet.functions.vectors import embed
-from quillet.operators import context, dedup, graph, lifecycle, mailbox, maintenance, similarity, store
+from quillet.operators import cells, context, dedup, graph, lifecycle, mailbox, maintenance, similarity, store
 from quillet.sources import snapshots
 from quillet.streaming.ingest import distinct_texts, ingest
 
@@ -271,3 +271,28 @@ def test_plans(spark):
     assert "EqualTo(label,3)" in p
     p = plan(catalogue.QUERIES["source_dist"](spark, d))
     assert "text" not in p.split("ReadSchema")[1]
+
+
+def test_what_joins_in_components_grows_with_nodes_not_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)  # in rounds, as large graphs are
+    written, held = {}, graph.held
+
+    def counted(df, name):
+        written.setdefault(name, (out := held(df, name)).count())
+        return out
+
+    monkeypatch.setattr(graph, "held", counted)
+    n = 60
+    dense = [(k * 100 + i, k * 100 + j) for k in range(3) for i in range(n) for j in range(n) if i != j]
+    g = spark.createDataFrame([*dense, (900, None), (950, 950)], "src bigint, dst bigint").coalesce(2)
+    got = {r.id: r.root for r in graph.components(g).collect()}
+    assert got == {**{k * 100 + i: k * 100 for k in range(3) for i in range(n)}, 900: 900, 950: 950}
+    assert written["graph"] <= 2 * 2 * (3 * n + 2) < len(dense)
+
+
+def test_as_many_tiles_of_small_and_of_larger_tables(spark):
+    tiles = []
+    for n in (16_000, 64_000):
+        v = spark.range(n).select("id", F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.sin(F.col("id") * i).cast("float")).alias("embedding"))
+        tiles.append(cells.bounds(cells.blocks(v, 400)).count())
+    assert 6 <= tiles[0] <= 8 and 6 <= tiles[1] <= 8

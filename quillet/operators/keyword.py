@@ -12,12 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.functions.text import tokens
-from quillet.operators.postings import Index, part, query_terms, spread
+from quillet.operators.postings import FEW, Index, part, query_terms, spread
 from quillet.sources.held import held
 
 K1, B = 1.5, 0.75
-#: Up to so many distinct tokens of queries are looked up in the scan itself.
-FEW = 4096
 #: So many tokens of queries are sent to the tasks that score documents, and so many queries and documents are multiplied at once.
 FEW_TERMS, QUERIES, DOCS = 1 << 20, 512, 512
 

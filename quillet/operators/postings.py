@@ -28,6 +28,10 @@ RARE_POSTINGS = 4000
 #: So many times top_k documents are scored whole to find a query's threshold.
 SEEDS = 4
 MERGE_AT = 8
+#: Up to so many distinct tokens of queries are looked up in the scan itself.
+FEW = 4096
+#: So many documents are a task's work, about, when blocks are made.
+TASK_ROWS = 4096
 BLOCK_COLUMNS = ["token", "rng", "n", "tf_max", "dl_min", "postings"]
 
 
@@ -72,19 +76,25 @@ class Index:
 
     def append(self, corpus: DataFrame) -> None:
         """Add a segment of new documents; totals are written last, so half a segment never counts."""
-        docs = spread(corpus.select("id", "ord", "text")).select("id", "ord", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-        docs = held(docs.withColumn("dl", F.size("tokens")), "docs")
-        n = docs.count()
-        name = uuid.uuid4().hex[:12]
-        rng = F.concat(F.lit(f"{name}-"), F.pmod(F.xxhash64(F.col("id")), F.lit(max(1, -(-n // self.range_rows)))).cast("string"))
-        each = docs.select("id", "ord", "dl", rng.alias("rng"), F.explode("tokens").alias("token")).groupBy("token", "rng", "id", "ord", "dl").agg(F.count("*").alias("tf"))
-        posting = F.struct("id", "ord", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
-        blocks = each.groupBy("token", "rng").agg(F.count("*").alias("n"), F.max("tf").alias("tf_max"), F.min("dl").alias("dl_min"), F.collect_list(posting).alias("postings"))
-        blocks.repartitionByRange("token", "rng").sortWithinPartitions("token", "rng").write.parquet(f"{self.path}/segments/{name}/blocks")
-        docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).write.parquet(f"{self.path}/segments/{name}/totals")
+        n, name = corpus.count(), uuid.uuid4().hex[:12]
+        home = f"{self.path}/segments/{name}"
+        self.made(corpus, n, name).sortWithinPartitions("token", "rng").write.parquet(f"{home}/blocks")
+        length = self.spark.read.parquet(f"{home}/blocks").select(F.explode("postings.tf").alias("tf")).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+        length.select(F.lit(n).cast("long").alias("n"), "total").write.parquet(f"{home}/totals")
         if len(self.whole()) >= MERGE_AT:
             self.merge()
 
+    def made(self, corpus: DataFrame, n: int, name: str) -> DataFrame:
+        """The blocks of n new documents."""
+        rng = F.concat(F.lit(f"{name}-"), F.pmod(F.xxhash64(F.col("id")), F.lit(max(1, -(-n // self.range_rows)))).cast("string"))
+        # texts are dealt by ranges once; counts, blocks and their order are made where they lie
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
+        docs = corpus.select("id", "ord", rng.alias("rng"), F.coalesce("text", F.lit("")).alias("text")).repartition(parts, "rng")
+        docs = docs.select("id", "ord", "rng", tokens("text").alias("tokens")).withColumn("dl", F.size("tokens"))
+        each = docs.select("id", "ord", "dl", "rng", F.explode("tokens").alias("token")).groupBy("token", "rng", "id", "ord", "dl").agg(F.count("*").alias("tf"))
+        posting = F.struct("id", "ord", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
+        return each.groupBy("token", "rng").agg(F.count("*").alias("n"), F.max("tf").alias("tf_max"), F.min("dl").alias("dl_min"), F.collect_list(posting).alias("postings"))
+
     def merge(self) -> None:
         """All segments as one: blocks stay as they are, sorted together. What is merged counts until the new one is whole."""
         old, name = self.whole(), uuid.uuid4().hex[:12]
@@ -114,7 +124,8 @@ class Index:
         n, avgdl = self.totals()
         avgdl = F.lit(float(avgdl))
         terms = held(query_terms(queries), "terms")
-        blocks = self.blocks()
+        few = [r.token for r in terms.select("token").distinct().limit(FEW + 1).collect()]
+        blocks = self.blocks() if len(few) > FEW else self.blocks().where(F.col("token").isin(*few) if few else F.lit(False))
         bounds = held(blocks.select("token", "rng", "n", "tf_max", "dl_min").join(terms.select("token").distinct(), "token", "left_semi"), "bounds")
         # a token's bound over all ranges, too: it parts essential tokens from others
         most = part(F.lit(1), F.lit(1.0), F.col("tf_max"), F.col("dl_min"), avgdl, k1, b)
@@ -142,7 +153,7 @@ class Index:
         first = parted.where("essential").join(alive.select("qid", "rng"), "qid").join(bounds.select("token", "rng"), ["token", "rng"])
         begun = score(first, blocks, avgdl, k1, b).groupBy("qid", "id", "ord", "rng").agg(F.sum("part").alias("part"))
         left = held(begun.join(alive, ["qid", "rng"]).where("least is null or part + others >= least").select("qid", "id", "ord", "rng", "part"), "left")
-        return {"bounds": bounds, "parted": parted, "first": first, "left": left, "avgdl": avgdl}
+        return {"blocks": blocks, "bounds": bounds, "parted": parted, "first": first, "left": left, "avgdl": avgdl}
 
     def scores(self, queries: DataFrame, top_k: int, k1: float, b: float) -> DataFrame:
         """qid, id, ord, score of every document that can be among the top_k of a query (qid, query).
@@ -152,7 +163,7 @@ class Index:
         tokens add at most in their range are scored by these, too.
         """
         p = self.search_plan(queries, top_k, k1, b)
-        rest = of_documents(p["parted"].where("not essential"), p["left"].select("qid", "id", "rng"), self.blocks(), p["avgdl"], k1, b)
+        rest = of_documents(p["parted"].where("not essential"), p["left"].select("qid", "id", "rng"), p["blocks"], p["avgdl"], k1, b)
         both = p["left"].select("qid", "id", "ord", "part").unionByName(rest.select("qid", "id", "ord", "part"))
         return both.groupBy("qid", "id", "ord").agg(F.sum("part").alias("score"))
 

@@ -88,3 +88,16 @@ def test_scores_are_rounded_as_sql_does(spark):
     x = np.array([0.00005, 1.00005, 2.67505, 0.30005, 1.23454999, 7.0, 12.34565, 0.1 + 0.2])
     got = spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 4).alias("y")).collect()
     assert [round(r.y * 10_000) for r in got] == keyword.rounded(x[:, None])[:, 0].tolist()
+
+
+def test_an_index_is_built_with_one_shuffle(built, capsys):
+    index, c, _ = built
+    index.made(c, 3007, "x").explain()
+    plan = capsys.readouterr().out.split("ObjectHashAggregate", 1)[-1]
+    assert plan.count("Exchange hashpartitioning(rng") == 1 and plan.count("Exchange") == 1 + plan.count("Exchange RoundRobin")
+
+
+def test_searches_read_the_blocks_of_asked_tokens_alone(built):
+    index, _, q = built
+    p = index.search_plan(q.where("qid = 25"), 5, 1.5, 0.75)
+    assert p["blocks"].select("token").distinct().count() == 1

@@ -40,31 +40,33 @@ def best_path(run: str, words: dict[str, float], longest: int) -> list[str]:
     return out[::-1]
 
 
-def expected(run: str, words: dict[str, float], longest: int) -> dict[str, float]:
-    """How often each word is expected in a run, over all of its cuts by their probability."""
+def expected(run: str, words: dict[str, float], longest: int, chances: dict[str, float] | None = None) -> dict[str, float]:
+    """How often each word is expected in a run, over all of its cuts by their probability. chances: the words' probabilities, if many runs share them."""
     n = len(run)
+    chances = {w: math.exp(p) for w, p in words.items()} if chances is None else chances
     before, behind = [0.0] + [0.0] * n, [0.0] * n + [1.0]
-    weight = lambda a, b: math.exp(words[run[a:b]]) if run[a:b] in words else math.exp(UNKNOWN) if b == a + 1 else 0.0
+    weights = [[chances.get(run[a:b], math.exp(UNKNOWN) if b == a + 1 else 0.0) for b in range(a + 1, min(n, a + longest) + 1)] for a in range(n)]
     before[0] = 1.0
     scale = [1.0] * (n + 1)  # so that long runs don't underflow
     for i in range(1, n + 1):
         total, carried = 0.0, 1.0
         for k in range(1, min(longest, i) + 1):
-            total += before[i - k] * weight(i - k, i) * carried
+            if w := weights[i - k][k - 1]:
+                total += before[i - k] * w * carried
             carried /= scale[i - k] if i - k else 1.0
         scale[i] = total or 1.0
         before[i] = total / scale[i]
     for i in range(n - 1, -1, -1):
         carried = 1.0
-        for k in range(1, min(longest, n - i) + 1):
+        for k, w in enumerate(weights[i], 1):
             carried /= scale[i + k]
-            behind[i] += behind[i + k] * weight(i, i + k) * carried
+            if w:
+                behind[i] += behind[i + k] * w * carried
     out: dict[str, float] = {}
     for a in range(n):
         carried = 1.0
-        for b in range(a + 1, min(n, a + longest) + 1):
+        for b, w in enumerate(weights[a], a + 1):
             carried /= scale[b]
-            w = weight(a, b)
             if w:
                 out[run[a:b]] = out.get(run[a:b], 0.0) + before[a] * w * behind[b] * carried
     return out
@@ -81,7 +83,10 @@ class Segmenter:
         """From all texts. longest: characters of a word; least: how often a word of several characters must be expected;
         cohesion: how many times more often it must stand than its parts would meet by chance."""
         found = texts.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(script), 0)).alias("run"))
-        runs = held(found.groupBy("run").agg(F.count("*").alias("n")), "runs")
+        # short rows are much work: of a table of few files they'd be few tasks
+        spark = texts.sparkSession
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        runs = held(found.groupBy("run").agg(F.count("*").alias("n")).repartition(parts, F.xxhash64("run")), "runs")
         n = F.length("run")
         places = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: F.substring(F.col("run"), i, k))))
         counts = runs.select(F.explode(places).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")).where(f"n >= {least} or length(word) = 1")
@@ -101,9 +106,10 @@ class Segmenter:
 
             def count(batches: Iterator[pa.RecordBatch], now: dict[str, float] = now) -> Iterator[pa.RecordBatch]:
                 sums: dict[str, float] = {}
+                chances = {w: math.exp(p) for w, p in now.items()}
                 for batch in batches:
                     for run, k in zip(batch.column("run").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                        for w, e in expected(run, now, longest).items():
+                        for w, e in expected(run, now, longest, chances).items():
                             sums[w] = sums.get(w, 0.0) + k * e
                 yield pa.RecordBatch.from_pydict({"word": pa.array(list(sums), pa.string()), "n": pa.array(list(sums.values()), pa.float64())})
 

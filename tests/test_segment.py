@@ -63,3 +63,9 @@ def test_words_are_learnt(spark):
 def test_a_corpus_without_runs(spark):
     s = segment.Segmenter.learn(spark.createDataFrame([(1, "abc")], "id bigint, text string"))
     assert s.words == {} and s.cut("天地") == ["天", "地"]
+
+
+def test_shared_chances_give_the_same_counts():
+    words = {"a": -1.0, "b": -2.0, "ab": -0.5, "ba": -3.0}
+    chances = {w: math.exp(p) for w, p in words.items()}
+    assert all(segment.expected(run, words, 2) == segment.expected(run, words, 2, chances) for run in ("", "a", "abab", "bcab"))

@@ -62,3 +62,23 @@ def test_an_engine_with_it(spark, texts, tmp_path):
     engine.write(rows, F.expr("timestamp'2025-01-15 00:00:00'"), extract=False)
     text = texts.where("id = 0").first().text
     assert engine.query(text, top_k=1).first().text == text
+
+
+def test_counted_texts_are_learnt_and_embedded_as_texts_are(texts):
+    """What was tokenised once serves learn() and embed(); dense and sparse products agree."""
+    once = projection.counted(texts, 512).cache()
+    a = projection.Projection.learn(texts, dims=5, buckets=512, rounds=3)
+    b = projection.Projection.learn(once, dims=5, buckets=512, rounds=3)
+    assert np.allclose(a.weight, b.weight) and np.allclose(a.values, b.values)
+    x, y = ({r.id: np.array(r.embedding) for r in p.embed(t).collect()} for p, t in ((a, texts), (b, once)))
+    assert x.keys() == y.keys() and all(np.allclose(x[i], y[i], atol=1e-5) for i in x)
+    r = np.random.default_rng(2)
+    m = np.where(r.random((40, 90)) < 0.2, r.normal(size=(40, 90)), 0)
+    m[3] = 0
+    block = r.normal(size=(90, 6))
+    row, bucket = np.nonzero(m)
+    was = projection.DENSE
+    for projection.DENSE in (1, 64):
+        assert (projection.dense(row, bucket, m[row, bucket], 40, 90) is None) == (projection.DENSE == 1)
+        assert np.allclose(projection.there_and_back(row, bucket, m[row, bucket], block, 40), m.T @ (m @ block))
+    projection.DENSE = was

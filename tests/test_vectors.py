@@ -206,3 +206,37 @@ def test_index_finds_equal_vectors_by_their_ids(spark, tmp_path):
     i = VectorIndex.build(v, str(tmp_path / "i"))
     got = i.search(v.where("id in (0, 40, 298)"), 3, len(i.centres), 5)
     assert {r.query_id: [x.id for x in got.orderBy("rank").collect() if x.query_id == r.query_id] for r in got.collect()} == {0: [2, 4, 6], 40: [0, 2, 4], 298: [0, 2, 4]}
+
+
+def test_the_closest_by_floats_are_those_by_doubles():
+    """hopeful() and the exact products of what it leaves, with equal rows, ties, own rows and a least similarity."""
+    r = np.random.default_rng(5)
+    m = r.normal(size=(3000, 24)).astype(np.float32)
+    m[1000:1040], m[5] = m[7], 0
+    ids = r.permutation(3000)
+    q, qi = m[:600], ids[:600]
+    for k, before, threshold in ((3, False, -np.inf), (3, True, -np.inf), (5, False, 9.0), (4, True, 2.0)):
+        best = similarity.best_of(k, before, threshold)
+        for least in (None, np.where(np.arange(600) % 2, 12.5, -np.inf)):
+            assert similarity.hopeful(qi, q, ids, m, k, before, np.full(600, threshold)) is not None
+            got = best(qi, q, ids, m, False, least)
+            want = best(qi, q.astype(np.float64), ids, m.astype(np.float64), False, least)
+            assert sorted(zip(*(x.tolist() for x in got[:2]), strict=True)) == sorted(zip(*(x.tolist() for x in want[:2]), strict=True))
+            assert len(got[0]) > 300
+    assert similarity.hopeful(qi, q, ids, np.zeros_like(m), 3, False, np.full(600, -np.inf)) is None  # all are equal
+    halves = [best(qi, q, ids[x], m[x], False) for x in (slice(0, 1500), slice(1500, 3000))]
+    merged = best.merge(*(np.concatenate(x) for x in zip(*halves, strict=True)))
+    whole = best(qi, q, ids, m, False)
+    assert sorted(zip(*(x.tolist() for x in merged[:2]), strict=True)) == sorted(zip(*(x.tolist() for x in whole[:2]), strict=True))
+
+
+def test_a_strip_brings_k_rows_a_tile(spark):
+    """What a task finds in the chunks of a tile is merged before it leaves: 3 rows a query, not 3 a chunk."""
+    r = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(9000, 4)).astype(np.float32))]
+    v = spark.createDataFrame(rows, "id bigint, embedding array<float>")
+    b = cells.blocks(v.repartitionByRange(1, "id").sortWithinPartitions("id"), 500)
+    q = cells.blocks(v.where("id < 100"), 500)
+    m, n = cells.bounds(b), cells.bounds(q)
+    found = cells.multiplied(cells.close_tiles(n, m, -9.0), q, b, similarity.best_of(3), similarity.FOUND, n.count() * m.count())
+    assert m.count() < 9000 // cells.CHUNK + 1 and found.count() == 300 * m.count() * n.count()

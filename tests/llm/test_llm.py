@@ -658,6 +658,26 @@ def test_bands_find_large_sets(spark):
         assert unfound(spark.createDataFrame(rows, "x array<bigint>, y array<bigint>")) <= 10, union_size
 
 
+def test_line_dedup_leaves_no_keys_and_shuffles(spark, monkeypatch):
+    """Of what was staged the keys and signatures are gone, and the shuffle files of each step with the step."""
+    names, paths = [], {}
+
+    def staged(df, name, *by):
+        out = common.stage(df, name, *by)
+        names.append(spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"))
+        paths.setdefault(name, out.staged_at)
+        return out
+
+    monkeypatch.setattr(line_dedup, "stage", staged)
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    df = common.stage(spark.createDataFrame([(i, f"the first line of this text\nanother line of the text number {i % 3}") for i in range(9)], "doc_id bigint, text string"), "freed")
+    got = line_dedup.dedup_lines(df)
+    there = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    assert {k for k, p in paths.items() if not there(p)} == {"line_signatures", "line_keys"}
+    assert set(names) == {"true"} and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+    assert sum(r.n_dropped for r in got.collect()) == 16
+
+
 def test_lines_of_a_large_bucket(spark):
     """Leaders and blocks against all pairs: variants of a few lines, some like a chain, and copies."""
     r = random.Random(21)

@@ -90,6 +90,41 @@ def test_writing_again_adds_nothing(embedded):
     assert {r.action for r in again.collect()} <= {"skipped"}
 
 
+def test_a_stored_row_may_have_the_number_of_a_written_one(spark):
+    text = "one long wooden bench stands under the old apple tree"
+    rows = lambda *ids: spark.createDataFrame([(i, i, text, [1.0, 0.0]) for i in ids], "id bigint, ord bigint, text string, embedding array<float>")
+    assert [(r.action, r.best_id) for r in dedup.write_batch(rows(7), rows(0)).collect()] == [("skipped", 0)]
+
+
+def test_chains_of_rows_take_few_rounds(spark, monkeypatch):
+    """Each row repeats the one before, so every second is kept; a last row's list is full, and what waits for it isn't known."""
+    monkeypatch.setattr(dedup, "FEW_LINKS", 0)
+    monkeypatch.setattr(dedup, "TASK_LINKS", 40)
+    names, held = [], dedup.held
+    monkeypatch.setattr(dedup, "held", lambda df, name: names.append(name) or held(df, name))
+    n = 60
+    links = spark.createDataFrame([(i, i - 1, 0.9, True) for i in range(1, n)] + [(n + 1, n - 1, 0.9, True), (n + 2, n + 1, 0.9, True), (n + 3, 0, 0.9, False)], "n bigint, other bigint, sim double, repeats boolean")
+    todo = spark.createDataFrame([(i, None) for i in range(n + 4)], "n bigint, kept boolean")
+    cut = spark.createDataFrame([(n + 1, 0.9)], "n bigint, last double")
+    got = {r.n: r.kept for r in dedup.kept_rows(todo, links, cut, 0.84, None).collect()}
+    assert got == {**{i: i % 2 == 0 for i in range(n)}, n: True, n + 1: None, n + 2: None, n + 3: True}
+    assert names.count("state") < 4 and 2 <= names.count("followed") < 6
+
+
+def test_closest_before_leaves_out_half(spark, monkeypatch):
+    """Blocks are in the order of ids, so they meet those before them alone, whatever the directions are."""
+    monkeypatch.setattr(cells, "LEAST_BYTES", 1)
+    m = np.random.default_rng(2).normal(size=(600, 8)).astype(np.float32)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id bigint, embedding array<float>").repartition(4)
+    b = cells.blocks(v, 10, by_id=True)
+    t = cells.bounds(b)
+    need, half = cells.close_tiles(t, t, -9.0), cells.close_tiles(t, t, -9.0, before=True)
+    assert half.count() < 0.65 * need.count()
+    sim = np.round(m.astype(float) @ m.astype(float).T, 6)
+    want = {(i, j) for i in range(600) for j in sorted(range(i), key=lambda j: (-sim[i, j], j))[:3] if sim[i, j] >= 1}
+    assert {(r.query_id, r.id) for r in similarity.closest(v, v, 3, 1.0, True, 10).collect()} == want
+
+
 def test_duplicate_sweep_replays(embedded):
     df, data = embedded
     ids = sorted(data)

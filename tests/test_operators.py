@@ -125,6 +125,12 @@ def test_closest_before_leaves_out_half(spark, monkeypatch):
     assert {(r.query_id, r.id) for r in similarity.closest(v, v, 3, 1.0, True, 10).collect()} == want
 
 
+def test_duplicate_sweep_multiplies_once(embedded):
+    """Its near rows are written down: the plan reads them and has no products."""
+    df, _ = embedded
+    assert "MapInArrow" not in maintenance.duplicate_sweep(df)._jdf.queryExecution().toString()
+
+
 def test_duplicate_sweep_replays(embedded):
     df, data = embedded
     ids = sorted(data)

@@ -23,11 +23,13 @@ from quillet.operators import cells
 from quillet.sources.held import held
 
 WORDS = 256
-LIST_ROWS = 4096
-QUERY_ROWS = 256
+LIST_ROWS, EXACT_ROWS = 4096, 1024
+#: Queries that meet the lists, or lists and vectors, in one task; few queries are dealt over so many tasks by cells.
+QUERY_ROWS, SEARCH_ROWS, TASKS = 256, 2048, 16
 #: So many rows are searched by brute force to choose how much an index has to read.
 CALIBRATION = 256
 LIST = "cell int, ids array<bigint>, codes binary"
+ASKED = "pack bigint, ids array<bigint>, data binary, edges array<double>, cells array<int>"
 
 
 def split(m: np.ndarray, parts: int) -> np.ndarray:
@@ -139,51 +141,183 @@ class VectorIndex:
 
     def candidates(self, queries: DataFrame, probes: int, refine: int, only: list[int] | None = None) -> DataFrame:
         """query_id, id, cell, rn (from 1) of the best `refine` rows of each query (id, embedding) by codes. only: the cells that can be probed."""
-        words, centres = self.words, self.centres
-        schema = pa.schema([("cell", pa.int32()), ("query_id", pa.int64()), ("q", pa.binary())])
+        asked, packs, parts = self.packed(queries, probes, QUERY_ROWS)
+        found = self.met(asked, packs, parts, self.coded(only)).mapInArrow(self.looking(probes, refine, True), "query_id bigint, id bigint, cell int, about double")
+        w = Window.partitionBy("query_id").orderBy(F.desc("about"), "id")
+        return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= refine).select("query_id", "id", "cell", "rn")
+
+    def coded(self, only: list[int] | None) -> DataFrame:
+        """cell, ids, data: the lists, all or of some cells."""
+        lists = self.lists().select("cell", "ids", F.col("codes").alias("data"))
+        return lists if only is None else lists.where(F.col("cell").isin(only))
+
+    def packed(self, queries: DataFrame, probes: int, size: int) -> tuple[DataFrame, int, int]:
+        """ASKED rows, a pack of about `size` queries (id, embedding, perhaps edge) each, with the cells they probe; how many packs, and parts of cells, make the tasks."""
+        centres = self.centres
+        q = queries.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding", F.col("edge") if "edge" in queries.columns else F.lit(0.0).alias("edge"))
+        packs = max(1, -(-q.count() // size))
+        parts = max(1, min(TASKS // packs, len(centres)))
+        rows = q.groupBy(F.pmod(F.xxhash64("id"), F.lit(packs)).alias("pack")).agg(F.collect_list(F.struct("id", "embedding", "edge")).alias("asked"))
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    m = cells.matrix_of(batch.column("embedding"))
-                    c = cells_of(m, centres, probes)
-                    k, ids, data = c.shape[1], batch.column("id").to_numpy(), [x.tobytes() for x in m]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.ravel(), pa.int32()), pa.array(np.repeat(ids, k), pa.int64()), pa.array([x for x in data for _ in range(k)], pa.binary())], schema=schema)
-
-        asked = queries.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(probe, "cell int, query_id bigint, q binary")
-        # about so many queries at most meet a list at once; a cell that many queries probe is many rows
-        packs = -(-queries.count() // QUERY_ROWS)
-        asked = asked.groupBy("cell", F.pmod(F.xxhash64("query_id"), F.lit(max(1, packs))).alias("pack")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-        lists = self.lists() if only is None else self.lists().where(F.col("cell").isin(only))
-        met = lists.join(asked.drop("pack"), "cell")
-        out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("cell", pa.int32()), ("about", pa.float64())])
+                for i in range(batch.num_rows):
+                    asked = batch.column("asked")[i].values
+                    m = cells.matrix_of(asked.field("embedding"))
+                    probed = np.unique(cells_of(m, centres, probes)).astype(np.int32)
+                    yield pa.RecordBatch.from_pydict({"pack": [batch.column("pack")[i].as_py()], "ids": pa.array([asked.field("id").to_numpy()], pa.list_(pa.int64())), "data": pa.array([m.tobytes()], pa.binary()), "edges": pa.array([asked.field("edge").to_numpy()], pa.list_(pa.float64())), "cells": pa.array([probed], pa.list_(pa.int32()))})
+
+        return held(rows.mapInArrow(probe, ASKED), "asked"), packs, parts
+
+    def met(self, asked: DataFrame, packs: int, parts: int, *tables: DataFrame) -> DataFrame:
+        """pack, part, side, cell, ids, data, edges: each pack (side 0) and after it, cell by cell, the rows of tables (cell, ids, data) that it probes, a part of the cells in a task.
+
+        So what moves is the tables once for each pack, however many cells a query probes.
+        """
+        of = lambda cell: F.pmod(F.xxhash64(cell), F.lit(parts)).cast("int").alias("part")
+        none = F.lit(None).cast("array<double>").alias("edges")
+        probed = asked.select("pack", F.explode("cells").alias("cell"))
+        all_ = asked.select("pack", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("side"), F.lit(-1).alias("cell"), "ids", "data", "edges")
+        for side, t in enumerate(tables, 1):
+            all_ = all_.unionByName(t.join(probed, "cell").select("pack", of("cell"), F.lit(side).alias("side"), "cell", "ids", "data", none))
+        return all_.repartitionById(packs * parts, (F.col("pack") * parts + F.col("part")).cast("int")).sortWithinPartitions("pack", "part", "cell", "side")
+
+    def scorer(self, probes: int) -> Callable:
+        """For a pack's matrix: which of its rows probe a cell, and the scores of these with a list's codes."""
+        words, centres = self.words, self.centres
+
+        def of(q: np.ndarray) -> tuple[Callable, Callable]:
+            probed = np.zeros((len(q), len(centres)), bool)
+            np.put_along_axis(probed, cells_of(q, centres, probes), True, 1)
+            tables, near = [x @ w.T for w, x in zip(words, split(q, len(words)).transpose(1, 0, 2), strict=True)], q @ centres.T
+
+            def score(cell: int, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+                out = np.repeat(near[at, cell][:, None], len(codes), 1)
+                for j, t in enumerate(tables):
+                    out += np.take(t[at], codes[:, j], 1)
+                return out
+
+            return (lambda cell: np.flatnonzero(probed[:, cell])), score
+
+        return of
+
+    def looking(self, probes: int, refine: int, rows: bool) -> Callable:
+        """Of each query the best `refine` rows of the lists of its task (and more, which later ones surpass); not rows: query_id, edge, the score of the last of them."""
+        scorer = self.scorer(probes)
+        found = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("cell", pa.int32()), ("about", pa.float64())])
+        last = pa.schema([("query_id", pa.int64()), ("edge", pa.float64())])
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qi, held_, fresh, have, edge = None, None, [], 0, None
+
+            def settle() -> None:
+                nonlocal held_, fresh, have, edge
+                every = np.concatenate([held_, *fresh], 1)
+                n = every.shape[1]
+                held_ = every if n <= refine else np.partition(every, n - refine, 1)[:, n - refine :]
+                edge = np.full(len(qi), -np.inf) if n < refine else held_.min(1)
+                fresh, have = [], 0
+
+            def end() -> Iterator[pa.RecordBatch]:
+                if qi is not None and not rows:
+                    settle()
+                    yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(edge)], schema=last)
+
             for batch in batches:
                 for i in range(batch.num_rows):
-                    ids, cell, asked = batch.column("ids")[i].values.to_numpy(), batch.column("cell")[i].as_py(), batch.column("asked")[i].values
-                    q = np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in asked.field("q")])
-                    codes = np.frombuffer(batch.column("codes")[i].as_buffer(), np.uint8).reshape(len(ids), -1)
-                    score = np.repeat((q @ centres[cell])[:, None], len(ids), 1)
-                    for j, (w, x) in enumerate(zip(words, split(q, len(words)).transpose(1, 0, 2), strict=True)):
-                        score += (x @ w.T)[:, codes[:, j]]
-                    n = min(refine, len(ids))
-                    row, top = best(score, ids, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(asked.field("query_id").to_numpy()[row]), pa.array(ids[top]), pa.array(np.full(len(top), cell, np.int32)), pa.array(score[row, top])], schema=out)
-
-        found = met.mapInArrow(look, "query_id bigint, id bigint, cell int, about double")
-        w = Window.partitionBy("query_id").orderBy(F.desc("about"), "id")
-        return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= refine).select("query_id", "id", "cell", "rn")
+                    ids, data = batch.column("ids")[i].values.to_numpy(), batch.column("data")[i].as_buffer()
+                    if batch.column("side")[i].as_py() == 0:
+                        yield from end()
+                        qi = ids.copy()
+                        q = np.frombuffer(data, np.float64).reshape(len(ids), -1)
+                        (probing, score), held_, fresh, have, edge = scorer(q), np.zeros((len(ids), 0)), [], 0, np.full(len(ids), -np.inf)
+                        continue
+                    cell, codes = batch.column("cell")[i].as_py(), np.frombuffer(data, np.uint8).reshape(len(ids), -1)
+                    at = probing(cell)
+                    about = score(cell, codes, at)
+                    if rows:
+                        row, top = best(about, ids, min(refine, len(ids)))
+                        keep = about[row, top] >= edge[at[row]]
+                        row, top = row[keep], top[keep]
+                        yield pa.RecordBatch.from_arrays([pa.array(qi[at[row]]), pa.array(ids[top]), pa.array(np.full(len(top), cell, np.int32)), pa.array(about[row, top])], schema=found)
+                    fresh.append(np.full((len(qi), len(ids)), -np.inf))
+                    fresh[-1][at] = about
+                    have += len(ids)
+                    if have >= max(refine, LIST_ROWS):
+                        settle()
+            yield from end()
+
+        return look
 
     def search(self, queries: DataFrame, k: int = 5, probes: int = 8, refine: int = 64, threshold: float = 0.0, only: list[int] | None = None) -> DataFrame:
-        """query_id, id, rank (from 0), sim: of each query (id, embedding) the k best of `refine` candidates, by exact products; itself left out."""
-        near = self.candidates(queries, probes, refine + 1, only).where("query_id <> id").drop("rn")
+        """query_id, id, rank (from 0), sim: of each query (id, embedding) the k best of `refine` candidates, by exact products; itself left out.
+
+        Rows that the codes tell no worse than the last candidate are candidates too. These aren't written down: a first
+        pass over the lists gives each query's last score, a second one over lists and vectors the products of what reaches it.
+        """
+        asked, packs, parts = self.packed(queries, probes, QUERY_ROWS)
+        if parts == 1:
+            edges = self.met(asked, packs, 1, self.coded(only)).mapInArrow(self.looking(probes, refine + 1, False), "query_id bigint, edge double")
+        else:  # few queries: their candidates in parts of the cells are few rows
+            looked = self.met(asked, packs, parts, self.coded(only)).mapInArrow(self.looking(probes, refine + 1, True), "query_id bigint, id bigint, cell int, about double")
+            rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "id"))
+            edges = looked.withColumn("rn", rn).where(F.col("rn") <= refine + 1).groupBy("query_id").agg(F.when(F.count("*") > refine, F.min("about")).otherwise(-float("inf")).alias("edge"))
+        q = queries.select(F.col("id").cast("long").alias("id"), "embedding").join(held(edges, "edges").withColumnRenamed("query_id", "id"), "id")
+        asked, packs, parts = self.packed(q, probes, SEARCH_ROWS)
+        kind = dict(self.exact().dtypes)["embedding"]
+        number, scorer, n_words = np.float32 if kind == "array<float>" else np.float64, self.scorer(probes), len(self.words)
+
+        def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                cell = whole.column("cell").to_numpy()
+                cuts = np.flatnonzero(np.diff(cell)) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)], strict=True):
+                    for s in range(a, b, EXACT_ROWS):
+                        batch = whole.slice(s, min(EXACT_ROWS, b - s))
+                        yield pa.RecordBatch.from_pydict({"cell": pa.array([cell[a]], pa.int32()), "ids": pa.array([batch.column("id").to_numpy()], pa.list_(pa.int64())), "data": pa.array([cells.matrix_of(batch.column("embedding")).astype(number).tobytes()], pa.binary())})
+
         rows = self.exact() if only is None else self.exact().where(F.col("cell").isin(only))
-        asked = queries.select(F.col("id").cast("long").alias("query_id"), F.col("embedding").alias("q"))
-        scored = near.join(rows, ["cell", "id"]).join(asked, "query_id").select("query_id", "id", dot("q", "embedding").alias("sim"))
-        w = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 6)), "id")
+        exact = rows.select("cell", "id", "embedding").mapInArrow(lists, "cell int, ids array<bigint>, data binary")
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from quillet.operators.similarity import best_of
+
+            qi, now, top = None, None, best_of(k)
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_pydict({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64()), "sim": pa.array(found[2], pa.float64())})
+
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    side, cell = batch.column("side")[i].as_py(), batch.column("cell")[i].as_py()
+                    ids, data = batch.column("ids")[i].values.to_numpy(), batch.column("data")[i].as_buffer()
+                    if side == 0:
+                        if qi is not None:
+                            yield out()
+                        qi, q, edge, now = ids.copy(), np.frombuffer(data, np.float64).reshape(len(ids), -1).copy(), batch.column("edges")[i].values.to_numpy().copy(), None
+                        (probing, score), found, least = scorer(q), (qi[:0], qi[:0], np.zeros(0)), np.full(len(qi), -np.inf)
+                        continue
+                    if cell != now:
+                        now, listed, codes = cell, ids[:0], np.zeros((0, n_words), np.uint8)
+                    if side == 1:  # the cell's codes come before its vectors
+                        listed, codes = np.concatenate([listed, ids]), np.concatenate([codes, np.frombuffer(data, np.uint8).reshape(len(ids), -1)])
+                        order = np.argsort(listed)
+                        listed, codes = listed[order], codes[order]
+                        continue
+                    at, m = probing(cell), np.frombuffer(data, number).reshape(len(ids), -1).astype(np.float64)
+                    about = score(cell, codes[np.searchsorted(listed, ids)], at)
+                    sim = q[at] @ m.T
+                    row, col = np.nonzero((about >= edge[at, None] - cells.SLACK) & (sim >= least[at, None] - cells.SLACK - 1e-6) & (qi[at, None] != ids))
+                    if len(row):
+                        found = top.merge(*(np.concatenate(x) for x in zip(found, (qi[at[row]], ids[col], sim[row, col]), strict=True)))
+                        least = top.reached(qi, found, least)
+            if qi is not None:
+                yield out()
+
+        scored = self.met(asked, packs, parts, self.coded(only), exact).mapInArrow(near, "a bigint, b bigint, sim double")
+        w = Window.partitionBy("a").orderBy(F.desc(F.round("sim", 6)), "b")
         top = scored.withColumn("rn", F.row_number().over(w)).where((F.col("rn") <= k) & (F.col("sim") >= threshold))
-        return top.select("query_id", "id", (F.col("rn") - 1).alias("rank"), "sim")
+        return top.select(F.col("a").alias("query_id"), F.col("b").alias("id"), (F.col("rn") - 1).alias("rank"), "sim")
 
     def calibrated(self, vectors: DataFrame, k: int = 5, probes: int = 8, refine: int = 64, recall: float = 0.95) -> tuple[int, int]:
         """probes and refine, raised as far as it takes to find `recall` of the k nearest rows of CALIBRATION indexed rows.

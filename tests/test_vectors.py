@@ -208,6 +208,23 @@ def test_index_finds_equal_vectors_by_their_ids(spark, tmp_path):
     assert {r.query_id: [x.id for x in got.orderBy("rank").collect() if x.query_id == r.query_id] for r in got.collect()} == {0: [2, 4, 6], 40: [0, 2, 4], 298: [0, 2, 4]}
 
 
+def test_index_moves_lists_to_packs_of_queries(spark, index, monkeypatch):
+    """Not a row for each query and cell that it probes; results are those of all candidates, whatever the tasks are."""
+    from quillet.operators import vector_index
+
+    i, v = index
+    q, n = v.where("id % 10 = 0").cache(), len(i.centres)
+    asked, packs, parts = i.packed(q, n, 100)
+    assert packs > 1 and i.met(asked, packs, parts, i.coded(None)).count() == packs * (parts + i.lists().count()) < q.count() * n / 10
+    want = {(r.query_id, r.id, r.rank) for r in similarity.knn(q, v, 4, -9.0).collect()}
+    for tasks in (1, 7):
+        monkeypatch.setattr(vector_index, "TASKS", tasks)
+        assert {(r.query_id, r.id, r.rank) for r in i.search(q, 4, n, 3000, -9.0).collect()} == want
+    near = i.candidates(q, n, 30).where("query_id <> id").select("query_id", "id")
+    few = i.search(q, 4, n, 29, -9.0).join(near, ["query_id", "id"], "left_semi").count()
+    assert few >= 0.99 * 4 * q.count()
+
+
 def test_the_closest_by_floats_are_those_by_doubles():
     """hopeful() and the exact products of what it leaves, with equal rows, ties, own rows and a least similarity."""
     r = np.random.default_rng(5)

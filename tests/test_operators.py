@@ -111,6 +111,14 @@ def test_chains_of_rows_take_few_rounds(spark, monkeypatch):
     assert names.count("state") < 4 and 2 <= names.count("followed") < 6
 
 
+def test_a_next_list_is_no_longer_at_once(embedded, monkeypatch):
+    df, _ = embedded
+    calls, closest = [], dedup.closest
+    monkeypatch.setattr(dedup, "closest", lambda *args: calls.append(args[2]) or closest(*args))
+    dedup.write_batch(df, listed=1).collect()
+    assert calls[:2] == [1, 1]
+
+
 def test_closest_before_leaves_out_half(spark, monkeypatch):
     """Blocks are in the order of ids, so they meet those before them alone, whatever the directions are."""
     monkeypatch.setattr(cells, "LEAST_BYTES", 1)
